@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, packing
+from . import bpe, langid, lines, packing, rules
 
 #: The tokenizer file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,9 +27,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_documents(spark, sf_dir))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op7_lines": op7_lines}
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op5_rules": op5_rules, "op7_lines": op7_lines}
 ORACLES = {"op7_lines": lines.ORACLE}
