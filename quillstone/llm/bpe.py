@@ -73,7 +73,7 @@ def words_of(path: str) -> Words:
 class IdCache(dict):
     """Word to its ids as little-endian unsigned 32-bit integers; emptied when it holds `most` words."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         self.encode, self.most = tokenizer(path).encode, most
 
     def __missing__(self, word: str) -> bytes:
@@ -83,6 +83,12 @@ class IdCache(dict):
         return out
 
 
+@lru_cache(1)
+def id_cache(path: str) -> IdCache:
+    """One for all tasks of a worker."""
+    return IdCache(path)
+
+
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id, as the byte-level decoder gives them; size bound: the vocabulary."""
     t = tokenizer(path)

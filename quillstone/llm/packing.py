@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import IdCache, words_of
+from .bpe import id_cache, words_of
 from .shared import documents, spread
 
 #: Tokens of documents that are packed together; a bound of a task's memory.
@@ -119,8 +119,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        split, cache = words_of(tokenizer_path).split, IdCache(tokenizer_path)
-        get, part, first = cache.__getitem__, TaskContext.get().partitionId() << 33, 0
+        split, get = words_of(tokenizer_path).split, id_cache(tokenizer_path).__getitem__
+        part, first = TaskContext.get().partitionId() << 33, 0
         ids: list = []
         held: list[bytes] = []
         size = 0
