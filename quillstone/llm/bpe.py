@@ -1,9 +1,10 @@
 """Operator 3: byte-level BPE over a table of distinct words, and decoding through a join with the pieces.
 
 The pre-tokenizer's words are split from each block of documents; a block is what one task has read, cut
-at BLOCK_CHARS. Each block names its distinct words by position. Words of all blocks meet by word, where
-each distinct word is encoded once; the ids go back to (block, position), and there the documents, held
-as positions, take them. Only distinct words of blocks and two-byte positions are shuffled, never text.
+at BLOCK_CHARS. Each block ranks its distinct words. Words of all blocks meet in buckets by a hash of the
+word, where each distinct word is encoded once; the ids go back to the block, and there the documents,
+held as ranks, take them by position. Only compressed lists of distinct words and of ranks are shuffled,
+never text.
 """
 
 from __future__ import annotations
@@ -11,22 +12,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import documents, spread
 
 #: Code points of text after which a block ends.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 
 # Fixed value: the pattern by which the tokenizer's pre-tokenizer splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,82 +139,122 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
         yield f"{part}-{k}", ids, texts
 
 
-class _Positions(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def _bucket(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode()) % buckets
 
 
-def _dictionary(path: str, limit: int):
+def _ranked(texts: list[str], split) -> list[str]:
+    """Distinct words, frequent ones first, so that their numbers are small."""
+    found: Counter = Counter()
+    for t in texts:
+        found.update(split(t))
+    return [w for w, _ in found.most_common()]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Compressed: all low bytes, then the second ones and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 1)
+
+
+def _numbers(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(held), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _dictionary(path: str, limit: int, buckets: int):
+    """A row for each block and bucket: the block's words of that bucket, in rank order."""
+
     def run(batches):
         split = words_of(path).split
         for block, _, texts in _blocks(batches, limit):
-            seen = dict.fromkeys(w for t in texts for w in split(t))
-            words = list(seen)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part)), "pos": pa.array(range(k, k + len(part)), pa.int32()), "word": pa.array(part)})
+            parts: list[list[str]] = [[] for _ in range(buckets)]
+            for w in _ranked(texts, split):
+                parts[_bucket(w, buckets)].append(w)
+            rows = [(k, zstandard.compress(b"".join(b"%d " % len(x) + x for x in map(str.encode, p)), 1)) for k, p in enumerate(parts) if p]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows)), "bucket": pa.array([x[0] for x in rows], pa.int32()), "words": pa.array([x[1] for x in rows], pa.binary())})
 
     return run
 
 
-def _positions(path: str, limit: int):
+def _positions(path: str, limit: int, buckets: int):
+    """A row for each block: its documents as ranks of words, and the bucket of each rank."""
+
     def run(batches):
         split = words_of(path).split
         for block, ids, texts in _blocks(batches, limit):
-            at, n, codes = _Positions(), [], []
-            for t in texts:
-                c = array("I", map(at.__getitem__, split(t)))
-                n.append(len(c))
-                codes.append(c)
-            small = len(at) < 1 << 16
-            codes = [(array("H", c) if small else c).tobytes() for c in codes]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(n)), "doc_id": pa.array(ids, pa.int64()), "distinct": pa.array([len(at)] * len(n), pa.int32()), "codes": pa.array(codes, pa.binary())})
+            ranked = _ranked(texts, split)
+            rank = {w: k for k, w in enumerate(ranked)}.__getitem__
+            codes = [array("I", map(rank, split(t))) for t in texts]
+            where = np.array([_bucket(w, buckets) for w in ranked], "<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int64())), pa.array([_planes(where)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(c.tobytes() for c in codes), "<u4"))], pa.binary())],
+                names=["block", "doc_ids", "counts", "buckets", "codes"],
+            )
 
     return run
 
 
-def _encode_once(path: str):
-    """Rows arrive sorted by word; a distinct word is encoded when it first comes."""
+def _unpacked(held: bytes) -> Iterator[bytes]:
+    b, at = zstandard.decompress(held), 0
+    while at < len(b):
+        space = b.index(b" ", at)
+        end = space + 1 + int(b[at:space])
+        yield b[space + 1 : end]
+        at = end
 
-    def run(batches):
-        encode = tokenizer(path).encode
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "pos": batch.column("pos"), "ids": pa.array(out, pa.binary())})
+
+def _encode_once(path: str):
+    """All blocks' words of one bucket: each distinct word is encoded once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        encode, known, out = tokenizer(path).encode_batch, {}, []
+        lists = [list(_unpacked(h)) for h in table.column("words").to_pylist()]
+        new = list(dict.fromkeys(w for ws in lists for w in ws))
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            known.update(zip(part, (x.ids for x in encode([w.decode() for w in part], add_special_tokens=False))))
+        for ws in lists:
+            n = np.array([len(known[w]) for w in ws], "<u4")
+            ids = np.array([i for w in ws for i in known[w]], "<u4")
+            out.append((_planes(n), _planes(ids)))
+        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "lens", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer_path: str, finish=None, schema: str = "doc_id long, ids binary", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, finish=None, schema: str = "doc_id long, ids binary", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
     """A row for each document: doc_id, ids (little-endian unsigned 32-bit integers, whole text).
 
     Null and empty texts have no ids; equal rows and equal or null doc_ids give a row each; other columns
     of docs are ignored. finish(doc ids, list of id arrays) -> dict of columns replaces the ids by what is
-    derived from them in the same task.
+    derived from them in the same task. buckets: parts of the word table, each in one task's memory; by
+    default as many as shuffle partitions, 64 at least.
     """
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     src = spread(documents(docs))
-    words = src.mapInArrow(_dictionary(tokenizer_path, block_chars), "block string, pos int, word string")
-    words = words.repartition("word").sortWithinPartitions("word")
-    known = words.mapInArrow(_encode_once(tokenizer_path), "block string, pos int, ids binary")
-    held = src.mapInArrow(_positions(tokenizer_path, block_chars), "block string, doc_id long, distinct int, codes binary")
+    words = src.mapInArrow(_dictionary(tokenizer_path, block_chars, buckets), "block string, bucket int, words binary")
+    known = words.groupBy("bucket").applyInArrow(_encode_once(tokenizer_path), "block string, bucket int, lens binary, ids binary")
+    held = src.mapInArrow(_positions(tokenizer_path, block_chars, buckets), "block string, doc_ids array<long>, counts array<long>, buckets binary, codes binary")
     finish = finish or (lambda ids, arrays: {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([a.tobytes() for a in arrays], pa.binary())})
 
     def meet(table: pa.Table, held: pa.Table) -> pa.Table:
-        n = held.column("distinct")[0].as_py() if held.num_rows else 0
-        if n != table.num_rows:
-            raise RuntimeError("the words of a block changed between two reads of the input")
-        rows: list[bytes] = [b""] * n
-        for p, ids in zip(table.column("pos").to_pylist(), table.column("ids").to_pylist()):
-            rows[p] = ids
-        ragged, kind = Ragged(rows, "<u4"), "<u2" if n < 1 << 16 else "<u4"
-        arrays = [ragged.take(np.frombuffer(c, kind)) for c in held.column("codes").to_pylist()]
-        return pa.Table.from_pydict(finish(held.column("doc_id").to_pylist(), arrays))
+        where = _numbers(held.column("buckets")[0].as_py())
+        rows, lens = [np.empty(0, "<u4")] * buckets, np.zeros(len(where), np.int64)
+        for k, n, ids in zip(*(table.column(c).to_pylist() for c in ("bucket", "lens", "ids"))):
+            n, at = _numbers(n), where == k
+            if int(at.sum()) != len(n):
+                raise RuntimeError("the words of a block changed between two reads of the input")
+            lens[at], rows[k] = n, _numbers(ids)
+        order = np.argsort(where, kind="stable")  # ranks in the order in which their ids lie in rows
+        ragged = Ragged([], "<u4")
+        ragged.flat, ragged.lens, ragged.starts = np.concatenate(rows), lens, np.empty(len(where), np.int64)
+        ragged.starts[order] = np.cumsum(lens[order]) - lens[order]
+        codes, ends = _numbers(held.column("codes")[0].as_py()), np.cumsum(held.column("counts")[0].as_py())
+        out = []
+        for k in range(0, len(ends), 500):
+            starts = [0 if j == 0 else ends[j - 1] for j in range(k, min(k + 500, len(ends)))]
+            arrays = [ragged.take(codes[a:b]) for a, b in zip(starts, ends[k : k + 500])]
+            out.append(pa.Table.from_pydict(finish(held.column("doc_ids")[0].as_py()[k : k + 500], arrays)))
+        return pa.concat_tables(out)
 
     return known.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(meet, schema)
 
