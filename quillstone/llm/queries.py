@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, packing, personal, prints, rules
+from . import bpe, langid, lines, near, packing, personal, prints, rules
 
 #: The tokenizer file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_documents(spark, sf_dir))
 
 
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_documents(spark, sf_dir))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_documents(spark, sf_dir))
 
@@ -43,5 +47,5 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op5_rules": op5_rules, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal}
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal}
 ORACLES = {"op7_lines": lines.ORACLE}
