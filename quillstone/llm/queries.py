@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, near, packing, personal, prints, rules
+from . import bpe, grades, langid, lines, near, packing, personal, prints, rules
 
 #: The tokenizer file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,15 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> grades.Model:
+    sample = grades.rated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), grades.label_grade())
+    return grades.fit(sample)
+
+
+def op4_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.grade(_documents(spark, sf_dir), quality_model(spark, sf_dir))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_documents(spark, sf_dir))
 
@@ -47,5 +56,5 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal}
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal}
 ORACLES = {"op7_lines": lines.ORACLE}
