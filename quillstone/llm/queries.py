@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grades, langid, lines, near, packing, personal, prints, rules
+from . import bpe, grades, langid, lines, near, packing, personal, prints, repeats, rules
 
 #: The tokenizer file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,5 +56,9 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal, "op10_repeats": op10_repeats}
 ORACLES = {"op7_lines": lines.ORACLE}

@@ -6,6 +6,8 @@ import atexit
 import os
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,36 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     a = left.withColumn(salt, (F.rand(17) * salts).cast("int"))
     b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, salt], how).drop(salt)
+
+
+class Sieve:
+    """A bitmap of bounded size that tells 64-bit hashes that may be in a set from those that aren't."""
+
+    #: Bits, at most: 32 MB.
+    MOST = 28
+    PARTS = 64
+
+    def __init__(self, parts: dict[int, bytes], order: int):
+        self.order = order
+        size = (1 << order) // 8 // self.PARTS
+        self.bits = np.frombuffer(b"".join(parts.get(k, bytes(size)) for k in range(self.PARTS)), np.uint8)
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int) -> Sieve:
+        """Of a column h of n hashes: bits for each, up to the bound. Tasks make the bitmap's parts."""
+        order = min(cls.MOST, max(16, (16 * n).bit_length()))
+        part_bits = (1 << order) // cls.PARTS
+
+        def run(table):
+            at = table.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - order)
+            on = np.zeros(part_bits, bool)
+            on[(at % np.uint64(part_bits)).astype(np.int64)] = True
+            part = int(at[0]) // part_bits
+            return pa.Table.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+        parts = hashes.withColumn("part", F.shiftrightunsigned("h", 64 - cls.PARTS.bit_length() + 1)).groupBy("part").applyInArrow(run, "part int, bits binary")
+        return cls({r["part"]: bytes(r["bits"]) for r in parts.collect()}, order)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.order)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
