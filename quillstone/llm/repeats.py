@@ -32,6 +32,8 @@ K = 24
 V = 20
 #: Contexts of a bucket that are sorted together, and of a block of buckets.
 CHUNK, BLOCK = 4_000, 12_000
+#: Contexts that a task compares where they are read, before it passes them on.
+PENDING = 40_000
 #: Hashes that come again up to which a bitmap of fixed size tells them where documents are read; beyond,
 #: they are joined to the documents.
 SIEVE_ROWS = 30_000_000
@@ -82,7 +84,7 @@ def anchors(b: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.append(first[1:], n) - 1
         place = at[first]
-        out.append((h[place], place + s, first + s, last + s))
+        out.append((_mix(h[place] * np.uint64(_BASE)), place + s, first + s, last + s))  # least hashes are small: mixed again
     if not out:
         return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(map(np.concatenate, zip(*out)))
@@ -182,34 +184,40 @@ def _contexts(src: DataFrame, sieve, length: int) -> DataFrame:
     sieve: tells the hashes that may come again; None: src's column `wanted` holds them for each document.
     """
 
+    def flush(out: list, gone: list):
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        if gone:
+            i, th, f, e = zip(*gone)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * len(gone), i, th, f, f, e, [None] * len(gone)), kinds)], names=names)
+
     def run(batches):
         for b in batches:
-            first_of: dict = {}
-            out, gone = [], []
-            wanted = b.column("wanted").to_pylist() if sieve is None else None
+            seen, out, gone = set(), [], []
+            wanted = b.column("wanted") if sieve is None else None
             rows = sorted(zip(b.column("id").to_pylist(), b.column("th").to_pylist(), range(b.num_rows)))
-            texts = b.column("text").to_pylist()
-            before = None
+            texts, before = b.column("text"), None
             for i, th, k in rows:
                 if (i, th) == before:
                     continue  # the same document again
-                before, t = (i, th), texts[k].encode()
+                before, t = (i, th), texts[k].as_py().encode()
                 h, place, first, last = anchors(t, length)
-                hit = np.flatnonzero(sieve.value.has(h) if sieve is not None else np.isin(h.view(np.int64), np.array(wanted[k] or [], np.int64)))
+                hit = np.flatnonzero(sieve.value.has(h) if sieve is not None else np.isin(h.view(np.int64), np.array(wanted[k].as_py() or [], np.int64)))
                 for hh, p, f, e in zip(h[hit].view(np.int64).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
                     ctx = t[f : e + length]
                     key = (hh, p - f, ctx)
-                    if key in first_of:
-                        gone.append((i, th, f, e))
+                    if key in seen:
+                        if gone and gone[-1][:2] == (i, th) and f <= gone[-1][3] + 1:
+                            gone[-1] = (i, th, gone[-1][2], e)  # strings side by side
+                        else:
+                            gone.append((i, th, f, e))
                     else:
-                        first_of[key] = True
+                        seen.add(key)
                         out.append((hh, i, th, p, f, e, ctx))
-            for part in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[part : part + 50_000]), kinds)], names=names)
-            if gone:
-                i, th, f, e = zip(*gone)
-                none = [None] * len(gone)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * len(gone), i, th, f, f, e, none), kinds)], names=names)
+                if len(out) + len(gone) >= PENDING:
+                    yield from flush(out, gone)
+                    seen, out, gone = set(), [], []
+            yield from flush(out, gone)
 
     names = [x.split()[0] for x in _ROW.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.binary()]
