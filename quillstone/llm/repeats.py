@@ -31,9 +31,9 @@ K = 24
 #: Distance of the cover sample's places; 5 * V is LENGTH.
 V = 20
 #: Contexts of a bucket that are sorted together, and of a block of buckets.
-CHUNK, BLOCK = 4_000, 12_000
+CHUNK, BLOCK = 3_000, 3_000
 #: Contexts that a task compares where they are read, before it passes them on.
-PENDING = 40_000
+PENDING = 30_000
 #: Hashes that come again up to which a bitmap of fixed size tells them where documents are read; beyond,
 #: they are joined to the documents.
 SIEVE_ROWS = 30_000_000
