@@ -85,6 +85,13 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns or ("doc_id", "text")])
 
 
+def portions(batches, rows: int = 1_000):
+    """Batches in parts of so many rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 #: Rows of a side that is broadcast; past them small_join() salts instead.
 SMALL_ROWS = 100_000
 
