@@ -170,7 +170,7 @@ def _dictionary(path: str, limit: int, buckets: int):
             for w in _ranked(texts, split):
                 parts[_bucket(w, buckets)].append(w)
             rows = [(k, zstandard.compress(b"".join(b"%d " % len(x) + x for x in map(str.encode, p)), 1)) for k, p in enumerate(parts) if p]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows)), "bucket": pa.array([x[0] for x in rows], pa.int32()), "words": pa.array([x[1] for x in rows], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.string()), "bucket": pa.array([x[0] for x in rows], pa.int32()), "words": pa.array([x[1] for x in rows], pa.binary())})
 
     return run
 
@@ -186,7 +186,7 @@ def _positions(path: str, limit: int, buckets: int):
             codes = [array("I", map(rank, split(t))) for t in texts]
             where = np.array([_bucket(w, buckets) for w in ranked], "<u4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int64())), pa.array([_planes(where)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(c.tobytes() for c in codes), "<u4"))], pa.binary())],
+                [pa.array([block], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int64())), pa.array([_planes(where)], pa.binary()), pa.array([_planes(np.frombuffer(b"".join(c.tobytes() for c in codes), "<u4"))], pa.binary())],
                 names=["block", "doc_ids", "counts", "buckets", "codes"],
             )
 

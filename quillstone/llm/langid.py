@@ -117,7 +117,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found[lang].update(words(text))
         for lang, c in found.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c)), "word": pa.array(list(c)), "n": pa.array(list(c.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
     rows = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}

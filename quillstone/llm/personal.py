@@ -252,7 +252,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
                     rows["c", (), lab[k] * 10 + lab[k + 1]] += 1
                 for a, b2 in g.skip:
                     rows["s", (), int(lab[a] == lab[b2])] += 1
-        yield pa.RecordBatch.from_pydict({"what": pa.array([k[0] for k in rows]), "features": pa.array([list(k[1]) for k in rows], pa.list_(pa.string())), "label": pa.array([k[2] for k in rows], pa.int32()), "n": pa.array(list(rows.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"what": pa.array([k[0] for k in rows], pa.string()), "features": pa.array([list(k[1]) for k in rows], pa.list_(pa.string())), "label": pa.array([k[2] for k in rows], pa.int32()), "n": pa.array(list(rows.values()), pa.int64())})
 
     found = src.mapInArrow(count, "what string, features array<string>, label int, n long").groupBy("what", "features", "label").agg(F.sum("n").alias("n")).collect()
     nodes: dict = defaultdict(int)
