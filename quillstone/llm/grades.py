@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread
+from .shared import documents, dropped, spread, written
 
 #: Rated documents, in expectation, that the model is fitted on.
 MAX_RATED = 16_000
@@ -66,7 +66,7 @@ class Model:
         for w in set(words):
             v = cache.get(w)
             if v is None:
-                if len(cache) > 500_000:
+                if len(cache) > 250_000:
                     cache.clear()
                 v = cache[w] = sum(get(f, 0.0) for f in word_features(w))
             total += v
@@ -122,34 +122,44 @@ def label_grade() -> Column:
 
 def fit(sample: DataFrame, n_grades: int = 3) -> Model:
     """sample: text, grade (0 to n_grades - 1), bounded (see rated()). An empty one gives a model without
-    weights. What comes to the driver is the sample's features."""
+    weights. Tasks count features by grade; what comes to the driver are the features that differ by grade,
+    and the sample's rows of these."""
 
-    def features(batches):
+    def all_features(t: str) -> set[int]:
+        words = _words(t)
+        return set(text_features(t, words)).union(*map(word_features, set(words)))
+
+    def count(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                words = _words(t)
-                out.append(sorted(set(text_features(t, words)).union(*map(word_features, set(words)))))
-            yield pa.RecordBatch.from_pydict({"grade": b.column("grade"), "features": pa.array(out, pa.list_(pa.int64()))})
-
-    table = sample.mapInArrow(features, "grade int, features array<long>").toArrow()
-    grades = table.column("grade").to_numpy()
-    lists = table.column("features").combine_chunks()
-    if not len(grades):
+            n, total = {}, {}
+            for g, t in zip(b.column("grade").to_pylist(), b.column("text").to_pylist()):
+                for f in all_features(t):
+                    n[f] = n.get(f, 0) + 1
+                    total[f] = total.get(f, 0) + g
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["f", "n", "total"])
+
+    sample = written(sample.select("text", "grade"))
+    overall = sample.agg(F.avg("grade"), F.stddev_pop("grade")).first()
+    if overall[0] is None:
+        dropped(sample)
         return Model({}, np.zeros(n_grades - 1))
-    flat, lens = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    order = np.lexsort((lists.value_lengths().to_numpy(), grades))  # rows come in any order; sums must not depend on it
-    names, at = np.unique(flat, return_inverse=True)
-    y = np.repeat(grades, lens).astype(float)
-    n = np.bincount(at, minlength=len(names))
-    mean = np.bincount(at, y, len(names)) / n
-    z = (mean - grades.mean()) * np.sqrt(n) / max(grades.std(), 1e-9)
-    used = (n >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z) & (np.abs(mean - grades.mean()) >= LEAST_SHIFT)
-    place = np.cumsum(used) - 1
-    rows = [place[at[a : a + k]][used[at[a : a + k]]].tolist() for a, k in zip(np.cumsum(lens) - lens, lens)]
-    rows, grades = [rows[k] for k in order], grades[order]
-    w, cuts = fit_ordinal(rows, grades, int(used.sum()), n_grades)
-    return Model(dict(zip(names[used].tolist(), w.tolist())), cuts)
+    mean, spread_ = overall[0], max(overall[1], 1e-9)
+    counts = sample.mapInArrow(count, "f long, n long, total long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    shift = F.abs(F.col("total") / F.col("n") - mean)
+    used = counts.filter((F.col("n") >= LEAST_DOCS) & (shift >= LEAST_SHIFT) & (shift * F.sqrt("n") / spread_ >= LEAST_Z))
+    names = sorted(r["f"] for r in used.select("f").collect())
+    place = sample.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
+
+    def rows_of(batches):
+        for b in batches:
+            out = [sorted(place.value[f] for f in all_features(t) if f in place.value) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"grade": b.column("grade"), "features": pa.array(out, pa.list_(pa.int32()))})
+
+    table = sample.mapInArrow(rows_of, "grade int, features array<int>").toArrow()
+    rows = sorted(zip(table.column("grade").to_pylist(), table.column("features").to_pylist()))  # sums must not depend on the order
+    dropped(sample)
+    w, cuts = fit_ordinal([r for _, r in rows], np.array([g for g, _ in rows]), len(names), n_grades)
+    return Model(dict(zip(names, w.tolist())), cuts)
 
 
 def _graded(docs: DataFrame, model: Model, good: int, finish, schema, columns: list[str]) -> DataFrame:
