@@ -73,16 +73,32 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones stand for
+    themselves, the others are numbered from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def word_encoder(path: str):
+    """Ids of one word by the tokenizer's merges alone, as it was split from its text already."""
+    t, table = tokenizer(path), _byte_characters()
+    merge = t.model.tokenize
+    added = {x.content: [i] for i, x in t.get_added_tokens_decoder().items()}
+    return lambda word: added.get(word) or [x.id for x in merge(word.encode().decode("latin-1").translate(table))]
+
+
 class IdCache(dict):
     """Word to its ids as little-endian unsigned 32-bit integers; emptied when it holds `most` words."""
 
     def __init__(self, path: str, most: int = 700_000):
-        self.encode, self.most = tokenizer(path).encode, most
+        self.encode, self.most = word_encoder(path), most
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        self[word] = out = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out = array("I", self.encode(word)).tobytes()
         return out
 
 
@@ -94,10 +110,7 @@ def id_cache(path: str) -> IdCache:
 
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id, as the byte-level decoder gives them; size bound: the vocabulary."""
-    t = tokenizer(path)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+    t, byte = tokenizer(path), {c: b for b, c in _byte_characters().items()}
     out = []
     for i in range(t.get_vocab_size(with_added_tokens=True)):
         token = t.id_to_token(i) or ""
@@ -206,12 +219,10 @@ def _encode_once(path: str):
     """All blocks' words of one bucket: each distinct word is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
-        encode, known, out = tokenizer(path).encode_batch, {}, []
+        encode, out = word_encoder(path), []
         lists = [list(_unpacked(h)) for h in table.column("words").to_pylist()]
         new = list(dict.fromkeys(w for ws in lists for w in ws))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            known.update(zip(part, (x.ids for x in encode([w.decode() for w in part], add_special_tokens=False))))
+        known = {w: encode(w.decode()) for w in new}
         for ws in lists:
             n = np.array([len(known[w]) for w in ws], "<u4")
             ids = np.array([i for w in ws for i in known[w]], "<u4")
