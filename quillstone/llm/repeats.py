@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sieve, documents, dropped, small_join, spread, written
+from .shared import Sieve, documents, dropped, portions, small_join, spread, written
 
 LENGTH = 100
 K = 24
@@ -170,7 +170,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _hash_counts(src: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             found = [anchors(t.encode(), length)[0] for t in b.column("text").to_pylist()]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -192,7 +192,7 @@ def _contexts(src: DataFrame, sieve, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * len(gone), i, th, f, f, e, [None] * len(gone)), kinds)], names=names)
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             seen, out, gone = set(), [], []
             wanted = b.column("wanted") if sieve is None else None
             rows = sorted(zip(b.column("id").to_pylist(), b.column("th").to_pylist(), range(b.num_rows)))
@@ -337,7 +337,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(found.select(F.xxhash64("id", "th").alias("h")), n))
 
     def ready(batches):
-        for b in batches:
+        for b in portions(batches):
             may = sieve.value.has(b.column("h").to_numpy().view(np.uint64))
             texts = b.column("text").to_pylist()
             raw = [t.encode() for t in texts]
@@ -345,7 +345,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(map(len, raw), pa.int64()), pa.array(sha, pa.string()), pa.array([x if m else None for m, x in zip(may, raw)], pa.binary())], names=["id", "th", "n_bytes", "sha", "raw"])
 
     def finish(batches):
-        for b in batches:
+        for b in portions(batches):
             removed, runs, sha = [], [], b.column("sha").to_pylist()
             for k, (raw, spans) in enumerate(zip(b.column("raw").to_pylist(), b.column("spans").to_pylist())):
                 s = merged(spans)
