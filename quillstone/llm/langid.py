@@ -28,6 +28,9 @@ ORDER = 5
 #: Words beyond which more evidence doesn't raise the score.
 SURE_WORDS = 24
 
+#: Words whose scores a worker keeps.
+CACHED = 300_000
+
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -57,36 +60,57 @@ class Model:
                             tables[order - 1][g][k] += c
         total = sum(both.values(), np.zeros(n)) + 1
         self.words = {w: np.log((c + 0.1) / total) for w, c in both.items() if c.sum() >= LEAST_COUNT}
-        self.grams = []
+        self.grams = []  # by order: the row of each n-gram, and the rows' log frequencies
         for t in tables:
-            total = sum(t.values(), np.zeros(n)) + 1
-            self.grams.append({g: np.log((c + 0.1) / total) for g, c in t.items()})
-        self.cache: dict[str, np.ndarray] = {}
-
-    def score(self, word: str) -> np.ndarray:
-        """Relative to the best language, so that words of different orders weigh alike."""
-        s = self.words.get(word)
-        if s is None:
-            s = np.zeros(len(self.langs))
-            for order in range(min(ORDER, len(word) + 2), 0, -1):
-                found = [self.grams[order - 1].get(g) for g in grams(word, order)]
-                if all(x is not None for x in found):
-                    s = np.mean(found, axis=0)
-                    break
-        return s - s.max() if len(s) else s
+            found = np.array([*t.values()], float).reshape(len(t), n)
+            self.grams.append(({g: k for k, g in enumerate(t)}, np.log((found + 0.1) / (found.sum(axis=0) + 1))))
+        self.rows, self.scores = {}, np.empty((0, n))  # of the words met so far
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row for each word, relative to the best language, so that words of different orders weigh alike."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = []
+        for k, w in enumerate(words):
+            known = self.words.get(w)
+            if known is None:
+                left.append(k)
+            else:
+                out[k] = known
+        for order in range(ORDER, 0, -1):
+            now = [k for k in left if len(words[k]) + 2 >= order]
+            if not now:
+                continue
+            place, table = self.grams[order - 1]
+            parts = [grams(words[k], order) for k in now]
+            at = np.fromiter((place.get(g, -1) for p in parts for g in p), np.int64)
+            n = np.fromiter(map(len, parts), np.int64, len(parts))
+            starts = np.cumsum(n) - n
+            whole = np.minimum.reduceat(at, starts) >= 0  # all its n-grams are known
+            if whole.any():
+                means = np.add.reduceat(table[at], starts) / n[:, None]
+                k = np.array(now)
+                out[k[whole]] = means[whole]
+                done = set(k[whole].tolist())
+                left = [x for x in left if x not in done]
+        return out - out.max(axis=1, keepdims=True) if self.langs else out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(words(text))
         if not found or not self.langs:
             return "und", 0.0
-        total, cache = np.zeros(len(self.langs)), self.cache
-        for w, c in found.items():
-            s = cache.get(w)
-            if s is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                s = cache[w] = self.score(w)
-            total += c * s
+        rows = self.rows
+        new = [w for w in found if w not in rows]
+        if len(rows) + len(new) > CACHED:
+            rows.clear()
+            new = list(found)
+        if new:
+            end = len(rows) + len(new)
+            if end > len(self.scores):
+                self.scores = np.concatenate([self.scores[: len(rows)], np.empty((end + 4096, len(self.langs)))])
+            self.scores[len(rows) : end] = self.score(new)
+            rows.update(zip(new, range(len(rows), end)))
+        at = np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
+        total = np.fromiter(found.values(), np.float64, len(found)) @ self.scores[at]
         n = sum(found.values())
         p = np.exp((total - total.max()) * min(1.0, SURE_WORDS / n))
         k = int(total.argmax())
