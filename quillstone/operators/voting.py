@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.vectors import pack_vote, unpack_vote
-from .joins import lookup
+from .joins import SMALL_ROWS, lookup
 from .pairs import KEYS
 
 PAIR = ["scene_id", "model_id"]
@@ -15,10 +15,13 @@ PAIR = ["scene_id", "model_id"]
 
 def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None) -> DataFrame:
     """scene_id, model_id, s_r, m_r, alpha: an equi-join on bins (and on model_id, if scene holds it as its
-    bins go by the model's distance step). scene: scene_id, r, KEYS, a; model: model_id, r, KEYS, a."""
+    bins go by the model's distance step). scene: scene_id, r, KEYS, a; model: model_id, r, KEYS, a. Model pairs
+    are broadcast after a count of SMALL_ROWS at most, so that scene pairs stay where they are made."""
     on = on or [*(["model_id"] if "model_id" in scene.columns else []), *KEYS]
     s = scene.select("scene_id", *on, F.col("r").alias("s_r"), F.col("a").alias("s_a"))
     m = model.select(*dict.fromkeys(["model_id", *on]), F.col("r").alias("m_r"), F.col("a").alias("m_a"))
+    if m.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        m = F.broadcast(m)
     return s.join(m, on).select(*PAIR, "s_r", "m_r", features.alpha_bin(F.col("s_a"), F.col("m_a")).alias("alpha"))
 
 
