@@ -8,8 +8,10 @@ shingles and their order, which is as likely as their edit similarity is high.
 Equal texts count once. Documents that agree on a sketch form a bucket. A bucket isn't expanded into
 pairs: each of its documents is compared with the bucket's hub, the one that agrees with most others over
 all sketches. Buckets whose documents the links so far don't join get another hub, which is compared with
-those of other classes, and so on until a round finds no link. Comparing is by alignment of the two sequences within the band that the threshold leaves; a hub's text is
-sent once to each portion of its partners. The links' connected components are the classes.
+those of other classes, and so on until a round finds no link. Then every pair of a bucket that is of two classes and
+wasn't compared yet is compared, in blocks of the bucket, so that hubs save work but decide nothing. Comparing
+is by alignment of the two sequences within the band that the threshold leaves; a hub's text is sent once to
+each portion of its partners. The links' connected components are the classes.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 5
-#: Documents of a bucket up to which all of the hub's class stay as hubs to come; of more, a sixteenth.
+#: Documents of a bucket up to which all of the hub's class stay as hubs to come; of more, a sixteenth (the
+#: others are compared after the hubs).
 FEW = 32
+#: Documents in a block of a bucket: a task holds the sequences of two blocks.
+BLOCK = 64
 #: Partners of a hub that one task compares.
 PORTION = 400
 #: A null doc_id is a document of its own, before all others.
@@ -118,7 +123,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """id, h1, h2 (the text's hash), sketches of each row that has a text with a word."""
+    """id, h1, h2 (the text's hash), shingles (how many), sketches of each row that has a text with a word."""
 
     def run(batches):
         for b in portions(batches):
@@ -126,14 +131,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = sequence(t)
                 if len(s):
-                    out.append((i, xxhash.xxh3_128_digest(t), sketches(s).view(np.int64)))
+                    out.append((i, xxhash.xxh3_128_digest(t), sketches(s).view(np.int64), len(s)))
             h = np.frombuffer(b"".join(x[1] for x in out), "<i8").reshape(-1, 2)
             flat = np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * SKETCHES, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists], names=["id", "h1", "h2", "sketches"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([x[3] for x in out], pa.int32()), lists], names=["id", "h1", "h2", "shingles", "sketches"])
 
     src = spread(documents(docs)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    return src.mapInArrow(run, "id long, h1 long, h2 long, sketches array<long>")
+    return src.mapInArrow(run, "id long, h1 long, h2 long, shingles int, sketches array<long>")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,6 +179,54 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "hub long, node long")
 
 
+def _rest(own: DataFrame, compared: list[DataFrame], least: float) -> DataFrame:
+    """band, sketch, i, j, a, b: once each pair a < b of two classes that shares a bucket and wasn't compared, with
+    the first bucket that holds it and the blocks there. own: band, sketch, node, shingles, class."""
+    buckets = own.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    held = own.join(buckets.select("band", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["band", "sketch"])
+    held = written(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = held.select("band", "sketch", F.col("block").alias("i"), other.alias("j"), F.col("node").alias("a"), F.col("class").alias("a_class"), F.col("shingles").alias("a_n"))
+    b = held.select("band", "sketch", other.alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("shingles").alias("b_n"))
+    fits = F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")
+    pairs = a.join(b, ["band", "sketch", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fits)
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "sketch", "i", "j")).alias("at"))
+    for x in compared:
+        pairs = pairs.join(x.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), ["a", "b"], "left_anti")
+    out = written(pairs.select("at.*", "a", "b"))
+    dropped(held)
+    return out
+
+
+def _compared_in_blocks(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """hub, node of those of _rest()'s pairs that are similar; a text is sent once to each two blocks."""
+    key = ["band", "sketch", "i", "j"]
+    wanted = pairs.select(*key, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(*key, F.col("b").alias("id"), F.lit(None).cast("long").alias("other")))
+    wanted = wanted.groupBy(*key, "id").agg(F.collect_list("other").alias("others"))
+    rows = texts.join(wanted, "id").select(*key, "id", "others", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches):
+        at, held, others = None, {}, []
+
+        def finished():
+            return [(a, b) for a, bs in others for b in bs if similarity(held[a], held[b], least) >= least]
+
+        for batch in portions(batches):
+            out = []
+            for *k, i, bs, text in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if k != at:
+                    out += finished()
+                    at, held, others = k, {}, []
+                held[i] = sequence(text)
+                others.append((i, bs))
+            yield pa.RecordBatch.from_pydict({"hub": pa.array([x[0] for x in out], pa.int64()), "node": pa.array([x[1] for x in out], pa.int64())})
+        out = finished()
+        yield pa.RecordBatch.from_pydict({"hub": pa.array([x[0] for x in out], pa.int64()), "node": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows.mapInArrow(run, "hub long, node long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class (its least node) of all nodes of links (a, b), by large and small stars."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
@@ -204,14 +257,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Ties between hubs go to the lesser doc_id. Other columns are ignored.
     """
     rows = written(_sketched(docs))
-    ids = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("sketches").alias("sketches")))
-    members = ids.select("node", F.posexplode("sketches").alias("band", "sketch"))
+    ids = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches")))
+    members = ids.select("node", "shingles", F.posexplode("sketches").alias("band", "sketch"))
     sizes = members.groupBy("band", "sketch").agg(F.count("*").alias("size")).filter("size > 1")
     met = written(members.join(sizes, ["band", "sketch"]).distinct())
     degrees = written(met.groupBy("node").agg(F.sum("size").alias("degree")))
     texts = written(_texts_of(docs, degrees))
     left = written(met.join(degrees, "node").select("band", "sketch", "node", "degree"))
-    made, classes, links = [rows, ids, met, degrees, texts], None, None
+    made, classes, links, compared = [rows, ids, met, degrees, texts], None, None, []
     while True:
         made.append(left)
         own = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -223,7 +276,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         open_ = own.join(hubs, (F.col("band") == F.col("h_band")) & (F.col("sketch") == F.col("h_sketch")) & (F.col("node") != F.col("hub")) & stays)
         left = written(open_.select("band", "sketch", "node", "degree", "class", "hub", "hub_class"))
         made.append(left)
-        found = written(_compared(left.filter("class <> hub_class").select("hub", "node").distinct(), texts, least).distinct())
+        compared.append(left.filter("class <> hub_class").select("hub", "node"))
+        found = written(_compared(compared[-1].distinct(), texts, least).distinct())
         made.append(found)
         if found.isEmpty():
             break
@@ -232,6 +286,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         classes = written(components(links))
         made.append(classes)
         left = written(left.select("band", "sketch", "node", "degree"))
+    # whatever the hubs left open, from all members of all buckets
+    own = met.withColumn("class", F.col("node")) if classes is None else met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    made.append(pairs := _rest(own, compared, least))
+    made.append(found := written(_compared_in_blocks(pairs, texts, least)))
+    if not found.isEmpty():
+        new = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
+        classes = written(components(links))
+        made.append(classes)
     same = rows.join(ids.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node").distinct()
     if classes is not None:
         same = same.join(classes, "node", "left").select("id", F.coalesce("class", "node").alias("class"))

@@ -201,6 +201,21 @@ def test_near(spark, sf_dir, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({frozenset(v) for v in by.values()})
 
 
+def windows_apart(width):
+    """Windows of a run of words, each a word further, and one that is similar to the last of them only."""
+    word = [hashlib.md5(str(k).encode()).hexdigest()[:9] for k in range(12 * width)]
+    starts = [*range(width + 1), 2 * width]
+    return [(k, " ".join(word[a : a + 9 * width + 4])) for k, a in enumerate(starts)]
+
+
+def test_near_links_a_large_group_by_one_member(spark):
+    rows = windows_apart(40)
+    seqs = [near.sequence(t) for _, t in rows]
+    assert len(rows) > near.FEW and [k for k, s in enumerate(seqs[:-1]) if near.similarity(s, seqs[-1]) >= 0.8] == [40]
+    out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(42), 0)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["class"] for r in near.components(links).collect()}
