@@ -216,6 +216,13 @@ def test_near_links_a_large_group_by_one_member(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(42), 0)
 
 
+def test_near_goes_on_after_a_round_without_links(spark):
+    rows = windows_apart(20)  # the hub's round joins all but the last, the next one finds nothing
+    assert len(rows) <= near.FEW
+    out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(22), 0)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["class"] for r in near.components(links).collect()}
