@@ -3,7 +3,8 @@
 A document is the sequence of its five-word shingles, each labelled by how many equal ones come before
 it, so that labels are unique in a document. Each of SKETCHES hash functions picks the PICKED smallest
 labelled shingles and retains them in text order: documents agree on a sketch if they share these
-shingles and their order, which is as likely as their edit similarity is high.
+shingles and their order, which is as likely as their edit similarity is high. Two sequences of up to SHORT
+shingles also agree on what is left of them without those that may be unaligned: these are found for certain.
 
 Equal texts count once. Documents that agree on a sketch form a bucket. A bucket isn't expanded into
 pairs: each of its documents is compared with the bucket's hub, the one that agrees with most others over
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 5
+#: Shingles up to which a sequence is also hashed without each set of those that may be unaligned.
+SHORT = 14
 #: Documents of a bucket up to which all of the hub's class stay as hubs to come; of more, a sixteenth (the
 #: others are compared after the hubs).
 FEW = 32
@@ -98,6 +103,27 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(None)
+def _kept(n: int) -> list[np.ndarray]:
+    """Places that stay of n, a row for each choice, by how many go: at most the share that SIMILARITY leaves."""
+    most = int(n * (1 - SIMILARITY) + 1e-9)
+    return [np.array(list(combinations(range(n), n - k))) for k in range(most + 1)]
+
+
+def remainders(s: np.ndarray) -> np.ndarray:
+    """Hashes of all that an alignment of SIMILARITY can leave of a sequence of up to SHORT shingles; of longer
+    ones none. Two such sequences that are similar have one in common: the aligned shingles."""
+    if not 0 < len(s) <= SHORT:
+        return np.empty(0, np.uint64)
+    out = []
+    for at in _kept(len(s)):
+        x = np.zeros(len(at), np.uint64)
+        for k in range(at.shape[1]):
+            x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + s[at[:, k]])
+        out.append(x)
+    return np.unique(np.concatenate(out))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned shingles over all, from 0 to 1, where the alignment stays within the band: a pair as similar
     as `least` has at most that many unaligned shingles. 0 if it can't reach `least`."""
@@ -123,7 +149,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """id, h1, h2 (the text's hash), shingles (how many), sketches of each row that has a text with a word."""
+    """id, h1, h2 (the text's hash), shingles (how many), sketches (and after them remainders) of each row that has a text with a word."""
 
     def run(batches):
         for b in portions(batches):
@@ -131,10 +157,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = sequence(t)
                 if len(s):
-                    out.append((i, xxhash.xxh3_128_digest(t), sketches(s).view(np.int64), len(s)))
+                    out.append((i, xxhash.xxh3_128_digest(t), np.concatenate([sketches(s), remainders(s)]).view(np.int64), len(s)))
             h = np.frombuffer(b"".join(x[1] for x in out), "<i8").reshape(-1, 2)
             flat = np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * SKETCHES, pa.int32()), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[2]) for x in out)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([x[3] for x in out], pa.int32()), lists], names=["id", "h1", "h2", "shingles", "sketches"])
 
     src = spread(documents(docs)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
@@ -258,7 +284,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     rows = written(_sketched(docs))
     ids = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches")))
-    members = ids.select("node", "shingles", F.posexplode("sketches").alias("band", "sketch"))
+    members = ids.select("node", "shingles", F.posexplode("sketches").alias("band", "sketch")).withColumn("band", F.least("band", F.lit(SKETCHES)))
     sizes = members.groupBy("band", "sketch").agg(F.count("*").alias("size")).filter("size > 1")
     met = written(members.join(sizes, ["band", "sketch"]).distinct())
     degrees = written(met.groupBy("node").agg(F.sum("size").alias("degree")))

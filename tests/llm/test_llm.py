@@ -223,6 +223,24 @@ def test_near_goes_on_after_a_round_without_links(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(22), 0)
 
 
+def test_near_short_texts(spark):
+    r, rows = random.Random(5), []
+    for k in range(150):  # each with a word less at the end, or one or two more
+        words = [f"w{r.randrange(10**9)}" for _ in range(r.randint(5, 17))]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:-1])), (3 * k + 2, " ".join([*words, "more", "yet"][: len(words) + r.randint(1, 2)]))]
+    rows += [(500, "one two three four five six seven eight nine"), (501, "one two three four five six seven eight")]
+    out = {x["doc_id"]: x["class_id"] for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[501] == 500 and out == brute_classes(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=near.SHORT, unique=True), st.lists(st.integers(0, 20), max_size=near.SHORT, unique=True))
+def test_near_remainders(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    if near.similarity(x, y) >= 0.8:
+        assert set(near.remainders(x)) & set(near.remainders(y))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["class"] for r in near.components(links).collect()}
