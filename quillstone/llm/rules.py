@@ -4,8 +4,8 @@ Each text gives counts, and these a transformed vector. For each (lang, source)
 of its vectors come from minimum-covariance-determinant concentration steps over all rows: from medians
 and deviations, the COVERED share of rows nearest by Mahalanobis distance gives the next estimate. The
 steps are aggregations with partial sums in each task, so a hot group isn't gathered anywhere. Documents
-that lie beyond CUTOFF on the bad side of their group are rejected. Groups of fewer than LEAST_ROWS rows
-are estimated together.
+that lie beyond CUTOFF on the bad side of their group are rejected. A group of fewer than LEAST_ROWS rows, too
+few for the dimension, is held against all rows of its language, or of the table if these are too few as well.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from .shared import documents, dropped, small_join, spread, written
 #: Share of a group's rows that an estimate covers.
 COVERED = 0.75
 STEPS = 3
-#: Rows that a group needs for an estimate of its own.
-LEAST_ROWS = 200
 #: Squared distance beyond which a document is rejected.
 CUTOFF = 25.0
 #: Median of the chi-squared distribution with as many degrees of freedom as FIELDS has: scales the distances.
 MEDIAN = 5.348
 FIELDS = ["x_length", "x_symbols", "x_upper", "x_marks", "x_repeats", "x_lines"]
+#: Rows that a group needs for an estimate of its own: five for each dimension.
+LEAST_ROWS = 5 * len(FIELDS)
 #: Standard deviations that are added in quadrature, in the units of FIELDS: a field that never varies
 #: doesn't make the least change of it an outlier.
 FLOOR = np.array([0.1, 0.05, 0.05, 0.05, 0.15, 0.15])
@@ -152,17 +152,28 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF
     """The columns `keep` of docs (doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
 
-    Null texts have no words and fail. Null languages and sources are groups like others. A table too small
-    for any estimate (all of it under least_rows) keeps what the base rules keep, as one group.
+    Null texts have no words and fail. Null languages and sources are groups like others. What has fewer than
+    least_rows usable rows even as a language is judged by the estimate of the whole table, however small.
     Every row is judged on its own; other columns of docs, whatever their names, aren't read.
     """
     keep = keep or ["doc_id"]
     src = documents(docs, *dict.fromkeys([*keep, "lang", "source", "text"]))
-    src = src.withColumn("__grp", F.concat(F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")), F.lit("\t"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))))
-    held = written(statistics(src, [*keep, "__grp"]))
-    sizes = held.filter("NOT base_failed").groupBy("__grp").count().withColumn("grp", F.when(F.col("count") >= least_rows, F.col("__grp")).otherwise("*")).select("__grp", "grp")
-    rows = small_join(held, written(sizes), ["__grp"], "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
-    models = estimates(rows.filter("NOT base_failed").select("grp", *FIELDS))
+    named = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")}
+    src = src.withColumns({"__lang": F.concat(F.lit("L"), named["lang"]), "__grp": F.concat(F.lit("G"), named["lang"], F.lit("\t"), named["source"])})
+    held = written(statistics(src, [*keep, "__lang", "__grp"]))
+    usable = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
+    sizes = held.groupBy("__lang", "__grp").agg(usable.alias("n"))
+    langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
+    own = F.when(F.col("n") >= least_rows, F.col("__grp")).when(F.col("n_lang") >= least_rows, F.col("__lang")).otherwise("*")
+    sizes = written(sizes.join(langs, "__lang").select("__grp", "__lang", own.alias("grp")))
+    rows = small_join(held, sizes.select("__grp", "grp"), ["__grp"], "left")
+    # an estimate of a language or of the table takes all its rows, those of its large groups too
+    good = rows.filter("NOT base_failed")
+    wide = small_join(good.drop("grp"), written(sizes.filter("grp = __lang").select("__lang", "grp").distinct()), ["__lang"], "inner")
+    models = good.filter("grp = __grp").select("grp", *FIELDS).unionByName(wide.select("grp", *FIELDS))
+    if not sizes.filter("grp = '*'").isEmpty():
+        models = models.unionByName(good.select(F.lit("*").alias("grp"), *FIELDS))
+    models = estimates(models)
     far = small_join(rows, models, ["grp"], "left").withColumn("distance", _distance() / F.col("scale"))
     # only what is more than usual of symbols, capitals, marks or repeats, or longer words than usual, is bad
     worse = F.greatest(*[F.col(x) - F.col("centre")[k] for k, x in enumerate(FIELDS)]) > 0

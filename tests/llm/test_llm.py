@@ -163,6 +163,27 @@ def test_rules(spark, sf_dir, docs, empty):
     assert rules.judge(empty).count() == 0
 
 
+def test_rules_judge_each_group_by_itself(spark):
+    r, rows = random.Random(4), []
+
+    def add(lang, source, n, marks):
+        for _ in range(n):
+            words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(60)]
+            rows.append((len(rows), " ".join(words) + "!" * marks(r), lang, source))
+
+    add("en", "a", 150, lambda r: r.randint(60, 70))
+    add("de", "a", 60, lambda r: r.randint(0, 2))
+    add("de", "b", 8, lambda r: r.randint(0, 2))
+    add("fr", "a", 3, lambda r: 0)
+    odd = len(rows)
+    add("de", "a", 1, lambda r: 65)  # usual in English only
+    add("de", "b", 1, lambda r: 65)
+    out = {x["doc_id"]: x for x in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(out) == len(rows) and all(x["distance"] is not None for x in out.values())
+    assert [i for i in range(210) if not out[i]["kept"]] == []
+    assert not out[odd]["kept"] and not out[odd + 1]["kept"]
+
+
 # ---- 6
 
 def brute_classes(rows):
