@@ -25,8 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Documents, in expectation, that the field's weights are learned from.
 MAX_DOCS = 4_000
-#: Rounds of messages.
-ROUNDS = 8
+#: Messages are passed on until none changes by more.
+SETTLED = 1e-4
 
 _domain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -181,7 +181,7 @@ class Field:
         self.skip = np.eye(n) * float(np.clip(np.log((same + 1) / (other + 1)), 0.5, 4))
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Beliefs of each token after loopy belief propagation."""
+        """Beliefs of each token after loopy belief propagation, run until it settles."""
         chain = set(g.chain)
         unary = np.array([self.weights[[self.index.get(f, -1) for f in g.features(k, chain)]].sum(axis=0) for k in range(len(g.at))])
         for k, held in enumerate(g.label):
@@ -196,14 +196,18 @@ class Field:
         a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         psi = np.array([e[2] for e in edges])
         ahead, back = np.zeros((len(edges), NONE + 1)), np.zeros((len(edges), NONE + 1))
-        for _ in range(ROUNDS):
+        step, rounds, change = 0.5, 0, np.inf
+        while change > SETTLED:
             belief = unary.copy()
             np.add.at(belief, b, ahead)
             np.add.at(belief, a, back)
             new = np.log(np.exp((belief[a] - back)[:, :, None] + psi - 40).sum(axis=1) + 1e-300)
             old = np.log(np.exp((belief[b] - ahead)[:, None, :] + psi - 40).sum(axis=2) + 1e-300)
-            ahead = 0.5 * ahead + 0.5 * (new - new.max(axis=1, keepdims=True))
-            back = 0.5 * back + 0.5 * (old - old.max(axis=1, keepdims=True))
+            new, old = new - new.max(axis=1, keepdims=True) - ahead, old - old.max(axis=1, keepdims=True) - back
+            change = step * max(np.abs(new).max(), np.abs(old).max())
+            ahead, back, rounds = ahead + step * new, back + step * old, rounds + 1
+            if rounds % 500 == 0:  # messages that go round in a cycle are damped until they settle
+                step /= 2
         belief = unary
         np.add.at(belief, b, ahead)
         np.add.at(belief, a, back)

@@ -375,6 +375,18 @@ def test_personal(spark, sf_dir, docs, empty):
     assert personal.report(empty, field).count() == 0 and personal.report(empty).count() == 0
 
 
+def test_personal_reaches_all_mentions():
+    field = personal.Field({}, {}, (1000, 0))
+    field.weights[:] = 0  # nothing but the repeated number tells
+    text = "call +14145557134 now" + " or 14145557134 then" * 18
+    assert len(field.spans(text, personal.base_spans(text))) == 19
+    g = personal.Graph(text, personal.base_spans(text))
+    near, far = field.marginals(g)[[1, -1], 3]
+    assert near >= far > 0.6
+    clash = "+14145557134 1.2.3.4 14145557134 14145557134 " * 40  # with cycles of edges
+    assert np.isfinite(field.marginals(personal.Graph(clash, personal.base_spans(clash)))).all()
+
+
 # ---- 10
 
 def brute_repeats(rows, length=100):
