@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import split_list
@@ -44,14 +44,21 @@ def main(args: list[str] | None = None) -> None:
     scenes, models = (_clouds(spark, files) for files in (a.scene_files, a.model_files))
     options = Options(a.tau_d, a.scene_leaf_size, True, a.ref_point_df, a.vote_count_threshold, any_distance=a.use_l1_norm, averaged=a.use_averaged_clusters)
     found = register(scenes, models, options).cache()
-    found.show(1000, False)
+    _print(found)
     if a.validation_files:
         truth = None
         for k, path in enumerate(a.validation_files):
             row = texts.read_matrices(spark, path).drop("file").withColumns({"scene_id": F.lit(_name(a.scene_files[k // len(a.model_files)])), "model_id": F.lit(_name(a.model_files[k % len(a.model_files)]))})
             truth = row if truth is None else truth.unionByName(row)
         errors = poses.compared(found, truth)
-        poses.validated(errors, model_steps(models, a.tau_d), a.validation_translation_threshold, a.validation_rotation_threshold).show(1000, False)
+        _print(poses.validated(errors, model_steps(models, a.tau_d), a.validation_translation_threshold, a.validation_rotation_threshold))
+
+
+def _print(rows: DataFrame) -> None:
+    """All rows, separated by tabs under their names; a partition at a time comes to the driver."""
+    print(*rows.columns, sep="\t")
+    for r in rows.toLocalIterator():
+        print(*r, sep="\t")
 
 
 def _name(path: str) -> str:

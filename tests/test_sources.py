@@ -3,6 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import cli
 from quillstone.functions.rigid import NAMES
 from quillstone.operators import clouds, evaluation, meshes
 from quillstone.plans import registration
@@ -88,3 +89,11 @@ def test_sampling_is_exact(spark):
     assert clouds.random_sample(rows, 0.333, 1).count() == 333
     assert [r["pt_id"] for r in clouds.every_nth(rows, 300).orderBy("pt_id").collect()] == [0, 300, 600, 900]
     assert clouds.evenly_spaced(rows, 5).count() == 5
+
+
+def test_command_line_prints_all_rows(spark, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "_clouds", lambda spark, files: None)
+    monkeypatch.setattr(cli, "register", lambda *a: spark.range(1500).withColumnRenamed("id", "answer"))
+    cli.main(["--tau_d", "0.05", "--scene_files", "a.ply", "--model_files", "m.ply"])
+    lines = capsys.readouterr().out.split()
+    assert lines == ["answer", *map(str, range(1500))]
