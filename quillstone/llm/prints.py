@@ -4,7 +4,8 @@ A text's prefix arrays hold the polynomial hash of each of its beginnings, modul
 bases. Two lookups give the hash of any span, so equal spans are told in constant time, and the longest
 common extension of two places by binary search. The fingerprint is the SIZE smallest of the mixed hashes
 of all spans of one width; the likeness of two fingerprints estimates the Jaccard likeness of the texts'
-sets of spans, and is exact for short ones.
+sets of spans, and is exact for short ones. It also holds those of each narrower width, as texts of different
+lengths are compared at the width of the shorter one.
 
 A document's edited text needs the next document in the order of doc_id. Documents are dealt once, by
 ranges of doc_id with counted bounds, and sorted there; the first of a range also goes to the range before.
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .shared import documents, spread
 
-#: Smallest hashes that make a fingerprint.
+#: Widths of spans, and the code points from which each is a text's own.
+WIDTHS = {24: 96, 6: 24, 1: 0}
+#: Smallest hashes of a width that a fingerprint holds.
 SIZE = 64
 PRIME = (1 << 31) - 1
 BASES = (918_273_647, 1_537_228_673)
@@ -108,7 +111,7 @@ def common_extension(x: Prefixes, i: int, y: Prefixes, j: int) -> int:
 
 def width_of(n: int) -> int:
     """The span width by the text's length: short texts have few spans."""
-    return 24 if n >= 96 else 6 if n >= 24 else 1
+    return next(w for w, least in WIDTHS.items() if n >= least)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -140,25 +143,30 @@ class Print:
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
         self.n, self.width = len(codes), width_of(len(codes))
         self.prefixes = Prefixes(codes, head.prefixes if head else None, kept)
-        last = max(0, self.n - self.width + 1)
-        same = min(last, max(0, kept - self.width + 1)) if head and head.width == self.width else 0
-        own = mixed(self.prefixes, same, last, self.width)
-        self.hashes = np.concatenate([head.hashes[:same], own]) if same else own
-        self.least = _least([self.hashes], size)
+        self.hashes, self.least = {}, {}
+        for width in (w for w in WIDTHS if 1 < w <= self.width):
+            last = max(0, self.n - width + 1)
+            same = min(last, max(0, kept - width + 1)) if head and width in head.hashes else 0
+            own = mixed(self.prefixes, same, last, width)
+            self.hashes[width] = np.concatenate([head.hashes[width][:same], own]) if same else own
+            self.least[width] = _least([self.hashes[width]], size)
+        x = np.array([ord(c) + 1 for c in set(text)], np.uint64)  # a code point's hash, for both bases
+        self.least[1] = _least([_mix((x << np.uint64(31)) | x)], size)
 
     @property
     def text(self) -> str:
-        """The fingerprint: the width, then the smallest hashes in order, all in hexadecimal."""
-        return f"{self.width:02x}" + self.least.astype(">u4").tobytes().hex()
+        """The fingerprint: of the text's own width and then of each narrower one, separated by commas, the
+        width and the smallest hashes in order, all in hexadecimal."""
+        return ",".join(f"{w:02x}" + x.astype(">u4").tobytes().hex() for w, x in self.least.items())
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
-    """Of two fingerprints, from 0 to 1. Those of empty texts are alike; other widths aren't."""
+    """Of two fingerprints, from 0 to 1, at the lesser of their own widths. Those of empty texts are alike."""
     if a == b:
         return 1.0
-    if a[:2] != b[:2]:
-        return 0.0
-    x, y = ({t[k : k + 8] for k in range(2, len(t), 8)} for t in (a, b))
+    width = min(a[:2], b[:2])
+    x, y = (next(p for p in t.split(",") if p[:2] == width) for t in (a, b))
+    x, y = ({t[k : k + 8] for k in range(2, len(t), 8)} for t in (x, y))
     both = sorted(x | y)[:size]
     return sum(h in x and h in y for h in both) / len(both) if both else 0.0
 

@@ -328,6 +328,18 @@ def test_prints(spark, sf_dir, docs, empty):
     assert prints.compare(docs).count() == docs.count() and prints.compare(empty).count() == 0
 
 
+@pytest.mark.parametrize("n, m, width", [(100, 75, 6), (97, 95, 6), (30, 23, 1), (127, 20, 1), (400, 90, 6)])
+def test_likeness_across_widths(n, m, width):
+    r = random.Random(n)
+    a = "".join(r.choice("abcdefgh") for _ in range(n))
+    x, y = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (a, a[:m]))
+    want = len(x & y) / len(x | y)
+    got = [prints.likeness(prints.Print(s).text, prints.Print(t).text) for s, t in ((a, a[:m]), (a[:m], a))]
+    assert got[0] == got[1] == pytest.approx(want, abs=0 if len(x | y) <= prints.SIZE else 0.2) and want > 0
+    edited = prints.Print(a[:m], prints.Print(a), m)
+    assert edited.text == prints.Print(a[:m]).text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab", max_size=30), st.text("ab", max_size=30), st.integers(0, 29), st.integers(0, 29))
 def test_common_extension(a, b, i, j):
