@@ -8,11 +8,11 @@ shingles also agree on what is left of them without those that may be unaligned:
 
 Equal texts count once. Documents that agree on a sketch form a bucket. A bucket isn't expanded into
 pairs: each of its documents is compared with the bucket's hub, the one that agrees with most others over
-all sketches. Buckets whose documents the links so far don't join get another hub, which is compared with
-those of other classes, and so on until a round finds no link. Then every pair of a bucket that is of two classes and
-wasn't compared yet is compared, in blocks of the bucket, so that hubs save work but decide nothing. Comparing
-is by alignment of the two sequences within the band that the threshold leaves; a hub's text is sent once to
-each portion of its partners. The links' connected components are the classes.
+all sketches. Buckets that this leaves in several classes are finished in blocks: what isn't of the largest
+class meets all members, a task holding a bounded block of the one and reading the other past it, so that
+every pair of two classes is decided, and none is a row. Shingles that a pair has in common are counted by an
+index of the block; pairs with enough of them are aligned within the band that the threshold leaves. The
+links' connected components are the classes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sieve, documents, dropped, portions, spread, written
+from .shared import Sieve, documents, dropped, portions, spread, unused, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,11 +36,8 @@ SKETCHES = 32
 PICKED = 5
 #: Shingles up to which a sequence is also hashed without each set of those that may be unaligned.
 SHORT = 14
-#: Documents of a bucket up to which all of the hub's class stay as hubs to come; of more, a sixteenth (the
-#: others are compared after the hubs).
-FEW = 32
-#: Documents in a block of a bucket: a task holds the sequences of two blocks.
-BLOCK = 64
+#: Documents, and shingles, of a block that others of its bucket are compared with: what a task holds.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 #: Partners of a hub that one task compares.
 PORTION = 400
 #: A null doc_id is a document of its own, before all others.
@@ -205,50 +202,86 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "hub long, node long")
 
 
-def _rest(own: DataFrame, compared: list[DataFrame], least: float) -> DataFrame:
-    """band, sketch, i, j, a, b: once each pair a < b of two classes that shares a bucket and wasn't compared, with
-    the first bucket that holds it and the blocks there. own: band, sketch, node, shingles, class."""
-    buckets = own.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    held = own.join(buckets.select("band", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["band", "sketch"])
-    held = written(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = held.select("band", "sketch", F.col("block").alias("i"), other.alias("j"), F.col("node").alias("a"), F.col("class").alias("a_class"), F.col("shingles").alias("a_n"))
-    b = held.select("band", "sketch", other.alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("shingles").alias("b_n"))
-    fits = F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")
-    pairs = a.join(b, ["band", "sketch", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fits)
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "sketch", "i", "j")).alias("at"))
-    for x in compared:
-        pairs = pairs.join(x.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), ["a", "b"], "left_anti")
-    out = written(pairs.select("at.*", "a", "b"))
-    dropped(held)
-    return out
-
+def _open_blocks(own: DataFrame, hubs: DataFrame) -> DataFrame:
+    """band, sketch, i, j, id, class, left: the members of buckets that the hubs leave in two classes or more.
 
-def _compared_in_blocks(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """hub, node of those of _rest()'s pairs that are similar; a text is sent once to each two blocks."""
+    All but the bucket's largest class are `left`, in blocks i of bounded size, and meet all members, in
+    chunks j: a pair of the largest class is never looked at, and a row is repeated once for each block of
+    the others, not for each partner. The hub was compared with all members already.
+    own: band, sketch, node, shingles, class; hubs: h_band, h_sketch, hub.
+    """
+    rest = own.join(hubs, (F.col("band") == F.col("h_band")) & (F.col("sketch") == F.col("h_sketch")) & (F.col("node") != F.col("hub")))
+    rest = written(rest.select("band", "sketch", "node", "shingles", "class"))
+    sizes = rest.groupBy("band", "sketch", "class").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    sizes = sizes.groupBy("band", "sketch").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"), F.max_by("s", F.struct("n", "class")).alias("s_top"), F.sum("s").alias("s"))
+    parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.filter("n > n_top").select("band", "sketch", "top", parts(F.col("n") - F.col("n_top"), F.col("s") - F.col("s_top")).alias("blocks"), parts(F.col("n") / 4, F.col("s") / 4).alias("chunks"))
+    held = rest.join(sizes, ["band", "sketch"]).withColumn("h", F.xxhash64("node"))
+    i, j = F.pmod("h", F.col("blocks")).cast("int"), F.pmod("h", F.col("chunks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.filter("class <> top").select("band", "sketch", i.alias("i"), every("chunks").alias("j"), F.col("node").alias("id"), "class", F.lit(True).alias("left"))
+    right = held.select("band", "sketch", every("blocks").alias("i"), j.alias("j"), F.col("node").alias("id"), "class", (F.col("class") != F.col("top")).alias("other"))
+    return left.withColumn("other", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+
+
+class _Block:
+    """Members that all others of a bucket are compared with: their shingles, sorted, lead to those that hold them."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.ids, self.roots = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.sketches, self.seqs = np.stack([r[2] for r in rows]), [r[3] for r in rows]
+        self.sizes = np.fromiter(map(len, self.seqs), np.int64, len(rows))
+        flat = np.concatenate(self.seqs)
+        order = np.argsort(flat)
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(rows)), self.sizes)[order]
+
+    def linked(self, band: int, i: int, root: int, other: bool, sketch: np.ndarray, s: np.ndarray, least: float) -> list[int]:
+        """Ids of similar members of other classes than root, whose classes become one. Pairs that meet in an
+        earlier band are left to it, and two of the smaller classes are compared once."""
+        now = (self.roots != root) & (self.ids != i) & (np.minimum(self.sizes, len(s)) >= least * np.maximum(self.sizes, len(s)))
+        if other:
+            now &= self.ids < i
+        if not now.any():
+            return []
+        now &= ~(self.sketches[:, :band] == sketch[:band]).any(axis=1)
+        a, b = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        n = b - a
+        both = np.bincount(self.owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(self.ids))
+        out = []
+        for k in np.flatnonzero(now & (both >= least * (self.sizes + len(s) - both))):
+            if self.roots[k] != root and similarity(self.seqs[k], s, least) >= least:
+                out.append(int(self.ids[k]))
+                self.roots[self.roots == self.roots[k]] = root
+        return out
+
+
+def _compared_in_blocks(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """hub, node of similar members that _open_blocks() brings together: enough of them to join their classes."""
     key = ["band", "sketch", "i", "j"]
-    wanted = pairs.select(*key, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(*key, F.col("b").alias("id"), F.lit(None).cast("long").alias("other")))
-    wanted = wanted.groupBy(*key, "id").agg(F.collect_list("other").alias("others"))
-    rows = texts.join(wanted, "id").select(*key, "id", "others", "text")
-    rows = rows.repartition(*key).sortWithinPartitions(*key)
+    rows = texts.join(rows, "id").select(*key, "left", "other", "class", "id", "sketches", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.col("left").desc(), "id")
 
     def run(batches):
-        at, held, others = None, {}, []
-
-        def finished():
-            return [(a, b) for a, bs in others for b in bs if similarity(held[a], held[b], least) >= least]
-
+        at, held, block, roots = None, [], None, {}
         for batch in portions(batches):
+            lists = batch.column(batch.schema.get_field_index("sketches"))
+            own = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
             out = []
-            for *k, i, bs, text in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if k != at:
-                    out += finished()
-                    at, held, others = k, {}, []
-                held[i] = sequence(text)
-                others.append((i, bs))
+            columns = (batch.column(c).to_pylist() for c in (*key, "left", "other", "class", "id", "text"))
+            for n, (band, sketch, i, j, left, other, cls, node, text) in enumerate(zip(*columns)):
+                if (band, sketch, i, j) != at:
+                    at, held, block, roots = (band, sketch, i, j), [], None, {}
+                s = sequence(text)
+                if left:
+                    held.append((node, cls, own[n], s))
+                    continue
+                block = block or _Block(held)
+                found = block.linked(band, node, roots.get(cls, cls), other, own[n], s, least)
+                out += [(node, x) for x in found]
+                if found:  # a class that was joined to another stays so for the rest of the block
+                    for k, (_, c, _, _) in enumerate(held):
+                        roots[c] = int(block.roots[k])
             yield pa.RecordBatch.from_pydict({"hub": pa.array([x[0] for x in out], pa.int64()), "node": pa.array([x[1] for x in out], pa.int64())})
-        out = finished()
-        yield pa.RecordBatch.from_pydict({"hub": pa.array([x[0] for x in out], pa.int64()), "node": pa.array([x[1] for x in out], pa.int64())})
 
     return rows.mapInArrow(run, "hub long, node long")
 
@@ -288,39 +321,25 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sizes = members.groupBy("band", "sketch").agg(F.count("*").alias("size")).filter("size > 1")
     met = written(members.join(sizes, ["band", "sketch"]).distinct())
     degrees = written(met.groupBy("node").agg(F.sum("size").alias("degree")))
-    texts = written(_texts_of(docs, degrees))
-    left = written(met.join(degrees, "node").select("band", "sketch", "node", "degree"))
-    made, classes, links, compared = [rows, ids, met, degrees, texts], None, None, []
-    while True:
-        made.append(left)
-        own = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        order = F.struct("degree", F.bitwise_not("node"))
-        hubs = own.groupBy("band", "sketch").agg(F.max_by(F.struct("node", "class"), order).alias("hub"), F.count("*").alias("size"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
-        hubs = hubs.select(F.col("band").alias("h_band"), F.col("sketch").alias("h_sketch"), F.col("hub.node").alias("hub"), F.col("hub.class").alias("hub_class"), "size")
-        # of the hub's own class, a part is enough for hubs to come
-        stays = (F.col("class") != F.col("hub_class")) | (F.col("size") <= FEW) | (F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
-        open_ = own.join(hubs, (F.col("band") == F.col("h_band")) & (F.col("sketch") == F.col("h_sketch")) & (F.col("node") != F.col("hub")) & stays)
-        left = written(open_.select("band", "sketch", "node", "degree", "class", "hub", "hub_class"))
-        made.append(left)
-        compared.append(left.filter("class <> hub_class").select("hub", "node"))
-        found = written(_compared(compared[-1].distinct(), texts, least).distinct())
-        made.append(found)
-        if found.isEmpty():
-            break
-        new = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
-        classes = written(components(links))
-        made.append(classes)
-        left = written(left.select("band", "sketch", "node", "degree"))
-    # whatever the hubs left open, from all members of all buckets
+    texts = written(_texts_of(docs, degrees).join(ids.select(F.col("node").alias("id"), F.slice("sketches", 1, SKETCHES).alias("sketches")), "id"))
+    best = F.max_by("node", F.struct("degree", F.bitwise_not("node"))).alias("hub")
+    hubs = written(met.join(degrees, "node").groupBy("band", "sketch").agg(best).withColumnsRenamed({"band": "h_band", "sketch": "h_sketch"}))
+    made = [rows, ids, met, degrees, texts, hubs]
+    pairs = met.join(hubs, (F.col("band") == F.col("h_band")) & (F.col("sketch") == F.col("h_sketch")) & (F.col("node") != F.col("hub"))).select("hub", "node")
+    made.append(pairs := written(pairs.distinct()))
+    classes, links = None, None
+
+    def join_classes(found):
+        nonlocal classes, links
+        made.append(found := written(found.distinct()))
+        if not found.isEmpty():
+            new = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
+            made.append(classes := written(components(links)))
+
+    join_classes(_compared(pairs, texts, least))
     own = met.withColumn("class", F.col("node")) if classes is None else met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    made.append(pairs := _rest(own, compared, least))
-    made.append(found := written(_compared_in_blocks(pairs, texts, least)))
-    if not found.isEmpty():
-        new = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
-        classes = written(components(links))
-        made.append(classes)
+    join_classes(_compared_in_blocks(_open_blocks(own, hubs), texts, least))
     same = rows.join(ids.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node").distinct()
     if classes is not None:
         same = same.join(classes, "node", "left").select("id", F.coalesce("class", "node").alias("class"))
@@ -342,11 +361,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def drop_near(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs, with all its columns, one document of each class: the one of the least doc_id (of rows of that
     doc_id, one with the least text)."""
+    own, at = unused(docs, "id"), unused(docs, "row")
     classes = near_duplicates(docs, least)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.lit(True).alias("__kept")).distinct()
-    out = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(kept, "__id")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(own)).distinct()
+    out = docs.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).join(kept, own)
     again = documents(docs, "doc_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if again:
         rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        out = out.groupBy("__id").agg(F.min_by(rest, F.col("text")).alias("__row")).select("__row.*")
+        out = out.groupBy(own).agg(F.min_by(rest, F.col("text")).alias(at)).select(f"{at}.*")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -85,6 +85,15 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns or ("doc_id", "text")])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def portions(batches, rows: int = 1_000):
     """Batches in parts of so many rows, so that few texts are Python strings at a time."""
     for b in batches:

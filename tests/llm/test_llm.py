@@ -232,14 +232,13 @@ def windows_apart(width):
 def test_near_links_a_large_group_by_one_member(spark):
     rows = windows_apart(40)
     seqs = [near.sequence(t) for _, t in rows]
-    assert len(rows) > near.FEW and [k for k, s in enumerate(seqs[:-1]) if near.similarity(s, seqs[-1]) >= 0.8] == [40]
+    assert [k for k, s in enumerate(seqs[:-1]) if near.similarity(s, seqs[-1]) >= 0.8] == [40]
     out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(42), 0)
 
 
-def test_near_goes_on_after_a_round_without_links(spark):
-    rows = windows_apart(20)  # the hub's round joins all but the last, the next one finds nothing
-    assert len(rows) <= near.FEW
+def test_near_links_a_small_group_by_one_member(spark):
+    rows = windows_apart(20)
     out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows) == dict.fromkeys(range(22), 0)
 
