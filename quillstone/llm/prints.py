@@ -24,11 +24,15 @@ from .shared import documents, spread
 
 #: Widths of spans, and the code points from which each is a text's own.
 WIDTHS = {24: 96, 6: 24, 1: 0}
-#: Smallest hashes of a width that a fingerprint holds.
-SIZE = 64
+#: Smallest hashes of a width that a fingerprint holds, and bits of each: texts of ten million code points
+#: have an equal hash by chance with probability 2e-6.
+SIZE, BITS = 64, 48
+DIGITS = BITS // 4
 PRIME = (1 << 31) - 1
 BASES = (918_273_647, 1_537_228_673)
 _PORTION = 1 << 20
+#: Bytes of text that a task compares, about.
+RANGE_BYTES = 64_000_000
 #: A null doc_id comes before all others.
 NO_ID = -(1 << 63)
 
@@ -74,30 +78,24 @@ class Prefixes:
                 out[: kept + 1] = head.arrays[k][: kept + 1]
             for a in range(kept, self.n, _PORTION):
                 b = min(a + _PORTION, self.n)
-                terms = _fold((codes[a:b].astype(np.uint64) + np.uint64(1)) * up[a:b])
+                terms = (codes[a:b].astype(np.uint64) + np.uint64(1)) * up[a:b]
+                terms = (terms & np.uint64(PRIME)) + (terms >> np.uint64(31))  # below 2^32: the sums fit
                 out[a + 1 : b + 1] = _fold(np.cumsum(terms) + np.uint64(out[a]))
             self.arrays.append(out)
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hashes of spans, 62 bits each."""
-        out = np.zeros(len(starts), np.uint64)
-        for powers, prefix in zip(_powers, self.arrays):
-            _, down = powers.upto(self.n + 1)
-            d = prefix[ends].astype(np.uint64) + np.uint64(PRIME) - prefix[starts]
-            out = (out << np.uint64(31)) | _fold(_fold(d) * down[starts])
-        return out
-
     def windows(self, a: int, b: int, width: int) -> np.ndarray:
-        """The hashes of the spans of `width` that start at a, a + 1, ... b - 1."""
+        """The hashes of the spans of `width` that start at a, a + 1, ... b - 1, 62 bits each."""
         out = np.zeros(max(0, b - a), np.uint64)
         for powers, prefix in zip(_powers, self.arrays):
             _, down = powers.upto(self.n + 1)
-            d = prefix[a + width : b + width].astype(np.uint64) + np.uint64(PRIME) - prefix[a:b]
-            out = (out << np.uint64(31)) | _fold(_fold(d) * down[a:b])
+            d = prefix[a + width : b + width].astype(np.uint64) + np.uint64(PRIME) - prefix[a:b]  # below 2^32
+            out = (out << np.uint64(31)) | _fold(d * down[a:b])
         return out
 
-    def span(self, a: int, b: int) -> int:
-        return int(self.spans(np.array([a]), np.array([b]))[0])
+    def span(self, a: int, b: int) -> tuple[int, ...]:
+        """The hash of one span, for both bases."""
+        downs = (powers.upto(self.n + 1)[1] for powers in _powers)
+        return tuple((int(x[b]) - int(x[a])) * int(down[a]) % PRIME for x, down in zip(self.arrays, downs))
 
 
 def common_extension(x: Prefixes, i: int, y: Prefixes, j: int) -> int:
@@ -117,7 +115,7 @@ def width_of(n: int) -> int:
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))) >> np.uint64(32)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - BITS)
 
 
 def _least(values: list[np.ndarray], size: int) -> np.ndarray:
@@ -157,7 +155,7 @@ class Print:
     def text(self) -> str:
         """The fingerprint: of the text's own width and then of each narrower one, separated by commas, the
         width and the smallest hashes in order, all in hexadecimal."""
-        return ",".join(f"{w:02x}" + x.astype(">u4").tobytes().hex() for w, x in self.least.items())
+        return ",".join(f"{w:02x}" + (x << np.uint64(64 - BITS)).astype(">u8").view("u1").reshape(-1, 8)[:, : BITS // 8].tobytes().hex() for w, x in self.least.items())
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
@@ -166,7 +164,7 @@ def likeness(a: str, b: str, size: int = SIZE) -> float:
         return 1.0
     width = min(a[:2], b[:2])
     x, y = (next(p for p in t.split(",") if p[:2] == width) for t in (a, b))
-    x, y = ({t[k : k + 8] for k in range(2, len(t), 8)} for t in (x, y))
+    x, y = ({t[k : k + DIGITS] for k in range(2, len(t), DIGITS)} for t in (x, y))
     both = sorted(x | y)[:size]
     return sum(h in x and h in y for h in both) / len(both) if both else 0.0
 
@@ -183,22 +181,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """r, extra, id, doc_id, text in ranges r of id; rows of extra 1 are the first of the next range."""
+    """r, extra, id, doc_id, text in ranges r of id; rows of extra 1 are the first of the next range.
+
+    The ids' quantiles cut many narrow ranges, whose texts' bytes are counted; neighbours are joined to ranges of
+    about equal bytes, RANGE_BYTES at most unless the shuffle partitions ask for smaller ones.
+    """
     spark = docs.sparkSession
-    ids = documents(docs, "doc_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    ids = documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(sorted(set(ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or [])), np.int64)
+
+    def quantiles(n: int):
+        narrow = 8 * n
+        at = F.percentile_approx("id", [k / narrow for k in range(1, narrow)], max(10_000, 4 * narrow))
+        total, found = ids.agg(F.sum("bytes"), at).first()
+        return total or 0, np.array(sorted(set(found or [])), np.int64)
+
+    total, cuts = quantiles(n)
+    if total > n * RANGE_BYTES:
+        n = -(-total // RANGE_BYTES)
+        total, cuts = quantiles(n)
 
     def first_of(batches):
-        least: dict[int, int] = {}
+        least: dict[int, list[int]] = {}
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
+            x, size = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for r in np.unique(at := np.searchsorted(cuts, x, side="right")):
-                low = int(x[at == r].min())
-                least[int(r)] = min(low, least.get(int(r), low))
-        yield pa.RecordBatch.from_pydict({"r": pa.array(list(least), pa.int32()), "id": pa.array(list(least.values()), pa.int64())})
-
-    found = sorted((x["r"], x["id"]) for x in ids.mapInArrow(first_of, "r int, id long").groupBy("r").agg(F.min("id").alias("id")).collect())
+                own, low = at == r, least.setdefault(int(r), [1 << 62, 0])
+                low[:] = min(low[0], int(x[own].min())), low[1] + int(size[own].sum())
+        yield pa.RecordBatch.from_pydict({"r": pa.array(list(least), pa.int32()), "id": pa.array([x[0] for x in least.values()], pa.int64()), "bytes": pa.array([x[1] for x in least.values()], pa.int64())})
+
+    held = sorted(map(tuple, ids.mapInArrow(first_of, "r int, id long, bytes long").groupBy("r").agg(F.min("id").alias("id"), F.sum("bytes").alias("bytes")).collect()))
+    found, done = [], 0
+    for _, i, size in held:
+        r = min(n - 1, done * n // max(1, total))
+        if not found or found[-1][0] != r:
+            found.append((r, i))
+        done += size
+    cuts = np.array([i for _, i in found[1:]], np.int64)
+    found = [(k, i) for k, (_, i) in enumerate(found)]
     before = {i: found[k - 1][0] for k, (_, i) in enumerate(found)}  # the last range is before the first one
     firsts = pa.array(list(before), pa.int64())
 
@@ -248,4 +268,4 @@ def compare(docs: DataFrame) -> DataFrame:
 
     shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
     names = [x.split()[0] for x in shape.split(", ")]
-    return dealt.repartition(n, "r").sortWithinPartitions("r", "extra", "id", "text").mapInArrow(run, shape)
+    return dealt.repartitionById(n, F.col("r")).sortWithinPartitions("r", "extra", "id", "text").mapInArrow(run, shape)
