@@ -52,13 +52,20 @@ def frame_angles(n: Vec) -> tuple[Column, Column]:
     return y, -F.atan2(n[1], F.cos(y) * n[0] + F.sin(y) * n[2])
 
 
+def frame_terms(n: Vec) -> tuple[Column, Column, Column, Column]:
+    """Cosine and sine of frame_angles(), of y and then of z."""
+    y, z = frame_angles(n)
+    return F.cos(y), F.sin(y), F.cos(z), F.sin(z)
+
+
+def side_angle_of(d: Vec, cy: Column, sy: Column, cz: Column, sz: Column) -> Column:
+    """side_angle() of the line d, by the frame_terms() of the normal."""
+    return F.atan2(-sy * d[0] + cy * d[2], sz * (cy * d[0] + sy * d[2]) + cz * d[1])
+
+
 def side_angle(p: Vec, n: Vec, q: Vec) -> Column:
     """The angle about the x axis at which q lies once p is the origin and n the x axis."""
-    y, z = frame_angles(n)
-    d = sub(q, p)
-    local_y = F.sin(z) * (F.cos(y) * d[0] + F.sin(y) * d[2]) + F.cos(z) * d[1]
-    local_z = -F.sin(y) * d[0] + F.cos(y) * d[2]
-    return F.atan2(local_z, local_y)
+    return side_angle_of(sub(q, p), *frame_terms(n))
 
 
 def wrap(a: Column) -> Column:

@@ -113,9 +113,10 @@ def best(scored: DataFrame, averaged: bool = False) -> DataFrame:
     return out.withColumns({"t14": F.col("ax"), "t24": F.col("ay"), "t34": F.col("az")}) if averaged else out
 
 
-def greedy_clusters(poses: DataFrame, d_dist: float, rotation: float = features.D_ANGLE, keep: int = 3) -> DataFrame:
+def greedy_clusters(poses: DataFrame, d_dist: float | None = None, rotation: float = features.D_ANGLE, keep: int = 3) -> DataFrame:
     """PAIR, rank, votes, n_poses, tx ... qz: poses taken by falling count join the first cluster whose seed
-    is near, or make a new one; the `keep` clusters of most votes, with mean translation and rotation.
+    is near, or make a new one; the `keep` clusters of most votes, with mean translation and rotation. d_dist:
+    how far translations of a cluster may lie from its seed's; None: poses' column d_dist, the model's step.
 
     The assignment depends on the order, so each scene and model is one group; give it pruned votes. A
     cluster's quaternions are turned to its seed's side before they are averaged.
@@ -125,13 +126,14 @@ def greedy_clusters(poses: DataFrame, d_dist: float, rotation: float = features.
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cnt", "vote_code"], ascending=[False, True])
         t, q, cnt = pdf[MOVE].to_numpy(), pdf[QUATERNION].to_numpy(), pdf["cnt"].to_numpy()
+        reach = pdf["d_dist"].iloc[0]
         seeds: list[int] = []
         own = np.empty(len(pdf), int)
         for k in range(len(pdf)):
             if seeds:
                 s = np.array(seeds)
                 turn = 2 * np.arccos(np.clip(np.abs(q[s] @ q[k]), 0, 1))
-                near = (np.linalg.norm(t[s] - t[k], axis=1) < d_dist) & (turn < rotation)
+                near = (np.linalg.norm(t[s] - t[k], axis=1) < reach) & (turn < rotation)
                 if near.any():
                     own[k] = int(near.argmax())
                     continue
@@ -149,7 +151,27 @@ def greedy_clusters(poses: DataFrame, d_dist: float, rotation: float = features.
     names = [*PAIR, "rank", "votes", "n_poses", *MOVE, *QUATERNION]
     kinds = {c: poses.schema[c].dataType.simpleString() for c in PAIR}
     shape = ", ".join([*(f"{c} {kinds[c]}" for c in PAIR), "rank long", "votes long", "n_poses long", *(f"{c} double" for c in (*MOVE, *QUATERNION))])
-    return poses.select(*PAIR, "cnt", "vote_code", *MOVE, *QUATERNION).groupBy(*PAIR).applyInPandas(cluster, shape)
+    reach = F.col("d_dist") if d_dist is None else F.lit(float(d_dist))
+    return poses.select(*PAIR, "cnt", "vote_code", *MOVE, *QUATERNION, reach.alias("d_dist")).groupBy(*PAIR).applyInPandas(cluster, shape)
+
+
+def cluster_poses(clusters: DataFrame) -> DataFrame:
+    """PAIR, score (a cluster's votes) and t11 ... t34 of clusters as greedy_clusters() gives them."""
+    t = rigid.from_quaternion(tuple(F.col(c) for c in QUATERNION)), V.vec(*MOVE)
+    return clusters.select(*PAIR, F.col("votes").cast("double").alias("score"), *[c.alias(n) for n, c in rigid.to_columns(t).items()])
+
+
+def three_transforms(cells: DataFrame, scene: DataFrame, model: DataFrame) -> DataFrame:
+    """cells (PAIR, s_r, m_r, turn) with the model's frame m_t11 ..., the scene's frame s_t11 ... (either puts its
+    reference point at the origin and the normal on the x axis) and the turn about that axis, a_t11 ..."""
+    df = _frame_stages(_frame_stages(with_points(cells, scene, model), "s_"), "m_")
+    out = {}
+    for p in ("m_", "s_"):
+        r = tuple(F.col(f"{p}f{k}") for k in range(9))
+        t = r, V.scale(rigid.turn(r, V.vec(*[p + a for a in POINT])), -1.0)
+        out |= {p + n: c for n, c in rigid.to_columns(t).items()}
+    out |= {"a_" + n: c for n, c in rigid.to_columns((rigid.rotx(F.col("turn")), V.literal(0.0, 0.0, 0.0))).items()}
+    return df.select(*[F.col(x) for x in cells.columns], *[c.alias(n) for n, c in out.items()])
 
 
 def compared(estimates: DataFrame, truth: DataFrame) -> DataFrame:

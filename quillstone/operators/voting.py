@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +13,56 @@ from .joins import SMALL_ROWS, lookup
 from .pairs import KEYS
 
 PAIR = ["scene_id", "model_id"]
+#: Pairs of a bin that one task joins with as many of the other side, about.
+BIN_ROWS = 2_000
 
 
-def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None) -> DataFrame:
+def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None, exact: bool = False) -> DataFrame:
     """scene_id, model_id, s_r, m_r, alpha: an equi-join on bins (and on model_id, if scene holds it as its
-    bins go by the model's distance step). scene: scene_id, r, KEYS, a; model: model_id, r, KEYS, a. Model pairs
-    are broadcast after a count of SMALL_ROWS at most, so that scene pairs stay where they are made."""
+    bins go by the model's distance step). scene: scene_id, r, KEYS, a; model: model_id, r, KEYS, a. exact: also
+    turn, the angle that alpha is the bin of, and s_i, m_i, the pairs' other points (column i of either side).
+
+    Model pairs are broadcast after a count of SMALL_ROWS at most, so that scene pairs stay where they are made.
+    More are joined by bin, and bins with many pairs are split on both sides (see _split()).
+    """
     on = on or [*(["model_id"] if "model_id" in scene.columns else []), *KEYS]
-    s = scene.select("scene_id", *on, F.col("r").alias("s_r"), F.col("a").alias("s_a"))
-    m = model.select(*dict.fromkeys(["model_id", *on]), F.col("r").alias("m_r"), F.col("a").alias("m_a"))
+    i = (lambda p: [F.col("i").alias(f"{p}_i")]) if exact else (lambda p: [])
+    s = scene.select("scene_id", *on, F.col("r").alias("s_r"), F.col("a").alias("s_a"), *i("s"))
+    m = model.select(*dict.fromkeys(["model_id", *on]), F.col("r").alias("m_r"), F.col("a").alias("m_a"), *i("m"))
     if m.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        m = F.broadcast(m)
-    return s.join(m, on).select(*PAIR, "s_r", "m_r", features.alpha_bin(F.col("s_a"), F.col("m_a")).alias("alpha"))
+        met = s.join(F.broadcast(m), on)
+    else:
+        s, m, parts = _split(s, m, on)
+        met = s.join(m, [*on, *parts])
+    turn = features.wrap(F.col("s_a") - F.col("m_a"))
+    more = [turn.alias("turn"), "s_i", "m_i"] if exact else []
+    return met.select(*PAIR, "s_r", "m_r", features.alpha_bin(F.col("s_a"), F.col("m_a")).alias("alpha"), *more)
+
+
+def _split(s: DataFrame, m: DataFrame, on: list[str], most: int = BIN_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """s and m with columns that cut the rows of large bins into pieces of about `most`; each piece of the one
+    side meets each piece of the other, so that a hot bin spreads over many tasks."""
+    pieces = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    heavy = pieces(s, "__s").join(pieces(m, "__m"), on).filter("__s > 1 OR __m > 1")
+    own = lambda ref, name: F.coalesce(F.pmod(F.xxhash64(ref), F.col(name)).cast("int"), F.lit(0))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1))
+    s, m = lookup(s, heavy, on, "left"), lookup(m, heavy, on, "left")
+    s = s.withColumn("__a", own("s_a", "__s")).withColumn("__b", every("__m")).drop("__s", "__m")
+    m = m.withColumn("__b", own("m_a", "__m")).withColumn("__a", every("__s")).drop("__s", "__m")
+    return s, m, ["__a", "__b"]
+
+
+def last_turns(found: DataFrame) -> DataFrame:
+    """PAIR, s_r, m_r, alpha, turn: for each cell of votes the exact angle of its last candidate, in the order of
+    scene points and then of model points. found: as candidates() gives them with exact."""
+    return found.groupBy(*PAIR, "s_r", "m_r", "alpha").agg(F.max_by("turn", F.struct("s_i", "m_i")).alias("turn"))
+
+
+def turn_histogram(found: DataFrame, edges: int = 100) -> DataFrame:
+    """PAIR, edge (from 1), n: exact angles by the last of `edges` even marks from -pi to pi that isn't above them."""
+    step = 2 * math.pi / (edges - 1)
+    edge = F.least(F.floor((F.col("turn") + math.pi) / step) + 1, F.lit(edges)).alias("edge")
+    return found.groupBy(*PAIR, edge).agg(F.count("*").alias("n"))
 
 
 def votes(found: DataFrame) -> DataFrame:

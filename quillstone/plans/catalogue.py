@@ -6,6 +6,7 @@ Floating results are rounded to six decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,9 @@ from ..functions import features, hashing, rigid
 from ..functions import vectors as V
 from ..functions.text import model_name
 from ..operators import clouds, evaluation, meshes, pairs, poses, synthesis, voting
-from ..operators.tables import stored
+from ..operators.tables import shared_folder, stored
 from ..sources import ply, texts
-from . import registration
+from . import files, registration
 
 TAU, THRESHOLD = 0.05, 0.4
 D = features.D_ANGLE
@@ -68,6 +69,7 @@ def scene_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLOUD = "cloud AS (SELECT label AS cloud_id, vec_id AS pt_id, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS {c}" for k, c in enumerate(clouds.FIELDS, 1)) + " FROM embeddings)"
 MODEL = "model AS (SELECT * FROM cloud WHERE cloud_id = 0)"
+MODELS = "model AS (SELECT * FROM cloud)"
 ALL = "scene AS (SELECT * REPLACE (100 AS cloud_id) FROM cloud)"
 APART = "scene AS (SELECT * REPLACE (100 AS cloud_id) FROM cloud WHERE cloud_id <> 0)"
 EXTENT = "greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z))"
@@ -188,9 +190,13 @@ SCORES = QUATS + f", {CELLS}, {scores_sql()} "
 MATRIX6 = ", ".join(f"{s6(n)} AS {n}" for n in rigid.NAMES)
 
 
-def all_votes(spark, sf_dir) -> DataFrame:
+def all_candidates(spark, sf_dir, exact: bool = False) -> DataFrame:
     m = model(spark, sf_dir)
-    return stored(registration.found_votes(scene_all(spark, sf_dir), m, registration.model_steps(m, TAU)))
+    return registration.found_candidates(scene_all(spark, sf_dir), m, registration.model_steps(m, TAU), exact=exact)
+
+
+def all_votes(spark, sf_dir) -> DataFrame:
+    return voting.votes(all_candidates(spark, sf_dir))
 
 
 def pruned_apart(spark, sf_dir) -> DataFrame:
@@ -232,9 +238,12 @@ def ref_point_sample(spark, sf_dir):
     return clouds.reference_points(cloud(spark, sf_dir), 5).select("cloud_id", "pt_id")
 
 
-@query()
+@query(f"WITH {CLOUD} SELECT cloud_id, CAST(floor(0.25 * count(*)) AS BIGINT) AS n, CAST(floor(0.25 * count(*)) AS BIGINT) AS n_points FROM cloud GROUP BY ALL")
 def random_downsample(spark, sf_dir):
-    return clouds.random_sample(cloud(spark, sf_dir), 0.25, 7).select("cloud_id", "pt_id")
+    """How many rows are drawn of each cloud, and how many different points of that cloud they are."""
+    c = cloud(spark, sf_dir)
+    drawn = clouds.random_sample(c, 0.25, 7).join(c.select("cloud_id", "pt_id"), ["cloud_id", "pt_id"])
+    return drawn.groupBy("cloud_id").agg(F.count("*").alias("n"), F.count_distinct("pt_id").alias("n_points"))
 
 
 @query(f"WITH {CLOUD} SELECT cloud_id, count(*) AS n FROM cloud GROUP BY ALL")
@@ -264,33 +273,34 @@ def centroid_center(spark, sf_dir):
 
 # ---- features
 
-@query(f"WITH {CLOUD}, {MODEL}, {ppf_sql('p', 'model')} SELECT cloud_id, r, i, " + ", ".join(f"{s6(c)} AS {c}" for c in ("f1", "f2", "f3", "f4", "a")) + " FROM p")
+@query(f"WITH {CLOUD}, {ppf_sql('p', 'cloud')} SELECT cloud_id, r, i, " + ", ".join(f"{s6(c)} AS {c}" for c in ("f1", "f2", "f3", "f4", "a")) + " FROM p")
 def ppf(spark, sf_dir):
-    return rounded(pairs.point_pair_features(model(spark, sf_dir)), "f1", "f2", "f3", "f4", "a")
+    return rounded(pairs.point_pair_features(cloud(spark, sf_dir)), "f1", "f2", "f3", "f4", "a")
 
 
-def _model_bins(spark, sf_dir) -> DataFrame:
-    m = model(spark, sf_dir)
-    steps = registration.model_steps(m, TAU).select(F.col("model_id").alias("cloud_id"), "d_dist")
-    return pairs.discretized(pairs.point_pair_features(m).join(F.broadcast(steps), "cloud_id"), F.col("d_dist"))  # one model, one step
+def _bins(spark, sf_dir) -> DataFrame:
+    """Of all clouds, each with its own step."""
+    c = cloud(spark, sf_dir)
+    return registration.binned_models(c, registration.model_steps(c, TAU)).withColumnRenamed("model_id", "cloud_id")
 
 
-MBINS = f"WITH {CLOUD}, {MODEL}, {STEP}, {ppf_sql('p', 'model')}, j AS (SELECT p.*, d_dist FROM p JOIN step ON p.cloud_id = step.model_id), {bins_sql('b', 'j')} "
+MBINS = f"WITH {CLOUD}, {MODELS}, {STEP}, {ppf_sql('p', 'model')}, j AS (SELECT p.*, d_dist FROM p JOIN step ON p.cloud_id = step.model_id), {bins_sql('b', 'j')} "
+CKEYS = ["cloud_id", *pairs.KEYS]
 
 
 @query(MBINS + "SELECT cloud_id, r, i, k1, k2, k3, k4 FROM b")
 def ppf_discretize(spark, sf_dir):
-    return _model_bins(spark, sf_dir).select("cloud_id", "r", "i", *pairs.KEYS)
+    return _bins(spark, sf_dir).select("cloud_id", "r", "i", *pairs.KEYS)
 
 
-@query(f"WITH {CLOUD}, {MODEL}, {ppf_sql('p', 'model', 'a.pt_id % 5 = 0')} SELECT r, count(*) AS n, {s6('sum(f1)')} AS total FROM p GROUP BY ALL")
+@query(f"WITH {CLOUD}, {ppf_sql('p', 'cloud', 'a.pt_id % 5 = 0')} SELECT cloud_id, r, count(*) AS n, {s6('sum(f1)')} AS total FROM p GROUP BY ALL")
 def ppf_reference_factor(spark, sf_dir):
-    return pairs.point_pair_features(model(spark, sf_dir), 5).groupBy("r").agg(F.count("*").alias("n"), r6(F.sum("f1")).alias("total"))
+    return pairs.point_pair_features(cloud(spark, sf_dir), 5).groupBy("cloud_id", "r").agg(F.count("*").alias("n"), r6(F.sum("f1")).alias("total"))
 
 
 @query(MBINS + "SELECT r, i, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(0, 16), lambda n: ((CASE n // 4 WHEN 0 THEN k1 WHEN 1 THEN k2 WHEN 2 THEN k3 ELSE k4 END) >> (8 * (n % 4))) & 255)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS key FROM b")
 def fnv_hash(spark, sf_dir):
-    return _model_bins(spark, sf_dir).select("r", "i", hashing.fnv32([F.col(k) for k in pairs.KEYS]).alias("key"))
+    return _bins(spark, sf_dir).select("r", "i", hashing.fnv32([F.col(k) for k in pairs.KEYS]).alias("key"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, upper(sha1(text)) AS sha1_upper, rtrim(to_base64(unhex(md5(text))), '=') AS md5_base64, substr(sha1(text), 1, 16) AS key FROM documents")
@@ -300,25 +310,25 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", d(t).alias("md5"), d(t, "SHA-1").alias("sha1"), d(t, "SHA-256").alias("sha256"), d(t, "SHA-1", "HEX").alias("sha1_upper"), d(t, "MD5", "base64").alias("md5_base64"), hashing.key_of(t).alias("key"))
 
 
-@query(MBINS + "SELECT k1, k2, k3, k4, count(*) AS cnt FROM b GROUP BY ALL")
+@query(MBINS + "SELECT cloud_id, k1, k2, k3, k4, count(*) AS cnt FROM b GROUP BY ALL")
 def ppf_index_histogram(spark, sf_dir):
-    return pairs.bin_counts(_model_bins(spark, sf_dir))
+    return pairs.bin_counts(_bins(spark, sf_dir), CKEYS)
 
 
-@query(MBINS + ", c AS (SELECT k1, k2, k3, k4, count(*) AS cnt FROM b GROUP BY ALL) SELECT *, CAST(coalesce(sum(cnt) OVER (ORDER BY k1, k2, k3, k4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c")
+@query(MBINS + ", c AS (SELECT cloud_id, k1, k2, k3, k4, count(*) AS cnt FROM b GROUP BY ALL) SELECT *, CAST(coalesce(sum(cnt) OVER (ORDER BY cloud_id, k1, k2, k3, k4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c")
 def ppf_exclusive_scan(spark, sf_dir):
-    return pairs.bin_offsets(pairs.bin_counts(_model_bins(spark, sf_dir)))
+    return pairs.bin_offsets(pairs.bin_counts(_bins(spark, sf_dir), CKEYS), CKEYS)
 
 
-@query(MBINS + "SELECT k1, k2, k3, k4, list_aggregate(list_sort(list(r * 100000 + i)), 'string_agg', ',') AS pairs FROM b GROUP BY ALL")
+@query(MBINS + "SELECT cloud_id, k1, k2, k3, k4, list_aggregate(list_sort(list(r * 100000 + i)), 'string_agg', ',') AS pairs FROM b GROUP BY ALL")
 def inverted_index(spark, sf_dir):
-    out = pairs.inverted_index(_model_bins(spark, sf_dir))
+    out = pairs.inverted_index(_bins(spark, sf_dir), CKEYS)
     return out.withColumn("pairs", F.array_join(F.transform("pairs", lambda p: (p["r"] * 100000 + p["i"]).cast("string")), ","))
 
 
-@query(MBINS + "SELECT DISTINCT k1, k2, k3, k4 FROM b")
+@query(MBINS + "SELECT DISTINCT cloud_id, k1, k2, k3, k4 FROM b")
 def distinct_keys(spark, sf_dir):
-    return pairs.distinct_bins(_model_bins(spark, sf_dir))
+    return pairs.distinct_bins(_bins(spark, sf_dir), CKEYS)
 
 
 @query("WITH v AS (SELECT event_id, value - 50 AS v FROM events) SELECT event_id, round(v - v % 0.4, 6) + 0.0 AS down, round(v - ((v % 0.4) + 0.4) % 0.4, 6) + 0.0 AS floored, CAST(round((v - v % 0.4) / 0.4) AS BIGINT) AS bin FROM v")
@@ -339,11 +349,7 @@ def vector_functions(spark, sf_dir):
 
 @query(VOTES + "SELECT scene_id, model_id, s_r, m_r, alpha, count(*) AS n FROM cand GROUP BY ALL")
 def candidate_join(spark, sf_dir):
-    m = model(spark, sf_dir)
-    steps = registration.model_steps(m, TAU)
-    model_bins = pairs.discretized(pairs.point_pair_features(m).withColumnRenamed("cloud_id", "model_id").join(F.broadcast(steps), "model_id"), F.col("d_dist"))
-    scene_bins = pairs.discretized(pairs.point_pair_features(scene_all(spark, sf_dir)).withColumnRenamed("cloud_id", "scene_id").crossJoin(F.broadcast(steps)), F.col("d_dist"))
-    return voting.candidates(scene_bins, model_bins).groupBy(*voting.PAIR, "s_r", "m_r", "alpha").agg(F.count("*").alias("n"))
+    return all_candidates(spark, sf_dir).groupBy(*voting.PAIR, "s_r", "m_r", "alpha").agg(F.count("*").alias("n"))
 
 
 @query(VOTES + "SELECT alpha, count(*) AS n FROM cand GROUP BY ALL")
@@ -369,12 +375,12 @@ def vote_histogram(spark, sf_dir):
 
 @query(VOTES + "SELECT scene_id, model_id, s_r, m_r, alpha, cnt FROM pruned")
 def vote_prune(spark, sf_dir):
-    return voting.pruned(all_votes(spark, sf_dir), THRESHOLD).drop("vote_code")
+    return voting.pruned(stored(all_votes(spark, sf_dir)), THRESHOLD).drop("vote_code")
 
 
 @query(VOTES + "SELECT scene_id, model_id, count(*) AS n_votes, count(*) FILTER (WHERE cnt > 0.4 * top) AS n_kept FROM (SELECT *, max(cnt) OVER (PARTITION BY scene_id, model_id) AS top FROM votes) GROUP BY ALL")
 def vote_kept_counts(spark, sf_dir):
-    return voting.kept_counts(all_votes(spark, sf_dir), THRESHOLD)
+    return voting.kept_counts(stored(all_votes(spark, sf_dir)), THRESHOLD)
 
 
 @query(VOTES + "SELECT scene_id, model_id, vote_code, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, model_id ORDER BY cnt DESC, vote_code) AS rank FROM votes) WHERE rank <= 100")
@@ -408,7 +414,20 @@ def matlab_accumulator_max(spark, sf_dir):
 
 @query(VOTES + BEST_POINT + "SELECT scene_id, model_id, s_r, m_r, alpha, cnt, round(share, 6) + 0.0 AS share FROM (SELECT *, cnt / max(cnt) OVER (PARTITION BY scene_id, model_id) AS share FROM best) WHERE share > 0.9")
 def matlab_vote_threshold(spark, sf_dir):
-    return rounded(voting.strong_scene_points(voting.best_by_scene_point(all_votes(spark, sf_dir))), "share")
+    return rounded(voting.strong_scene_points(stored(voting.best_by_scene_point(all_votes(spark, sf_dir)))), "share")
+
+
+TURNS = VOTES.replace("cand_1 AS (SELECT s.cloud_id AS scene_id,", "cand_1 AS (SELECT s.i AS s_i, m.i AS m_i, s.cloud_id AS scene_id,").replace("cand_2 AS (SELECT scene_id,", "cand_2 AS (SELECT s_i, m_i, scene_id,").replace("cand AS (SELECT scene_id,", "cand AS (SELECT s_i, m_i, u, scene_id,")
+
+
+@query(TURNS + "SELECT s_r, m_r, alpha, round(arg_max(u - 3.141592653589793, s_i * 100000000 + m_i), 6) + 0.0 AS turn FROM cand GROUP BY ALL")
+def last_turns(spark, sf_dir):
+    return rounded(voting.last_turns(all_candidates(spark, sf_dir, True)).select("s_r", "m_r", "alpha", "turn"), "turn")
+
+
+@query(TURNS + "SELECT scene_id, model_id, least(CAST(floor(u / (2 * 3.141592653589793 / 99)) AS BIGINT) + 1, 100) AS edge, count(*) AS n FROM cand GROUP BY ALL")
+def turn_histogram(spark, sf_dir):
+    return voting.turn_histogram(all_candidates(spark, sf_dir, True))
 
 
 # ---- poses
@@ -458,13 +477,16 @@ def pose_cluster_avg(spark, sf_dir):
     return rounded(poses.neighbour_scores(apart_poses(spark, sf_dir), None).select("vote_code", "score", "ax", "ay", "az"), "ax", "ay", "az")
 
 
-MANY = votes_sql("scene AS (SELECT * FROM cloud WHERE cloud_id >= 5)").replace(MODEL, "model AS (SELECT * FROM cloud WHERE cloud_id < 3)")
+_T = [[0.36, 0.48, -0.8, 0.5], [-0.8, 0.6, 0.0, -0.25], [0.48, 0.64, 0.6, 1.0]]
+_PUT = [*(" + ".join(f"{_T[r][k]} * {c}" for k, c in enumerate("xyz")) + f" + {_T[r][3]}" for r in range(3)), *(" + ".join(f"{_T[r][k]} * n{c}" for k, c in enumerate("xyz")) for r in range(3))]
+MANY = votes_sql("scene AS (SELECT cloud_id, pt_id, " + ", ".join(f"{e} AS {c}" for e, c in zip(_PUT, clouds.FIELDS)) + " FROM cloud)").replace(MODEL, MODELS)
 BEST = f"WITH {MANY}, {poses_sql()}, {quaternion_sql()}, {CELLS}, {scores_sql()}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY scene_id, model_id ORDER BY score DESC, cnt DESC, vote_code) = 1) "
 
 
-def _best(spark, sf_dir) -> DataFrame:
+def _best(spark, sf_dir, options: registration.Options = registration.Options()) -> DataFrame:
+    """Every cloud as a model in every cloud as a scene; scenes are moved, as translations of 0 lie on a corner of cells."""
     c = cloud(spark, sf_dir)
-    return registration.register(c.filter("cloud_id >= 5"), c.filter("cloud_id < 3"))
+    return registration.register(clouds.transformed(c, rigid.literal(_T)), c, options)
 
 
 @query(BEST + f"SELECT scene_id, model_id, score, {MATRIX6} FROM best")
@@ -472,6 +494,20 @@ def best_pose(spark, sf_dir):
     return rounded(_best(spark, sf_dir), *rigid.NAMES)
 
 
+_TAUS = {0: 0.05, 1: 0.1}
+_TWO = f"CASE cloud_id WHEN 0 THEN {_TAUS[0]} ELSE {_TAUS[1]} END"
+TWO = votes_sql(APART.replace("<> 0", "> 1")).replace(MODEL, "model AS (SELECT * FROM cloud WHERE cloud_id <= 1)").replace(f"{TAU!r} * {EXTENT}", f"{_TWO} * {EXTENT}")
+
+
+@query(f"WITH {TWO} SELECT model_id, s_r, m_r, alpha, cnt FROM votes")
+def votes_by_own_step(spark, sf_dir):
+    """Two models, each with a step of its own share of its extent."""
+    c = cloud(spark, sf_dir)
+    models = c.filter("cloud_id <= 1")
+    scene = c.filter("cloud_id > 1").withColumn("cloud_id", F.lit(100))
+    return registration.found_votes(scene, models, registration.model_steps(models, _TAUS)).select("model_id", "s_r", "m_r", "alpha", "cnt")
+
+
 @query()
 def greedy_cluster(spark, sf_dir):
     m = model(spark, sf_dir)
@@ -480,13 +516,13 @@ def greedy_cluster(spark, sf_dir):
     return rounded(out, *poses.MOVE, *poses.QUATERNION)
 
 
-TRUTH = "truth AS (SELECT scene_id, model_id, cos(a) AS g11, -sin(a) AS g12, 0.0 AS g13, 0.1 AS g14, sin(a) AS g21, cos(a) AS g22, 0.0 AS g23, 0.2 AS g24, 0.0 AS g31, 0.0 AS g32, 1.0 AS g33, 0.3 AS g34 FROM (SELECT s.cloud_id AS scene_id, m.cloud_id AS model_id, (s.cloud_id + m.cloud_id) / 10.0 AS a FROM (SELECT DISTINCT cloud_id FROM cloud WHERE cloud_id >= 5) s, (SELECT DISTINCT cloud_id FROM cloud WHERE cloud_id < 4) m))"
+TRUTH = "truth AS (SELECT scene_id, model_id, cos(a) AS g11, -sin(a) AS g12, 0.0 AS g13, 0.1 AS g14, sin(a) AS g21, cos(a) AS g22, 0.0 AS g23, 0.2 AS g24, 0.0 AS g31, 0.0 AS g32, 1.0 AS g33, 0.3 AS g34 FROM (SELECT s.cloud_id AS scene_id, m.cloud_id AS model_id, (s.cloud_id + m.cloud_id) / 10.0 AS a FROM (SELECT DISTINCT cloud_id FROM cloud) s, (SELECT DISTINCT cloud_id FROM cloud) m))"
 ERRORS = BEST + f", {TRUTH}, err AS (SELECT t.scene_id, t.model_id, sqrt((t14 - g14) * (t14 - g14) + (t24 - g24) * (t24 - g24) + (t34 - g34) * (t34 - g34)) AS trans_err, (t11 * g11 + t12 * g12 + t13 * g13 + t21 * g21 + t22 * g22 + t23 * g23 + t31 * g31 + t32 * g32 + t33 * g33 - 1) / 2 AS c FROM truth t LEFT JOIN best USING (scene_id, model_id)) "
 
 
 def _truth(spark, sf_dir) -> DataFrame:
     c = cloud(spark, sf_dir).select("cloud_id").distinct()
-    scenes, models = c.filter("cloud_id >= 5").withColumnRenamed("cloud_id", "scene_id"), c.filter("cloud_id < 4").withColumnRenamed("cloud_id", "model_id")
+    scenes, models = c.withColumnRenamed("cloud_id", "scene_id"), c.withColumnRenamed("cloud_id", "model_id")
     pairs_ = scenes.crossJoin(models)  # a true pose for each scene and model
     t = rigid.rotz((F.col("scene_id") + F.col("model_id")) / 10.0), V.literal(0.1, 0.2, 0.3)
     return pairs_.select("scene_id", "model_id", *[c.alias(n) for n, c in rigid.to_columns(t).items()])
@@ -566,7 +602,6 @@ def log_parse_ffill(spark, sf_dir):
 
 # ---- scenes and meshes
 
-_T = [[0.36, 0.48, -0.8, 0.5], [-0.8, 0.6, 0.0, -0.25], [0.48, 0.64, 0.6, 1.0]]
 _MOVED = ", ".join(f"{s6(' + '.join(f'{_T[r][k]} * {c}' for k, c in enumerate('xyz')) + f' + {_T[r][3]}')} AS {'xyz'[r]}" for r in range(3))
 _TURNED = ", ".join(f"{s6(' + '.join(f'{_T[r][k]} * n{c}' for k, c in enumerate('xyz')))} AS n{'xyz'[r]}" for r in range(3))
 
@@ -594,13 +629,13 @@ def synth_scene(spark, sf_dir):
 
 def _faces(spark, sf_dir) -> DataFrame:
     """Polygons of three to five corners, made of the points' numbers."""
-    p = F.col("pt_id")
+    p, n = F.col("pt_id"), cloud(spark, sf_dir).count()
     size = (3 + p % 3).cast("int")
-    v = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.pmod(p + k * k * 7 + k, F.lit(500)))
+    v = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.pmod(p + k * k * 7 + k, F.lit(n)))
     return cloud(spark, sf_dir).select(F.lit(1).alias("cloud_id"), p.alias("face_id"), v.alias("vertex_indices"))
 
 
-FANS = f"{CLOUD}, fans AS (SELECT pt_id AS face_id, k AS part, pt_id % 500 AS v1, (pt_id + k * k * 7 + k) % 500 AS v2, (pt_id + (k + 1) * (k + 1) * 7 + k + 1) % 500 AS v3 FROM cloud, (SELECT unnest(range(1, 4)) AS k) WHERE k <= 1 + pt_id % 3)"
+FANS = f"{CLOUD}, size AS (SELECT count(*) AS s FROM cloud), fans AS (SELECT pt_id AS face_id, k AS part, pt_id % s AS v1, (pt_id + k * k * 7 + k) % s AS v2, (pt_id + (k + 1) * (k + 1) * 7 + k + 1) % s AS v3 FROM cloud, size, (SELECT unnest(range(1, 4)) AS k) WHERE k <= 1 + pt_id % 3)"
 
 
 @query(f"WITH {FANS} SELECT face_id, part, v1, v2, v3 FROM fans")
@@ -615,19 +650,118 @@ def vertex_normals(spark, sf_dir):
     return rounded(meshes.vertex_normals(triangles, vertices).drop("cloud_id"), "nx", "ny", "nz")
 
 
-@query()
+def _place(spark: SparkSession, name: str) -> str:
+    """A path in the folder that executors share."""
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+
+
+@query(f"WITH {CLOUD} SELECT row_number() OVER (ORDER BY pt_id) - 1 AS row, {', '.join(clouds.FIELDS)}, cloud_id AS label FROM cloud")
 def ply_roundtrip(spark, sf_dir):
     """The clouds, written to a file in the folder that executors share and read again."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{place.rstrip('/')}/clouds-{spark.sparkContext.applicationId}.ply"
+    path = _place(spark, "clouds") + ".ply"
     rows = cloud(spark, sf_dir).select("pt_id", *clouds.FIELDS, F.col("cloud_id").alias("label"))
     ply.write({"vertex": rows}, path, "binary_little_endian", doubles=True, order={"vertex": "pt_id"})
     return ply.read(spark, path).drop("file")
 
 
-@query()
+@query(f"WITH {CLOUD}, g AS (SELECT CAST(floor(x / 0.2) AS BIGINT) AS c0, CAST(floor(y / 0.2) AS BIGINT) AS c1, CAST(floor(z / 0.2) AS BIGINT) AS c2, " + ", ".join(f"avg({c}) AS {c}" for c in clouds.FIELDS) + ", floor(avg(cloud_id)) AS label FROM cloud GROUP BY ALL) SELECT row_number() OVER (ORDER BY c2, c1, c0) - 1 AS row, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in clouds.FIELDS) + ", CAST(label AS BIGINT) AS label FROM g")
+def voxel_file(spark, sf_dir):
+    """A file's points, thinned by a voxel grid into another file, and that one read."""
+    a, b = _place(spark, "points") + ".ply", _place(spark, "thinned") + ".ply"
+    rows = cloud(spark, sf_dir).select("pt_id", *clouds.FIELDS, F.col("cloud_id").alias("label"))
+    ply.write({"vertex": rows}, a, "binary_little_endian", doubles=True, order={"vertex": "pt_id"})
+    files.thin_file(spark, a, b, 0.2)
+    out = ply.read(spark, b).drop("file").withColumn("label", F.col("label").cast("long"))
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 4) + F.lit(0.0) for c in clouds.FIELDS})
+
+
+@query(f"WITH {CLOUD} SELECT row_number() OVER (ORDER BY pt_id) - 1 AS row, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS c{k}" for k, c in enumerate(clouds.FIELDS)) + " FROM cloud")
+def raw_floats(spark, sf_dir):
+    """Points and normals as raw 32-bit floats in a file, and read again."""
+    path = _place(spark, "floats") + ".bin"
+    texts.write_floats(cloud(spark, sf_dir), list(clouds.FIELDS), "pt_id", path)
+    out = texts.read_floats(spark, path, 6).drop("file")
+    return out.withColumns({c: r6(F.col(c).cast("double")) for c in out.columns if c != "row"})
+
+
+_CELLS16 = [f"n_nationkey * {k + 1} / 8.0" for k in range(12)]
+
+
+@query("SELECT " + ", ".join(f"{e} AS {n}" for e, n in zip(_CELLS16, rigid.NAMES)) + " FROM nation")
+def matrix_files(spark, sf_dir):
+    """A file of sixteen numbers for each nation, and all of them read."""
+    path = _place(spark, "matrices")
+    rows = [F.concat_ws(" ", *[F.expr(e).cast("string") for e in _CELLS16[4 * r : 4 * r + 4]]) for r in range(3)]
+    text = F.concat_ws("\n", *rows, F.lit("0 0 0 1"))
+    table(spark, sf_dir, "nation").select("n_nationkey", text.alias("value")).coalesce(1).write.partitionBy("n_nationkey").text(path)
+    return texts.read_matrices(spark, path).drop("file")
+
+
+@query(f"WITH {CLOUD}, low AS (SELECT cloud_id, min(x) AS x, min(y) AS y, min(z) AS z FROM cloud GROUP BY ALL) SELECT " + ", ".join(f"{s6(f'greatest(0.0, max(abs({a}) + 1))')} AS t{a}" for a in "xyz") + " FROM low")
+def trans_adj_sidecar(spark, sf_dir):
+    path = _place(spark, "cloud") + ".ply.trans_adj"
+    texts.write_shift(clouds.shift_to_positive(cloud(spark, sf_dir)), path)
+    v = F.split(F.trim("value"), " ")
+    return rounded(spark.read.text(path).select(*[v[k].cast("double").alias(n) for k, n in enumerate(("tx", "ty", "tz"))]), "tx", "ty", "tz")
+
+
+@query(f"WITH {CLOUD}, moved AS (SELECT pt_id, {', '.join(f'{e} AS {c}' for e, c in zip(_PUT, clouds.FIELDS))} FROM cloud) SELECT " + ", ".join(f"{s6(f'max(abs(a.{c} - b.{c}))')} AS {c}" for c in "xyz") + " FROM cloud a JOIN moved b USING (pt_id)")
+def largest_difference(spark, sf_dir):
+    c = cloud(spark, sf_dir)
+    return rounded(texts.largest_difference(c, clouds.transformed(c, rigid.literal(_T)), ["pt_id"], list("xyz")), "x", "y", "z")
+
+
+@query(POSES + "SELECT vote_code, FALSE AS mirrored FROM pose")
+def proper_poses(spark, sf_dir):
+    """Of poses and their mirror images, those that don't mirror."""
+    p = apart_poses(spark, sf_dir)
+    flipped = p.withColumns({n: -F.col(n) for n in ("t11", "t21", "t31")})
+    both = p.withColumn("mirrored", F.lit(False)).unionByName(flipped.withColumn("mirrored", F.lit(True)))
+    return poses.proper(both).select("vote_code", "mirrored")
+
+
+@query(QUATS + ", d AS (SELECT *, tx / d_dist AS x, ty / d_dist AS y, tz / d_dist AS z FROM quat) SELECT vote_code, CAST(trunc(x) AS BIGINT) AS cx, CAST(trunc(y) AS BIGINT) AS cy, CAST(trunc(z) AS BIGINT) AS cz FROM d")
+def pose_cell_truncated(spark, sf_dir):
+    return poses.cells(apart_poses(spark, sf_dir).drop(*poses.CELL), F.col("d_dist"), truncate=True).select("vote_code", *poses.CELL)
+
+
+# The scenes of these texts are the events' numbers, their models the four of the evaluation.
+_MODEL = "CASE event_id % 4 WHEN 0 THEN 'chef' WHEN 1 THEN 'trex' WHEN 2 THEN 'para' ELSE 'chicken' END"
+_LOGGED = "CASE event_id % 4 WHEN 0 THEN 'cheff' WHEN 1 THEN 'T-rex' WHEN 2 THEN 'parasaurolophus' ELSE 'chicken' END"
+_DIAM = "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {d!r}" for k, d in enumerate((136.59418, 98.828925, 131.250275))) + " ELSE 86.28052 END"
+RUN = f"run AS (SELECT CAST(event_id AS VARCHAR) AS scene_num, {_MODEL} AS model, value AS occlusion, event_id % 97 + 0.5 AS trans, (event_id % 13) / 4.0 AS rot, {_DIAM} AS diam FROM events WHERE event_id % 5 <> 0), flags AS (SELECT *, trans / diam AS norm_dist, CASE WHEN rot <= pi() THEN rot ELSE 2 * pi() - rot END AS rot_folded, trans <= 0.3 * diam AND rot <= 0.209440 AS match FROM run)"
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """An occlusion table and logs, written as texts and evaluated; every fifth pair has no distance in the logs."""
+    place = _place(spark, "run")
+    e = table(spark, sf_dir, "events")
+    rows = e.selectExpr(f"concat_ws(' ', event_id, {_MODEL}, value) AS value")
+    spark.range(1).selectExpr("'scene model occlusion' AS value").unionByName(rows).coalesce(1).write.text(f"{place}-occlusion")
+    told = e.filter("event_id % 5 <> 0").selectExpr(
+        "concat('rs', event_id, '_log') AS name",
+        f"concat('[d t]: Transformations for a/b/', {_LOGGED}, '_high.ply in s.ply:\n[d t]: Distance (trans, rot): ', event_id % 97, '.5, ', (event_id % 13) / 4.0, '\n') AS body",
+    )
+    # logs are named files: they are rows here, as they would be when read
+    held = told.select(F.col("name").alias("file"), F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    joined = evaluation.joined(texts.read_occlusion(spark, f"{place}-occlusion"), texts.parse_log(held)).filter("trans IS NOT NULL")
+    return evaluation.running_rate(evaluation.flagged(joined, evaluation.diameters(spark)), ["occlusion", "scene_num", "model"])
+
+
+@query(f"WITH {RUN} SELECT scene_num, model, occlusion, trans, rot, {s6('norm_dist')} AS norm_dist, match, round(avg(CAST(match AS INT)) OVER (ORDER BY occlusion, scene_num, model ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS rate FROM flags")
+def evaluated_run(spark, sf_dir):
+    return rounded(_evaluated(spark, sf_dir).drop("rot_folded"), "norm_dist", "rate")
+
+
+@query(f"WITH {RUN} SELECT count(*) AS n, {s6('avg(CAST(match AS INT))')} AS match_rate, " + ", ".join(f"{s6(f'{f}({c})')} AS {n}_{c}" for c in ("norm_dist", "rot_folded") for n, f in (("mean", "avg"), ("median", "median"))) + " FROM flags")
+def evaluation_report(spark, sf_dir):
+    out = files.report(_evaluated(spark, sf_dir))
+    return rounded(out, *[c for c in out.columns if c != "n"])
+
+
+@query("SELECT 100 AS scene_id, 0 AS model_id, TRUE AS trans_match, TRUE AS rot_match, TRUE AS match")
 def known_pose(spark, sf_dir):
-    """A model put into a scene at a known pose, and how far from it the pose that is found lies."""
+    """A model put into a scene at a known pose, and whether the pose that is found is that one."""
     m = model(spark, sf_dir)
     rest = cloud(spark, sf_dir).filter("cloud_id <> 0")
     scene, t = synthesis.scene_with_model(rest, m, (0.3, 0.2, 0.1), synthesis.random_quaternion(11))
@@ -635,11 +769,11 @@ def known_pose(spark, sf_dir):
     found = registration.register(scene, m)
     truth = spark.range(1).select(F.lit(100).alias("scene_id"), F.lit(0).alias("model_id"), *[c.alias(n) for n, c in rigid.to_columns(t).items()])
     errors = poses.compared(found, truth)
-    return rounded(poses.validated(errors, registration.model_steps(m, TAU)), "trans_err", "rot_err")
+    return poses.validated(errors, registration.model_steps(m, TAU)).drop("trans_err", "rot_err")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest votes of the scene of all points for one model."""
-    return voting.ranked(voting.pruned(all_votes(spark, sf_dir), THRESHOLD), 100)
+    return voting.ranked(voting.pruned(stored(all_votes(spark, sf_dir)), THRESHOLD), 100)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clouds, pairs, poses, voting
-from ..operators.joins import lookup
+from ..operators.joins import SMALL_ROWS, lookup
 from ..operators.tables import stored
 
 
@@ -16,21 +16,27 @@ from ..operators.tables import stored
 class Options:
     """Of a registration; the defaults are the production path's."""
 
-    tau: float = 0.05  # distance step over the model's extent
+    tau: float | dict = 0.05  # distance step over the model's extent; or one by model_id
     scene_leaf: float | None = None  # voxel size of scenes; None: as they are
     thin_models: bool = False  # models are put on a voxel grid of their own distance step
     ref_factor: int = 1  # every so many-th scene point is a reference point
     vote_threshold: float = 0.4  # of the strongest vote
-    greedy: bool = False  # clusters by falling votes in place of neighbouring cells
+    greedy: bool = False  # clusters by falling votes in place of neighbouring cells; the one of most votes answers
     any_distance: bool = False  # rotations alone make neighbours
     averaged: bool = False  # the answer's translation is its neighbours' mean
     own_cell: bool = False
     own_weight: bool = False
 
 
-def model_steps(models: DataFrame, tau: float) -> DataFrame:
-    """model_id, d_dist, diam: the distance step and extent of each model; as many rows as models."""
-    return clouds.extents(models).select(F.col("cloud_id").alias("model_id"), (tau * F.col("extent")).alias("d_dist"), F.col("extent").alias("diam"))
+def model_steps(models: DataFrame, tau: float | dict) -> DataFrame:
+    """model_id, d_dist, diam: the distance step and extent of each model; as many rows as models. tau: a number,
+    or a dict of model_id to number; models that it lacks have no step and aren't registered."""
+    out = clouds.extents(models).select(F.col("cloud_id").alias("model_id"), F.col("extent").alias("diam"))
+    if isinstance(tau, dict):
+        kind = models.schema["cloud_id"].dataType.simpleString()
+        taus = models.sparkSession.createDataFrame(list(tau.items()), f"model_id {kind}, tau double")
+        return lookup(out, taus, ["model_id"]).select("model_id", (F.col("tau") * F.col("diam")).alias("d_dist"), "diam")
+    return out.select("model_id", (tau * F.col("diam")).alias("d_dist"), "diam")
 
 
 def _numbered_by_place(points: DataFrame) -> DataFrame:
@@ -46,14 +52,26 @@ def _thinned(points: DataFrame, leaf) -> DataFrame:
     return _numbered_by_place(clouds.finite(points).groupBy("cloud_id", *cell).agg(*means).drop("c0", "c1", "c2"))
 
 
+def binned_models(models: DataFrame, steps: DataFrame) -> DataFrame:
+    """model_id, r, i, a, KEYS of all models; their points take the step along, not their pairs."""
+    points = lookup(models, steps.select(F.col("model_id").alias("cloud_id"), "d_dist"), ["cloud_id"])
+    out = pairs.angle_bins(pairs.point_pair_features(points, keep=("d_dist",)))
+    return pairs.distance_bin(out, F.col("d_dist")).withColumnRenamed("cloud_id", "model_id")
+
+
+def found_candidates(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1, exact: bool = False) -> DataFrame:
+    """Candidates of all scenes for all models. A scene's angles are binned once, its distances by each model's step."""
+    scene_ppf = pairs.angle_bins(pairs.point_pair_features(scenes, ref_factor)).withColumnRenamed("cloud_id", "scene_id")
+    few = steps.select("model_id", "d_dist")
+    if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        few = F.broadcast(few)
+    scene_bins = pairs.distance_bin(scene_ppf.crossJoin(few), F.col("d_dist"))  # by definition a row for each model
+    return voting.candidates(scene_bins, binned_models(models, steps), exact=exact)
+
+
 def found_votes(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1) -> DataFrame:
-    """Votes of all scenes for all models. A scene's features are binned by each model's step."""
-    model_bins = lookup(pairs.point_pair_features(models).withColumnRenamed("cloud_id", "model_id"), steps, ["model_id"])
-    model_bins = pairs.discretized(model_bins, F.col("d_dist"))
-    scene_ppf = pairs.point_pair_features(scenes, ref_factor).withColumnRenamed("cloud_id", "scene_id")
-    by_model = scene_ppf.crossJoin(F.broadcast(steps.select("model_id", "d_dist")))  # a row for each model
-    scene_bins = pairs.discretized(by_model, F.col("d_dist"))
-    return voting.votes(voting.candidates(scene_bins, model_bins))
+    """Votes of all scenes for all models."""
+    return voting.votes(found_candidates(scenes, models, steps, ref_factor))
 
 
 def vote_poses(votes: DataFrame, scenes: DataFrame, models: DataFrame, steps: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -69,8 +87,6 @@ def register(scenes: DataFrame, models: DataFrame, options: Options = Options(),
 
     scenes, models: clouds (cloud_id, pt_id, x, y, z, nx, ny, nz). weights: model_id, m_r, weight.
     """
-    if options.greedy:
-        raise ValueError("greedy clusters take one model: use greedy_register()")
     if options.scene_leaf:
         scenes = _thinned(scenes, options.scene_leaf)
     steps = model_steps(models, options.tau)
@@ -79,17 +95,40 @@ def register(scenes: DataFrame, models: DataFrame, options: Options = Options(),
         models = _thinned(at, F.col("d_dist"))
     votes = voting.pruned(stored(found_votes(scenes, models, steps, options.ref_factor)), options.vote_threshold)
     made = vote_poses(votes, scenes, models, steps, weights)
-    scored = poses.neighbour_scores(made, None, options.own_cell, options.any_distance, options.own_weight)
-    best = poses.best(scored, options.averaged)
+    if options.greedy:
+        best = poses.cluster_poses(poses.greedy_clusters(made).filter("rank = 1"))
+    else:
+        scored = poses.neighbour_scores(made, None, options.own_cell, options.any_distance, options.own_weight)
+        best = poses.best(scored, options.averaged)
     return best.select("scene_id", "model_id", "score", *[c for c in best.columns if c in _MATRIX])
 
 
 _MATRIX = {f"t{r}{c}" for r in range(1, 4) for c in range(1, 5)}
 
 
-def greedy_register(scenes: DataFrame, model: DataFrame, options: Options = Options()) -> DataFrame:
-    """The clusters of one model's poses in each scene (see greedy_clusters())."""
-    steps = model_steps(model, options.tau)
-    d_dist = steps.first()["d_dist"]
-    votes = voting.pruned(stored(found_votes(scenes, model, steps, options.ref_factor)), options.vote_threshold)
-    return poses.greedy_clusters(vote_poses(votes, scenes, model, steps), d_dist)
+@dataclass
+class PointVotes:
+    """What voting by scene points gives."""
+
+    accumulator: DataFrame  # PAIR, s_r, m_r, alpha, cnt: all cells
+    best: DataFrame  # PAIR, s_r, m_r, alpha, cnt, share (of the largest count): the strongest cell of each scene point
+    top: DataFrame  # PAIR, top: the largest count
+    transforms: DataFrame  # of best with share over the limit: turn and the transforms m_t11 ..., s_t11 ..., a_t11 ...
+
+
+def describe_model(model: DataFrame, factor: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(index: model_id, KEYS, pairs; steps: model_id, d_dist, diam): a model's pairs by bin, the distance step
+    being `factor` times the radius."""
+    steps = clouds.radii(model, factor=factor).select(F.col("cloud_id").alias("model_id"), "d_dist", (2 * F.col("radius")).alias("diam"))
+    return pairs.inverted_index(binned_models(model, steps), ["model_id", *pairs.KEYS]), steps
+
+
+def vote_by_points(scene: DataFrame, model: DataFrame, steps: DataFrame, skip: int = 5, share: float = 0.9) -> PointVotes:
+    """Votes of every skip-th scene point; those whose strongest cell reaches `share` of the largest count give
+    the model's frame, the scene's frame and the turn of the cell's last candidate, unquantised."""
+    found = stored(found_candidates(clouds.finite(scene), model, steps, skip, exact=True))
+    cells = stored(voting.votes(found))
+    best = voting.best_by_scene_point(cells)
+    strong = voting.strong_scene_points(best, share)
+    kept = lookup(voting.last_turns(found), strong.select(*voting.PAIR, "s_r", "m_r", "alpha"), [*voting.PAIR, "s_r", "m_r", "alpha"])
+    return PointVotes(cells.drop("vote_code"), best, voting.strongest(best), poses.three_transforms(kept, scene, model))

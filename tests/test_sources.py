@@ -1,12 +1,14 @@
+import hashlib
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone import cli
+from quillstone.functions import hashing, rigid
 from quillstone.functions.rigid import NAMES
 from quillstone.operators import clouds, evaluation, meshes
-from quillstone.plans import registration
+from quillstone.plans import catalogue, files, registration
 from quillstone.sources import ply, texts
 
 CUBE = """ply
@@ -97,3 +99,59 @@ def test_command_line_prints_all_rows(spark, capsys, monkeypatch):
     cli.main(["--tau_d", "0.05", "--scene_files", "a.ply", "--model_files", "m.ply"])
     lines = capsys.readouterr().out.split()
     assert lines == ["answer", *map(str, range(1500))]
+
+
+def test_command_line_wants_a_step_for_each_model():
+    with pytest.raises(SystemExit):
+        cli.main(["--tau_d", "0.05", "--scene_files", "a.ply", "--model_files", "m.ply,n.ply"])
+
+
+def test_command_line_to_evaluation(spark, tmp_path, sf_dir, capsys):
+    """Files are registered with steps of their own, validated, and the log is evaluated."""
+    c = catalogue.cloud(spark, sf_dir)
+    names = {0: "cheff_high", 1: "chicken_high"}
+    for k, name in names.items():
+        ply.write({"vertex": c.filter(f"cloud_id = {k}").select("pt_id", *clouds.FIELDS)}, str(tmp_path / f"{name}.ply"), "ascii", order={"vertex": "pt_id"})
+    scene = clouds.transformed(c.filter("cloud_id <= 1"), rigid.literal(catalogue._T))
+    ply.write({"vertex": scene.select("pt_id", *clouds.FIELDS)}, str(tmp_path / "rs1.ply"), "ascii", order={"vertex": "pt_id"})
+    truth = tmp_path / "truth.txt"
+    truth.write_text("\n".join(" ".join(map(str, r)) for r in [*catalogue._T, [0, 0, 0, 1]]))
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    files_ = [str(tmp_path / f"{n}.ply") for n in names.values()]
+    cli.main(["--tau_d", "0.05,0.06", "--scene_files", str(tmp_path / "rs1.ply"), "--model_files", ",".join(files_), "--validation_files", f"{truth},{truth}", "--scene_leaf_size", "0.0001", "--logfile", str(logs / "rs1_run"), "--cpu_clustering", "true"])
+    rows = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    assert sorted(r[1] for r in rows if r[0] == "rs1")[0] == "cheff_high" and len(rows) == 6
+    (tmp_path / "o.txt").write_text("scene model occ\n1 chef 70.5\n1 chicken 60\n2 trex 85\n")
+    found = files.evaluated(spark, str(tmp_path / "o.txt"), str(logs)).orderBy("occlusion").collect()
+    assert [(r["model"], r["match"], r["rate"]) for r in found] == [("chicken", True, 1.0), ("chef", True, 1.0)]
+    r = files.report(spark.createDataFrame(found)).first()
+    assert r["n"] == 2 and r["match_rate"] == 1 and r["mean_norm_dist"] < 0.01
+
+
+def test_files_of_meshes(spark, tmp_path, capsys):
+    source, to = tmp_path / "cube.ply", tmp_path / "out.ply"
+    source.write_text(CUBE)
+    files.main(["normals", str(source), str(to), "1", "2", "3"])
+    rows = ply.read_cloud(spark, str(to)).orderBy("pt_id").collect()
+    assert [(r["x"], r["y"], r["z"], r["nz"]) for r in rows] == [(1, 2, 3, 1), (2, 2, 3, 1), (2, 3, 3, 1), (1, 3, 3, 1)]
+    assert (tmp_path / "out.ply.trans_adj").read_text() == "1.000000 2.000000 3.000000\n"
+    files.main(["cloud", str(source), str(to), "2", "--centered"])
+    rows = ply.read_cloud(spark, str(to)).orderBy("pt_id").collect()
+    assert [(r["x"], r["y"], r["nz"]) for r in rows] == [(-0.5, -0.5, 1), (0.5, 0.5, 1)]
+    files.main(["voxel", str(source), str(to), "--leaf", "2"])
+    assert [tuple(r)[2:] for r in ply.read(spark, str(to)).collect()] == [(0.5, 0.5, 0.0)]
+    assert capsys.readouterr().err.splitlines()[-2:] == ["points before filtering: 4 (x y z)", "points after filtering: 1 (x y z)"]
+
+
+def test_typed_digests(spark, tmp_path):
+    df = spark.range(1).selectExpr("transform(sequence(1, 10), x -> cast(x AS int)) AS a", "cast(null AS double) AS n", "named_struct('b', 'x', 'a', array(named_struct('q', 1L))) AS s", "named_struct('a', array(named_struct('q', 1L)), 'b', 'x') AS t", "cast(1 AS bigint) AS l", "cast(1 AS int) AS i")
+    of = lambda c, **k: hashing.typed_digest(df, c, **k).first()["digest"]
+    # Digests that the description of this scheme gives.
+    assert of("a", form="base64") == "bKdecqzUpOrL4oxzk+cfyg" and of("n") == "7de5637fd217d0e44e0082f4d79b3e73"
+    assert of("s") == of("t") and of("l") != of("i") and of("a", form="HEX") == of("a").upper()
+    assert bytes(of("a", form="uint8")).hex() == of("a") and [int(x) for x in of("a", form="double")] == of("a", form="uint8")
+    for method, n in (("SHA-1", 40), ("SHA-256", 64), ("SHA-384", 96), ("SHA-512", 128)):
+        assert len(of("s", method=method)) == n
+    (tmp_path / "f").write_bytes(b"abc")
+    assert hashing.file_digests(spark, str(tmp_path / "f"), "SHA-512").first()["digest"] == hashlib.sha512(b"abc").hexdigest()
