@@ -2,10 +2,11 @@
 
 Each text gives counts, and these a transformed vector. For each (lang, source) the centre and covariance
 of its vectors come from minimum-covariance-determinant concentration steps over all rows: from medians
-and deviations, the COVERED share of rows nearest by Mahalanobis distance gives the next estimate. The
-steps are aggregations with partial sums in each task, so a hot group isn't gathered anywhere. Documents
-that lie beyond CUTOFF on the bad side of their group are rejected. A group of fewer than LEAST_ROWS rows, too
-few for the dimension, is held against all rows of its language, or of the table if these are too few as well.
+and deviations, the COVERED share of rows nearest by Mahalanobis distance gives the next estimate, until the
+determinants stand still. The steps are aggregations with partial sums in each task, so a hot group isn't
+gathered anywhere. A group's estimate is shrunk towards its language's, and that towards the table's, with
+the weight of PRIOR rows: there is no size from which a group counts. Documents that lie beyond CUTOFF, by
+what is above their group's centre, are rejected.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from .shared import documents, dropped, small_join, spread, written
 
 #: Share of a group's rows that an estimate covers.
 COVERED = 0.75
-STEPS = 3
+#: Change of a log determinant from which steps go on.
+STILL = 0.01
 #: Squared distance beyond which a document is rejected.
 CUTOFF = 25.0
 #: Median of the chi-squared distribution with as many degrees of freedom as FIELDS has: scales the distances.
 MEDIAN = 5.348
 FIELDS = ["x_length", "x_symbols", "x_upper", "x_marks", "x_repeats", "x_lines"]
-#: Rows that a group needs for an estimate of its own: five for each dimension.
-LEAST_ROWS = 5 * len(FIELDS)
+#: Rows that a language's estimate stands for beside a group's own, and the table's beside a language's: two
+#: for each dimension.
+PRIOR = 2 * len(FIELDS)
 #: Standard deviations that are added in quadrature, in the units of FIELDS: a field that never varies
 #: doesn't make the least change of it an outlier.
 FLOOR = np.array([0.1, 0.05, 0.05, 0.05, 0.15, 0.15])
@@ -96,86 +99,103 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumns(vector)
 
 
-def _distance() -> Column:
+def _terms() -> list[Column]:
+    """What each field adds to the squared Mahalanobis distance."""
     d = [F.col(x) - F.col("centre")[k] for k, x in enumerate(FIELDS)]
     p = len(FIELDS)
-    return sum((sum((d[j] * F.col("precision")[i * p + j] for j in range(p)), F.lit(0.0)) * d[i] for i in range(p)), F.lit(0.0))
+    return [sum((d[j] * F.col("precision")[i * p + j] for j in range(p)), F.lit(0.0)) * d[i] for i in range(p)]
+
+
+def _distance() -> Column:
+    return sum(_terms(), F.lit(0.0))
+
+
+_SUMS = [f"s{k}" for k in range(len(FIELDS))]
+_PRODUCTS = [f"q{i}{j}" for i in range(len(FIELDS)) for j in range(i, len(FIELDS))]
+
+
+def combined(n: float, centre: np.ndarray, covariance: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, covariance) of n rows, those of the prior counting as PRIOR more rows."""
+    w = n / (n + PRIOR)
+    return w * centre + (1 - w) * prior[0], w * covariance + (1 - w) * prior[1]
 
 
 def _solve(moments: DataFrame) -> DataFrame:
-    """grp, centre, precision of rows of grp, n, sums, products."""
-    p = len(FIELDS)
+    """grp, centre, precision, log_det of moments: lang, grp, n, sums, products (about the group's centre). The
+    covariance of a language and of the table is that within their groups; there is a row for each group, and no more."""
+    p, cols = len(FIELDS), ["n", *_SUMS, *_PRODUCTS]
+    total = lambda df: df.agg(*[F.sum(c).alias("t_" + c) for c in cols])
+    langs = moments.groupBy("lang").agg(*[F.sum(c).alias("l_" + c) for c in cols])
+    rows = small_join(moments, langs, ["lang"], "inner").crossJoin(F.broadcast(total(moments)))  # one row
+    kind = pa.list_(pa.float64())
+
+    def moment(x: np.ndarray) -> tuple:
+        q = np.zeros((p, p))
+        q[np.triu_indices(p)] = x[1 + p :] / x[0]
+        return x[0], x[1 : 1 + p] / x[0], q + q.T - np.diag(np.diag(q))
 
     def run(batches):
         for b in batches:
-            centre, precision = [], []
-            for n, s, q in zip(*(b.column(c).to_pylist() for c in ("n", "sums", "products"))):
-                m = np.array(s) / n
-                c = np.array(q).reshape(p, p) / n - np.outer(m, m)
-                precision.append(np.linalg.inv(c + np.diag(FLOOR**2)).ravel().tolist())
+            x = {t: np.stack([b.column(t + c).to_numpy(zero_copy_only=False).astype(float) for c in cols], axis=1) for t in ("", "l_", "t_")}
+            centre, precision, det = [], [], []
+            for k in range(b.num_rows):
+                m, c = combined(*moment(x[""][k]), combined(*moment(x["l_"][k]), moment(x["t_"][k])[1:]))
+                c = c + np.diag(FLOOR**2)
                 centre.append(m.tolist())
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(centre, kind), pa.array(precision, kind)], names=["grp", "centre", "precision"])
+                precision.append(np.linalg.inv(c).ravel().tolist())
+                det.append(float(np.linalg.slogdet(c)[1]))
+            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(centre, kind), pa.array(precision, kind), pa.array(det, pa.float64())], names=["grp", "centre", "precision", "log_det"])
 
-    return moments.mapInArrow(run, "grp string, centre array<double>, precision array<double>")
+    return rows.mapInArrow(run, "grp string, centre array<double>, precision array<double>, log_det double")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """grp, centre, precision, scale by minimum covariance determinant; rows: grp and FIELDS."""
+def estimates(rows: DataFrame) -> DataFrame:
+    """grp, centre, precision, scale by minimum covariance determinant; rows: lang, grp (with the lang in it) and FIELDS."""
     p = len(FIELDS)
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m{k}") for k, x in enumerate(FIELDS)])
-    middle = middle.select("grp", F.array(*[f"m{k}" for k in range(p)]).alias("centre"))
-    middle = written(middle)
+    middle = written(middle.select("grp", F.array(*[f"m{k}" for k in range(p)]).alias("centre")))
     near = small_join(rows, middle, ["grp"], "inner")
     spreads = near.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col("centre")[k]), 0.5).alias(f"d{k}") for k, x in enumerate(FIELDS)])
     weights = [F.lit(0.0) if i != j else 1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + float(FLOOR[i] ** 2)) for i in range(p) for j in range(p)]
-    now = written(middle.join(spreads, "grp").select("grp", "centre", F.array(*weights).alias("precision")))
-    dropped_later = [middle]
-    for _ in range(steps):
+    now = written(middle.join(spreads, "grp").select("grp", "centre", F.array(*weights).alias("precision"), F.lit(float("inf")).alias("log_det")))
+    made = [middle, now]
+    while True:
         far = small_join(rows, now, ["grp"], "inner").withColumn("d", _distance())
-        edge = far.groupBy("grp").agg(F.percentile_approx("d", COVERED).alias("edge"))
-        edge = written(edge)
+        edge = written(far.groupBy("grp").agg(F.percentile_approx("d", COVERED).alias("edge")))
         kept = small_join(far, edge, ["grp"], "inner").filter("d <= edge")
-        products = F.array(*[F.sum(F.col(a) * F.col(b)) for a in FIELDS for b in FIELDS])
-        found = kept.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in FIELDS]).alias("sums"), products.alias("products"))
-        new = written(_solve(found))
-        dropped_later += [edge, now]
-        now = new
-    scale = small_join(rows, now, ["grp"], "inner").withColumn("d", _distance()).groupBy("grp").agg((F.greatest(F.percentile_approx("d", 0.5), F.lit(MEDIAN)) / MEDIAN).alias("scale"))
-    out = written(now.join(scale, "grp"))
-    for x in [*dropped_later, now]:
+        products = [F.sum(F.col(FIELDS[int(q[1])]) * F.col(FIELDS[int(q[2])])).alias(q) for q in _PRODUCTS]
+        found = kept.groupBy("lang", "grp").agg(F.count("*").alias("n"), *[F.sum(x).alias(c) for x, c in zip(FIELDS, _SUMS)], *products)
+        found = found.withColumns({q: F.col(q) - F.col(_SUMS[int(q[1])]) * F.col(_SUMS[int(q[2])]) / F.col("n") for q in _PRODUCTS})
+        before, now = now, written(_solve(moments := written(found)))
+        made += [edge, moments, now]
+        fell = now.join(before.select("grp", F.col("log_det").alias("before")), "grp").filter(F.col("log_det") < F.col("before") - STILL)
+        if fell.isEmpty():
+            break  # determinants don't fall any more
+    scale = small_join(rows, now, ["grp"], "inner").withColumn("d", _distance()).groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.percentile_approx("d", 0.5) / MEDIAN, F.lit(1.0)).alias("own"))
+    # a median of few rows is shrunk like the estimates, towards what the scale of normal vectors is
+    scale = scale.select("grp", ((F.col("n") * F.col("own") + PRIOR) / (F.col("n") + PRIOR)).alias("scale"))
+    out = written(now.join(scale, "grp").select("grp", "centre", "precision", "scale"))
+    for x in made:
         dropped(x)
     return out
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF) -> DataFrame:
     """The columns `keep` of docs (doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
 
-    Null texts have no words and fail. Null languages and sources are groups like others. What has fewer than
-    least_rows usable rows even as a language is judged by the estimate of the whole table, however small.
-    Every row is judged on its own; other columns of docs, whatever their names, aren't read.
+    Null texts have no words and fail. Null languages and sources are groups like others. A group's estimate
+    comes from its rows that don't fail by the base rules, and from its language's and the table's (see
+    combined()). Every row is judged on its own; other columns of docs, whatever their names, aren't read.
     """
     keep = keep or ["doc_id"]
     src = documents(docs, *dict.fromkeys([*keep, "lang", "source", "text"]))
     named = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")}
-    src = src.withColumns({"__lang": F.concat(F.lit("L"), named["lang"]), "__grp": F.concat(F.lit("G"), named["lang"], F.lit("\t"), named["source"])})
-    held = written(statistics(src, [*keep, "__lang", "__grp"]))
-    usable = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
-    sizes = held.groupBy("__lang", "__grp").agg(usable.alias("n"))
-    langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
-    own = F.when(F.col("n") >= least_rows, F.col("__grp")).when(F.col("n_lang") >= least_rows, F.col("__lang")).otherwise("*")
-    sizes = written(sizes.join(langs, "__lang").select("__grp", "__lang", own.alias("grp")))
-    rows = small_join(held, sizes.select("__grp", "grp"), ["__grp"], "left")
-    # an estimate of a language or of the table takes all its rows, those of its large groups too
-    good = rows.filter("NOT base_failed")
-    wide = small_join(good.drop("grp"), written(sizes.filter("grp = __lang").select("__lang", "grp").distinct()), ["__lang"], "inner")
-    models = good.filter("grp = __grp").select("grp", *FIELDS).unionByName(wide.select("grp", *FIELDS))
-    if not sizes.filter("grp = '*'").isEmpty():
-        models = models.unionByName(good.select(F.lit("*").alias("grp"), *FIELDS))
-    models = estimates(models)
+    src = src.withColumns({"__lang": named["lang"], "__grp": F.concat(named["lang"], F.lit("\t"), named["source"])})
+    rows = written(statistics(src, [*keep, "__lang", "__grp"]).withColumnsRenamed({"__lang": "__l", "__grp": "grp"}))
+    models = estimates(rows.filter("NOT base_failed").select(F.col("__l").alias("lang"), "grp", *FIELDS))
     far = small_join(rows, models, ["grp"], "left").withColumn("distance", _distance() / F.col("scale"))
-    # only what is more than usual of symbols, capitals, marks or repeats, or longer words than usual, is bad
-    worse = F.greatest(*[F.col(x) - F.col("centre")[k] for k, x in enumerate(FIELDS)]) > 0
-    out = F.coalesce((F.col("distance") > cutoff) & worse, F.lit(False))
+    # more than usual of symbols, capitals, marks or repeats, or longer words than usual, is bad; less isn't
+    above = sum((F.when(F.col(x) > F.col("centre")[k], t).otherwise(0.0) for (k, x), t in zip(enumerate(FIELDS), _terms())), F.lit(0.0)) / F.col("scale")
+    out = F.coalesce((F.col("distance") > cutoff) & (above > cutoff), F.lit(False))
     return far.select(*keep, *_NAMES[:5], "base_failed", (~F.col("base_failed") & ~out).alias("kept"), "distance")

@@ -163,7 +163,69 @@ def test_rules(spark, sf_dir, docs, empty):
     assert rules.judge(empty).count() == 0
 
 
-def test_rules_judge_each_group_by_itself(spark):
+def brute_verdicts(rows):
+    """doc_id to (kept, distance): the estimates of rows (doc_id, text, lang, source) by plain arrays."""
+    p, prior, floor = 6, 12, np.diag(np.array([0.1, 0.05, 0.05, 0.05, 0.15, 0.15]) ** 2)
+    vectors, groups = {}, defaultdict(list)
+    for i, t, lang, source in rows:
+        t = t or ""
+        n_words, chars, symbols, dup, repeat = brute_rules(t)
+        if n_words < 10 or 100 * repeat > 20 * n_words:
+            continue
+        upper, marks = sum(c.isupper() for c in t), sum(c in "!?@^~={}[]\\/_`" for c in t)
+        lines_ = max(1, len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]))
+        vectors[i] = np.array([np.log(chars / n_words), np.sqrt(symbols / chars), np.sqrt(upper / chars), np.sqrt(marks / chars), np.sqrt(repeat / n_words), np.sqrt(dup / lines_)])
+        groups[lang, source].append(i)
+    quantile = lambda x, share: np.sort(x)[max(0, int(np.ceil(share * len(x) - 1e-9)) - 1)]
+    v = {g: np.array([vectors[i] for i in ids]) for g, ids in groups.items()}
+    now = {}
+    for g, x in v.items():
+        m = np.array([quantile(c, 0.5) for c in x.T])
+        mad = np.array([quantile(np.abs(c - a), 0.5) for c, a in zip(x.T, m)])
+        now[g] = m, np.diag(1 / ((1.4826 * mad) ** 2 + np.diag(floor))), np.inf
+    within = lambda ys: sum((y - y.mean(0)).T @ (y - y.mean(0)) for y in ys) / sum(map(len, ys))
+    far = lambda x, g: np.einsum("ij,jk,ik->i", x - now[g][0], now[g][1], x - now[g][0])
+    while True:
+        kept = {g: x[far(x, g) <= quantile(far(x, g), 0.75)] for g, x in v.items()}
+        new = {}
+        for g, x in kept.items():
+            own = [y for h, y in kept.items() if h[0] == g[0]]
+            m, c = np.vstack(list(kept.values())).mean(0), within(list(kept.values()))
+            for ys in (own, [x]):
+                n = sum(map(len, ys))
+                w = n / (n + prior)
+                m, c = w * np.vstack(ys).mean(0) + (1 - w) * m, w * within(ys) + (1 - w) * c
+            new[g] = m, np.linalg.inv(c + floor), np.linalg.slogdet(c + floor)[1]
+        still = all(new[g][2] >= now[g][2] - 0.01 for g in new)
+        now = new
+        if still:
+            break
+    out = {}
+    for g, ids in groups.items():
+        d = far(v[g], g)
+        scale = (len(d) * max(1.0, quantile(d, 0.5) / 5.348) + prior) / (len(d) + prior)
+        for i, x, total in zip(ids, v[g], d / scale):
+            e = x - now[g][0]
+            above = float((e * (now[g][1] @ e))[e > 0].sum()) / scale
+            out[i] = not (total > 25 and above > 25), float(total)
+    return out
+
+
+def test_rules_verdicts(spark):
+    src = small(spark, "/root/testdata/sf0.1")
+    want = brute_verdicts([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in src.select("doc_id", "text", "lang", "source").collect()])
+    rejected = 0
+    for r in rules.judge(src).collect():
+        if not r["base_failed"]:
+            kept, distance = want[r["doc_id"]]
+            assert r["kept"] == kept and r["distance"] == pytest.approx(distance, rel=1e-6, abs=1e-6)
+            rejected += not kept
+    assert rejected > 0
+
+
+@pytest.mark.parametrize("n", [5, 29, 30, 31, 199, 201])
+def test_rules_judge_each_group_by_itself(spark, n):
+    """A group's size changes nothing by steps: what is usual in English only is rejected elsewhere."""
     r, rows = random.Random(4), []
 
     def add(lang, source, n, marks):
@@ -173,14 +235,15 @@ def test_rules_judge_each_group_by_itself(spark):
 
     add("en", "a", 150, lambda r: r.randint(60, 70))
     add("de", "a", 60, lambda r: r.randint(0, 2))
-    add("de", "b", 8, lambda r: r.randint(0, 2))
-    add("fr", "a", 3, lambda r: 0)
+    add("de", "b", n, lambda r: r.randint(0, 2))
     odd = len(rows)
-    add("de", "a", 1, lambda r: 65)  # usual in English only
+    add("de", "a", 1, lambda r: 65)
     add("de", "b", 1, lambda r: 65)
     out = {x["doc_id"]: x for x in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(out) == len(rows) and all(x["distance"] is not None for x in out.values())
-    assert [i for i in range(210) if not out[i]["kept"]] == []
+    want = brute_verdicts(rows)
+    assert all(out[i]["kept"] == want[i][0] and out[i]["distance"] == pytest.approx(want[i][1], rel=1e-6, abs=1e-6) for i in out)
+    assert [i for i in range(odd) if not out[i]["kept"]] == []
     assert not out[odd]["kept"] and not out[odd + 1]["kept"]
 
 
