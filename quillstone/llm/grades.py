@@ -9,15 +9,13 @@ features that don't differ between grades beyond chance have no weight.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, dropped, spread, written
+from .shared import documents, dropped, letter_words, spread, written
 
 #: Rated documents, in expectation, that the model is fitted on.
 MAX_RATED = 16_000
@@ -29,7 +27,6 @@ HARMFUL, POOR, GOOD = 0, 1, 2
 #: Probability of a good grade from which a document is selected.
 SELECT = 0.5
 
-_word = re.compile(r"[^\W\d_]+")
 _symbols = b"#*$%&|<>!?@^~={}[]\\/_`"
 
 
@@ -51,18 +48,16 @@ def text_features(text: str, words: list[str]) -> list[int]:
     return [_hash(f"s{k}{int(np.sqrt(max(0.0, v)) * 12)}") for k, v in shares.items()] + [_hash(f"slen{int(np.log2(n))}")]
 
 
-def _words(text: str) -> list[str]:
-    return _word.findall(text.lower())
-
-
 class Model:
     """weights by feature hash, ascending thresholds between grades."""
 
     def __init__(self, weights: dict[int, float], cuts: np.ndarray):
         self.weights, self.cuts, self.cache = weights, cuts, {}
 
-    def score(self, text: str) -> float:
-        get, cache, words, total = self.weights.get, self.cache, _words(text), 0.0
+    def score(self, text: str, words: list[str] | None = None) -> float:
+        """words: those of text, if they are known already."""
+        words = letter_words(text) if words is None else words
+        get, cache, total = self.weights.get, self.cache, 0.0
         for w in set(words):
             v = cache.get(w)
             if v is None:
@@ -107,12 +102,16 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, n_gr
 
 
 def rated(docs: DataFrame, labels: DataFrame, grade: Column, max_rated: int = MAX_RATED) -> DataFrame:
-    """text, grade of a sample of labels: the side that is broadcast has about max_rated rows whatever its table holds."""
+    """text, grade of a sample of about max_rated rows of docs that labels rate. The side that is broadcast has
+    about that many rows too, whatever its table holds. Rows are drawn by doc_id and text, equal ones count once."""
     marked = labels.select("doc_id", grade.cast("int").alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
-    n = marked.count()
-    if n > max_rated:
-        marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(max_rated / n * (1 << 30)))
-    return documents(docs).filter("text IS NOT NULL").join(F.broadcast(marked.groupBy("doc_id").agg(F.min("grade").alias("grade"))), "doc_id").select("text", "grade")
+    share = lambda n: int(min(1.0, max_rated / max(1, n)) * (1 << 30))
+    marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share(marked.count()))
+    marked = F.broadcast(marked.groupBy("doc_id").agg(F.min("grade").alias("grade")))
+    held = documents(docs).filter("text IS NOT NULL")
+    part = share(held.select("doc_id").join(marked, "doc_id").count())
+    out = held.join(marked, "doc_id").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < part)
+    return out.dropDuplicates(["doc_id", "text"]).select("text", "grade")
 
 
 def label_grade() -> Column:
@@ -126,7 +125,7 @@ def fit(sample: DataFrame, n_grades: int = 3) -> Model:
     and the sample's rows of these."""
 
     def all_features(t: str) -> set[int]:
-        words = _words(t)
+        words = letter_words(t)
         return set(text_features(t, words)).union(*map(word_features, set(words)))
 
     def count(batches):
@@ -170,11 +169,12 @@ def _graded(docs: DataFrame, model: Model, good: int, finish, schema, columns: l
         for b in batches:
             expected, tail = [], []
             for t in b.column("text").to_pylist():
-                if not t or not _word.search(t):
+                words = letter_words(t)
+                if not words:
                     expected.append(0.0)
                     tail.append(0.0)
                     continue
-                p = sent.value.grades(sent.value.score(t))
+                p = sent.value.grades(sent.value.score(t, words))
                 expected.append(float(p @ np.arange(len(p))))
                 tail.append(float(p[good:].sum()))
             yield finish(b, expected, tail)

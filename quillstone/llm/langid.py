@@ -1,15 +1,14 @@
 """Operator 2: language identification by words first, then by shorter and shorter character n-grams.
 
 The model is learned from a bounded sample of labelled documents (MAX_DOCS, spread over the languages by
-a hash of doc_id, whatever the size of the corpus). A word that the sample knows has a log frequency in
+a hash of the row, whatever the size of the corpus). A word that the sample knows has a log frequency in
 each language; an unseen word is scored by the longest order of n-grams, from ORDER down to 1, at which
 all its n-grams are known in some language.
 """
 
 from __future__ import annotations
 
-import math
-import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread
+from .shared import documents, letter_words, spread
 
 #: Documents that the model is learned from, in expectation, shared equally by the languages.
 MAX_DOCS = 8_000
@@ -31,13 +30,6 @@ SURE_WORDS = 24
 #: Words whose scores a worker keeps.
 CACHED = 300_000
 
-_word = re.compile(r"[^\W\d_]+")
-
-
-def words(text: str | None) -> list[str]:
-    return _word.findall(text.lower()) if text else []
-
-
 def grams(word: str, n: int) -> list[str]:
     w = f"_{word}_"
     return [w[k : k + n] for k in range(len(w) - n + 1)] or [w]
@@ -95,7 +87,7 @@ class Model:
         return out - out.max(axis=1, keepdims=True) if self.langs else out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(words(text))
+        found = Counter(letter_words(text))
         if not found or not self.langs:
             return "und", 0.0
         rows = self.rows
@@ -124,7 +116,8 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """From text and non-null lang of documents that aren't held out. A task counts its words; what comes
-    to the driver is bounded by the sample."""
+    to the driver is bounded by the sample. Rows are drawn by doc_id and text, and equal rows count once, so that
+    rows which share a doc_id, or have none, don't come all together."""
     src = documents(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     if not sizes:
@@ -132,14 +125,14 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     share = max_docs / len(sizes)
     spark = docs.sparkSession
     parts = spark.createDataFrame([(k, min(1.0, share / n)) for k, n in sizes.items()], "lang string, part double")
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = spread(src).join(F.broadcast(parts), "lang").filter(drawn < F.col("part")).select("lang", "text")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = spread(src).join(F.broadcast(parts), "lang").filter(drawn < F.col("part")).dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
 
     def count(batches):
         found: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[lang].update(words(text))
+                found[lang].update(letter_words(text))
         for lang, c in found.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
@@ -159,7 +152,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Equal rows give equal rows; ties go to the first language in order; other columns are ignored.
     """
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), f"{id(model)}"
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
         if name not in _held:

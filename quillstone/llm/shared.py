@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
+_letters = re.compile(r"[^\W\d_]+")
+_numbers = regex.compile(r"[\p{Nl}\p{No}]+")
+
+
+def letter_words(text: str | None) -> list[str]:
+    """Runs of letters (of any script), in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii():  # Python takes numbers such as superscripts and fractions for word characters
+        text = _numbers.sub(" ", text)
+    return _letters.findall(text)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
