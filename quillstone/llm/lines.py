@@ -5,7 +5,8 @@ hashes found often enough are dealt into shards; each shard is a minimal perfect
 which each key has a place of its own, ranked by population counts) that indexes three compact arrays:
 a 64-bit fingerprint, the count and the largest doc_id. The shards' size is counted: up to INDEX_BYTES
 they are broadcast and documents probe the arrays as they are read, with no shuffle of lines or texts.
-A larger index isn't moved: then each document's distinct hashes meet it in a join.
+A larger index isn't sent everywhere: each document's distinct hashes are dealt to the shards, a shard's
+in as many parts as their number asks for, and probe the arrays there; only what goes comes back.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread, written
+from .shared import documents, spread, unused, written
 
 #: Largest index, in bytes, that is broadcast to the executors.
 INDEX_BYTES = 128_000_000
@@ -29,6 +30,9 @@ KEY_BYTES = 22
 #: Keys of a shard, on average.
 SHARD_KEYS = 500_000
 
+#: Hashes that one task probes a shard with, about, where shards aren't sent everywhere.
+PART_HASHES = 4_000_000
+
 #: A null doc_id counts as one document, before all others.
 NO_ID = -(1 << 63)
 _SPACE = b" \t\n\v\f\r"
@@ -198,21 +202,54 @@ def _drop(docs: DataFrame, least_chars: int, least_docs: int, finish, schema, co
                 yield finish(b, ids, texts, _held[name](ids, [keys(t, least_chars) for t in texts]))
 
         return src.mapInArrow(run, schema)
-    own = spread(documents(docs)).mapInArrow(_counted(least_chars, True), "h1 long, h2 long, n long, last long").select("h1", "h2", F.col("last").alias("own"))
-    gone = own.join(found, ["h1", "h2"]).filter("own <> last").groupBy("own").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    src = src.withColumn("own", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "own", "left").select(*[F.col(f"`{c}`") for c in columns], "__gone")
+    shards = -(-n // SHARD_KEYS)
+    own, mark = unused(docs, "own"), unused(docs, "gone")
+    gone = _probed(docs, index(found, shards), shards, least_chars).groupBy("own").agg(F.collect_set(F.struct("h1", "h2")).alias(mark)).withColumnRenamed("own", own)
+    src = src.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).join(gone, own, "left").select(*[F.col(f"`{c}`") for c in columns], mark)
 
-    def run_joined(batches):
+    def run_marked(batches):
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             out = []
-            for t, g in zip(texts, b.column("__gone").to_pylist()):
+            for t, g in zip(texts, b.column(mark).to_pylist()):
                 g = {(x["h1"], x["h2"]) for x in g or []}
                 ks = keys(t, least_chars) if g else []
                 out.append({j for j, k in enumerate(ks) if k is not None and tuple(_hashes([k]).view("<i8")[0].tolist()) in g})
             yield finish(b.select(columns), ids, texts, out)
 
-    return src.mapInArrow(run_joined, schema)
+    return src.mapInArrow(run_marked, schema)
+
+
+def _probed(docs: DataFrame, indexed: DataFrame, shards: int, least: int) -> DataFrame:
+    """own, h1, h2 of the line hashes that go, found by probing their shard; a task reads a shard's arrays and
+    then hashes as they come, a part of about PART_HASHES of them."""
+    lines = written(spread(documents(docs)).mapInArrow(_counted(least, True), "h1 long, h2 long, n long, last long").select("h1", "h2", F.col("last").alias("own")))
+    parts = -(-lines.count() // (shards * PART_HASHES)) or 1
+    part = F.pmod(F.xxhash64("own"), F.lit(parts)).cast("int").alias("part")
+    asked = lines.select(F.pmod("h2", F.lit(shards)).cast("int").alias("shard"), part, F.lit(1).alias("asks"), "h1", "h2", "own", F.lit(None).cast("binary").alias("index"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "own")]
+    held = indexed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("asks"), *none, "index")
+
+    def run(batches):
+        at, shard = None, None
+        for b in batches:
+            keys_of = list(zip(b.column("shard").to_pylist(), b.column("part").to_pylist(), b.column("asks").to_pylist()))
+            start = 0
+            while start < len(keys_of):
+                end = start
+                while end < len(keys_of) and keys_of[end] == keys_of[start]:
+                    end += 1
+                rows = b.slice(start, end - start)
+                if keys_of[start][2] == 0:
+                    at, shard = keys_of[start][:2], pickle.loads(rows.column("index")[0].as_py())
+                elif at == keys_of[start][:2]:
+                    h1, h2, own = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2", "own"))
+                    count, last = shard.probe(h1.view("<u8"), h2.view("<u8"))
+                    k = np.flatnonzero((count > 0) & (last != own))
+                    yield pa.RecordBatch.from_pydict({"own": pa.array(own[k]), "h1": pa.array(h1[k]), "h2": pa.array(h2[k])})
+                start = end
+
+    return held.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "asks").mapInArrow(run, "own long, h1 long, h2 long")
 
 
 def _kept(text: str | None, gone: set[int]) -> str | None:

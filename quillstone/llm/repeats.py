@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sieve, documents, dropped, portions, small_join, spread, written
+from .shared import Sieve, documents, dropped, portions, small_join, spread, unused, written
 
 LENGTH = 100
 K = 24
@@ -364,13 +364,14 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, with all its columns, without those bytes; cut characters at a span's ends go too."""
     found, columns = repeats(docs, length), docs.columns
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
-    rows = keyed.join(found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left")
+    own, th, held = (unused(docs, n) for n in ("id", "th", "spans"))
+    keyed = docs.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(th, F.xxhash64("text"))
+    rows = keyed.join(found.select(F.col("id").alias(own), F.col("th").alias(th), F.col("spans").alias(held)), [own, th], "left")
 
     def finish(batches):
         for b in batches:
-            new = [t if not s else _kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist())]
+            new = [t if not s else _kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(b.column("text").to_pylist(), b.column(held).to_pylist())]
             b = b.select(columns)
             yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
 
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(finish, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], held).mapInArrow(finish, docs.schema)
