@@ -88,8 +88,10 @@ _core = re.compile(r"[+(]?[0-9A-Za-z](?:.*[0-9A-Za-z)])?", re.S)
 
 
 def _shape(token: str) -> str:
-    s = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]+", "a", token[:64]))
-    return re.sub(r"d{8,}", lambda m: f"d<{len(m[0])}>", s)
+    """Letters as a, digits as d, with long runs counted; long shapes by their hash."""
+    s = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]+", "a", token))
+    s = re.sub(r"d{8,}", lambda m: f"d<{len(m[0])}>", s)
+    return s if len(s) <= 64 else hashlib.md5(s.encode()).hexdigest()
 
 
 def _digits(token: str) -> str:
@@ -122,7 +124,7 @@ class Graph:
             while j < len(spans) and spans[j][0] < b and spans[j][1] <= a:
                 j += 1
             held = spans[j][2] if j < len(spans) and spans[j][0] < b else -1
-            m = _core.search(text, a, b) if held < 0 or b - a < 200 else None
+            m = _core.search(text, a, b)
             if not m or m.end() > b:
                 continue
             self.at.append((m.start(), m.end()))
@@ -141,8 +143,8 @@ class Graph:
 
     def features(self, k: int, chain: set[int]) -> tuple[str, ...]:
         c = self.core[k]
-        before = _shape(self.core[k - 1])[:8] if k - 1 in chain else "-"
-        after = _shape(self.core[k + 1])[:8] if k in chain else "-"
+        before = _shape(self.core[k - 1]) if k - 1 in chain else "-"
+        after = _shape(self.core[k + 1]) if k in chain else "-"
         return ("s:" + _shape(c), f"n:{min(len(_digits(c)), 20)}", "b:" + before, "a:" + after, "*")
 
 
@@ -232,17 +234,23 @@ class Field:
                 out[-1] = (out[-1][0], b, kind)  # tokens side by side are one span
             else:
                 out.append((a, b, kind))
+        # a number of fewer digits than a local one has isn't a phone's
         ok = [(a, b, k) for a, b, k in out if k != 3 or len(_digits(text[a:b])) >= 7]
-        starts = [(a, b) for a, b, _ in base]
-        return sorted(base + [x for x in ok if not any(x[0] < b and a < x[1] for a, b in starts)])
+        free_of, at, last = [], 0, -1
+        for x in ok:  # both lists are in order: `last` is the furthest end of base spans that start before x's end
+            while at < len(base) and base[at][0] < x[1]:
+                last, at = max(last, base[at][1]), at + 1
+            if last <= x[0]:
+                free_of.append(x)
+        return sorted(base + free_of)
 
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
-    """From the base spans of a sample of about max_docs documents, drawn by a hash of doc_id."""
+    """From the base spans of a sample of about max_docs documents, drawn by a hash of the row; equal rows count once."""
     n = docs.count()
     src = documents(docs)
     if n > max_docs:
-        src = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
+        src = src.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30))).dropDuplicates(["doc_id", "text"])
 
     def count(batches):
         rows: Counter = Counter()
@@ -289,7 +297,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def report(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans) and spans (all of them).
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans alone), base_sha256 (of the base spans) and spans (all of them).
 
     Null and empty texts have no spans. Equal rows give equal rows. Other columns are ignored.
     """
