@@ -2,7 +2,7 @@
 
 The pre-tokenizer's words are split from each block of documents; a block is what one task has read, cut
 at BLOCK_CHARS. Each block ranks its distinct words. Words of all blocks meet in buckets by a hash of the
-word, where each distinct word is encoded once; the ids go back to the block, and there the documents,
+word, where each distinct word is encoded once as the lists stream by; the ids go back to the block, and there the documents,
 held as ranks, take them by position. Only compressed lists of distinct words and of ranks are shuffled,
 never text.
 """
@@ -17,6 +17,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .shared import documents, spread
+from .shared import documents, spread, written
 
 #: Code points of text after which a block ends.
 BLOCK_CHARS = 12_000_000
@@ -216,34 +217,54 @@ def _unpacked(held: bytes) -> Iterator[bytes]:
 
 
 def _encode_once(path: str):
-    """All blocks' words of one bucket: each distinct word is encoded once."""
-
-    def run(table: pa.Table) -> pa.Table:
-        encode, out = word_encoder(path), []
-        lists = [list(_unpacked(h)) for h in table.column("words").to_pylist()]
-        new = list(dict.fromkeys(w for ws in lists for w in ws))
-        known = {w: encode(w.decode()) for w in new}
-        for ws in lists:
-            n = np.array([len(known[w]) for w in ws], "<u4")
-            ids = np.array([i for w in ws for i in known[w]], "<u4")
-            out.append((_planes(n), _planes(ids)))
-        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "lens", "ids"])
+    """Words of one bucket, block after block: each distinct word is encoded once. What a task holds is a
+    bucket's distinct words, not the blocks' lists."""
+
+    def run(batches):
+        encode, at, known = word_encoder(path), None, {}
+        for batch in batches:
+            out = []
+            for block, bucket, held in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words"))):
+                if bucket != at:
+                    at, known = bucket, {}
+                ids = []
+                for w in _unpacked(held):
+                    own = known.get(w)
+                    if own is None:
+                        own = known[w] = encode(w.decode())
+                    ids.append(own)
+                out.append((_planes(np.fromiter(map(len, ids), np.uint32, len(ids))), _planes(np.fromiter(chain.from_iterable(ids), np.uint32))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "lens", "ids"])
 
     return run
 
 
+#: Partitions of the input for each bucket, at most.
+BUCKET_PARTITIONS = 64
+
+
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs if it is a table, its columns and filters, which any read gives alike; else written as a table, as
+    a block's words are told apart by the place where its documents are read."""
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    plain = all(re.match(r"[\s:+\-]*(Project|Filter|Relation|LocalRelation)\b", x) for x in lines if x.strip())
+    return docs if plain else written(docs)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, finish=None, schema: str = "doc_id long, ids binary", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
     """A row for each document: doc_id, ids (little-endian unsigned 32-bit integers, whole text).
 
     Null and empty texts have no ids; equal rows and equal or null doc_ids give a row each; other columns
     of docs are ignored. finish(doc ids, list of id arrays) -> dict of columns replaces the ids by what is
-    derived from them in the same task. buckets: parts of the word table, each in one task's memory; by
-    default as many as shuffle partitions, 64 at least.
+    derived from them in the same task. buckets: parts of the word table; by default as many as shuffle
+    partitions, 64 at least, and one for each BUCKET_PARTITIONS of the input.
     """
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    src = spread(documents(docs))
+    docs = _steady(documents(docs))
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // BUCKET_PARTITIONS)
+    src = spread(docs)
     words = src.mapInArrow(_dictionary(tokenizer_path, block_chars, buckets), "block string, bucket int, words binary")
-    known = words.groupBy("bucket").applyInArrow(_encode_once(tokenizer_path), "block string, bucket int, lens binary, ids binary")
+    words = words.repartition("bucket").sortWithinPartitions("bucket")
+    known = words.mapInArrow(_encode_once(tokenizer_path), "block string, bucket int, lens binary, ids binary")
     held = src.mapInArrow(_positions(tokenizer_path, block_chars, buckets), "block string, doc_ids array<long>, counts array<long>, buckets binary, codes binary")
     finish = finish or (lambda ids, arrays: {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([a.tobytes() for a in arrays], pa.binary())})
 
@@ -271,13 +292,18 @@ def encode(docs: DataFrame, tokenizer_path: str, finish=None, schema: str = "doc
 
 
 class Decoder:
-    """ids to text: a vectorised join of ids with the table of pieces, then the bytes read as UTF-8."""
+    """Ids to texts: the distinct ids of a batch are joined with the table of pieces, which has a row for each
+    entry of the vocabulary; the pieces' bytes are put back by position and read as UTF-8."""
 
     def __init__(self, path: str):
-        self.pieces = Ragged(pieces(path), "u1")
+        held = pieces(path)
+        self.pieces = pa.table({"id": pa.array(range(len(held)), pa.int64()), "piece": pa.array(held, pa.binary())})
 
-    def text(self, ids: np.ndarray) -> str:
-        return self.pieces.take(ids).tobytes().decode("utf-8", "replace")
+    def texts(self, arrays: list[np.ndarray]) -> list[str]:
+        there = np.bincount(np.concatenate([np.empty(0, np.int64), *arrays]).astype(np.int64)) > 0
+        found = pa.table({"id": pa.array(np.flatnonzero(there), pa.int64())}).join(self.pieces, "id", join_type="left outer", use_threads=False).sort_by("id")
+        rows, number = Ragged([x or b"" for x in found.column("piece").to_pylist()], "u1"), np.cumsum(there) - 1
+        return [rows.take(number[a]).tobytes().decode("utf-8", "replace") for a in arrays]
 
 
 @lru_cache(2)
@@ -291,7 +317,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         d = decoder(tokenizer_path)
         for b in batches:
-            text = [d.text(np.frombuffer(x or b"", "<u4")) for x in b.column("ids").to_pylist()]
+            text = d.texts([np.frombuffer(x or b"", "<u4") for x in b.column("ids").to_pylist()])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(text, pa.string())})
 
     return documents(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -306,7 +332,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CH
             "doc_id": pa.array(ids, pa.int64()),
             "n_tokens": pa.array(map(len, arrays), pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a in arrays], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(d.text(a).encode()).hexdigest() for a in arrays], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in d.texts(arrays)], pa.string()),
         }
 
     return encode(docs, tokenizer_path, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", block_chars)
