@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, dropped, letter_words, spread, written
+from .shared import bounded, documents, dropped, letter_words, spread, written
 
 #: Rated documents, in expectation, that the model is fitted on.
 MAX_RATED = 16_000
@@ -103,7 +103,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, n_gr
 
 def rated(docs: DataFrame, labels: DataFrame, grade: Column, max_rated: int = MAX_RATED) -> DataFrame:
     """text, grade of a sample of about max_rated rows of docs that labels rate. The side that is broadcast has
-    about that many rows too, whatever its table holds. Rows are drawn by doc_id and text, equal ones count once."""
+    about that many rows too, whatever its table holds. Rows are drawn by doc_id and text (see bounded() for equal ones)."""
     marked = labels.select("doc_id", grade.cast("int").alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
     share = lambda n: int(min(1.0, max_rated / max(1, n)) * (1 << 30))
     marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share(marked.count()))
@@ -111,7 +111,7 @@ def rated(docs: DataFrame, labels: DataFrame, grade: Column, max_rated: int = MA
     held = documents(docs).filter("text IS NOT NULL")
     part = share(held.select("doc_id").join(marked, "doc_id").count())
     out = held.join(marked, "doc_id").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < part)
-    return out.dropDuplicates(["doc_id", "text"]).select("text", "grade")
+    return bounded(out.select("text", "grade"), max_rated)
 
 
 def label_grade() -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, letter_words, spread
+from .shared import bounded, documents, letter_words, spread
 
 #: Documents that the model is learned from, in expectation, shared equally by the languages.
 MAX_DOCS = 8_000
@@ -116,8 +116,8 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """From text and non-null lang of documents that aren't held out. A task counts its words; what comes
-    to the driver is bounded by the sample. Rows are drawn by doc_id and text, and equal rows count once, so that
-    rows which share a doc_id, or have none, don't come all together."""
+    to the driver is bounded by the sample. Rows are drawn by doc_id and text, so that rows which share a doc_id, or
+    have none, don't come all together (see bounded() for equal ones)."""
     src = documents(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     if not sizes:
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     spark = docs.sparkSession
     parts = spark.createDataFrame([(k, min(1.0, share / n)) for k, n in sizes.items()], "lang string, part double")
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = spread(src).join(F.broadcast(parts), "lang").filter(drawn < F.col("part")).dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
+    sample = bounded(spread(src).join(F.broadcast(parts), "lang").filter(drawn < F.col("part")).select("lang", "text"), max_docs)
 
     def count(batches):
         found: dict[str, Counter] = defaultdict(Counter)

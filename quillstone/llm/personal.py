@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread
+from .shared import bounded, documents, spread
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -246,11 +246,11 @@ class Field:
 
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
-    """From the base spans of a sample of about max_docs documents, drawn by a hash of the row; equal rows count once."""
+    """From the base spans of a sample of about max_docs documents, drawn by a hash of the row (see bounded())."""
     n = docs.count()
     src = documents(docs)
     if n > max_docs:
-        src = src.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30))).dropDuplicates(["doc_id", "text"])
+        src = bounded(src.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30))), max_docs)
 
     def count(batches):
         rows: Counter = Counter()

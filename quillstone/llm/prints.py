@@ -269,3 +269,12 @@ def compare(docs: DataFrame) -> DataFrame:
     shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
     names = [x.split()[0] for x in shape.split(", ")]
     return dealt.repartitionById(n, F.col("r")).sortWithinPartitions("r", "extra", "id", "text").mapInArrow(run, shape)
+
+
+#: DuckDB's form of the edited texts and of how far they agree with the texts, over the view documents.
+ORACLE_EDITED = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (
+  SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u, CAST(floor(length(t) / 4) AS BIGINT) AS cut FROM d
+)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(left(t, CAST(length(t) - cut AS BIGINT)) || left(u, cut)) AS edited_sha256 FROM n
+"""

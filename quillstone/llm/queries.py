@@ -60,5 +60,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal, "op10_repeats": op10_repeats}
-ORACLES = {"op7_lines": lines.ORACLE}
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5_rules."""
+    return op5_rules(spark, sf_dir).drop("kept", "distance")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_fingerprints."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal, "op10_repeats": op10_repeats, "rules_base": rules_base, "edited_texts": edited_texts}
+ORACLES = {"op7_lines": lines.ORACLE, "rules_base": rules.ORACLE_BASE, "edited_texts": prints.ORACLE_EDITED}

@@ -199,3 +199,28 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF
     above = sum((F.when(F.col(x) > F.col("centre")[k], t).otherwise(0.0) for (k, x), t in zip(enumerate(FIELDS), _terms())), F.lit(0.0)) / F.col("scale")
     out = F.coalesce((F.col("distance") > cutoff) & (above > cutoff), F.lit(False))
     return far.select(*keep, *_NAMES[:5], "base_failed", (~F.col("base_failed") & ~out).alias("kept"), "distance")
+
+
+#: DuckDB's form of what the base rules give, over the view documents.
+ORACLE_BASE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, list_slice(w, k, k + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS k FROM d)
+), again AS (
+  SELECT doc_id, k FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT k + j) AS n FROM again, (SELECT unnest(range(0, 5)) AS j) GROUP BY ALL
+), lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL
+), base AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id)
+)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+FROM base
+"""

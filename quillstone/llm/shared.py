@@ -109,6 +109,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(sample: DataFrame, most: int) -> DataFrame:
+    """A sample that was drawn by a hash of its rows, `most` rows in expectation; equal rows come all or none, so
+    if it is counted at over twice that, single rows are drawn of it."""
+    n = sample.count()
+    return sample if n <= 2 * most else sample.filter(F.rand(7) < most / n)
+
+
 def portions(batches, rows: int = 1_000):
     """Batches in parts of so many rows, so that few texts are Python strings at a time."""
     for b in batches:
