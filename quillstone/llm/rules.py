@@ -2,8 +2,9 @@
 
 Each text gives counts, and these a transformed vector. For each (lang, source) the centre and covariance
 of its vectors come from minimum-covariance-determinant concentration steps over all rows: from medians
-and deviations, the COVERED share of rows nearest by Mahalanobis distance gives the next estimate, until the
-determinants stand still. The steps are aggregations with partial sums in each task, so a hot group isn't
+and deviations, the COVERED share of rows nearest by Mahalanobis distance gives the next estimate, which a group
+takes if its determinant falls by it. As no determinant ever rises and FLOOR bounds them, the steps come to an end:
+after the first in which none falls by more than STILL. The steps are aggregations with partial sums in each task, so a hot group isn't
 gathered anywhere. A group's estimate is shrunk towards its language's, and that towards the table's, with
 the weight of PRIOR rows: there is no size from which a group counts. Documents that lie beyond CUTOFF, by
 what is above their group's centre, are rejected.
@@ -166,11 +167,15 @@ def estimates(rows: DataFrame) -> DataFrame:
         products = [F.sum(F.col(FIELDS[int(q[1])]) * F.col(FIELDS[int(q[2])])).alias(q) for q in _PRODUCTS]
         found = kept.groupBy("lang", "grp").agg(F.count("*").alias("n"), *[F.sum(x).alias(c) for x, c in zip(FIELDS, _SUMS)], *products)
         found = found.withColumns({q: F.col(q) - F.col(_SUMS[int(q[1])]) * F.col(_SUMS[int(q[2])]) / F.col("n") for q in _PRODUCTS})
-        before, now = now, written(_solve(moments := written(found)))
+        moments = written(found)
+        # estimates hang together by their priors, so a group's determinant could rise as another's falls, and so on forever
+        step = _solve(moments).select("grp", F.struct("centre", "precision", "log_det").alias("new"))
+        step = small_join(now, step, ["grp"], "left").withColumn("fell", F.col("log_det") - F.col("new.log_det"))
+        best = [F.when(F.col("fell") > 0, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "log_det")]
+        now = written(step.select("grp", *best, "fell"))
         made += [edge, moments, now]
-        fell = now.join(before.select("grp", F.col("log_det").alias("before")), "grp").filter(F.col("log_det") < F.col("before") - STILL)
-        if fell.isEmpty():
-            break  # determinants don't fall any more
+        if now.filter(F.col("fell") > STILL).isEmpty():
+            break
     scale = small_join(rows, now, ["grp"], "inner").withColumn("d", _distance()).groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.percentile_approx("d", 0.5) / MEDIAN, F.lit(1.0)).alias("own"))
     # a median of few rows is shrunk like the estimates, towards what the scale of normal vectors is
     scale = scale.select("grp", ((F.col("n") * F.col("own") + PRIOR) / (F.col("n") + PRIOR)).alias("scale"))

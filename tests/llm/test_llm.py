@@ -197,7 +197,7 @@ def brute_verdicts(rows):
                 m, c = w * np.vstack(ys).mean(0) + (1 - w) * m, w * within(ys) + (1 - w) * c
             new[g] = m, np.linalg.inv(c + floor), np.linalg.slogdet(c + floor)[1]
         still = all(new[g][2] >= now[g][2] - 0.01 for g in new)
-        now = new
+        now = {g: new[g] if new[g][2] < now[g][2] else now[g] for g in new}
         if still:
             break
     out = {}
