@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grades, langid, lines, near, packing, personal, phrases, prints, repeats, rules
+from . import bpe, codes, grades, langid, lines, near, packing, personal, phrases, prints, repeats, rules, simhash
 
 #: The tokenizer file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_documents(spark, sf_dir))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_documents(spark, sf_dir))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_documents(spark, sf_dir))
 
@@ -74,5 +82,5 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal, "op10_repeats": op10_repeats, "op13_phrases": op13_phrases, "rules_base": rules_base, "edited_texts": edited_texts}
-ORACLES = {"op7_lines": lines.ORACLE, "op13_phrases": phrases.ORACLE, "rules_base": rules.ORACLE_BASE, "edited_texts": prints.ORACLE_EDITED}
+QUERIES = {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_grades": op4_grades, "op5_rules": op5_rules, "op6_near": op6_near, "op7_lines": op7_lines, "op8_fingerprints": op8_fingerprints, "op9_personal": op9_personal, "op10_repeats": op10_repeats, "op11_codes": op11_codes, "op12_simhash": op12_simhash, "op13_phrases": op13_phrases, "rules_base": rules_base, "edited_texts": edited_texts}
+ORACLES = {"op7_lines": lines.ORACLE, "op11_codes": codes.ORACLE, "op13_phrases": phrases.ORACLE, "rules_base": rules.ORACLE_BASE, "edited_texts": prints.ORACLE_EDITED}
