@@ -1,12 +1,15 @@
 """PLY files: each element is a DataFrame, a list property an array column.
 
-Files are read through Spark (binaryFile), so their path can be any that Spark reads. A schema comes from
-the first file's header; all files of one read share it. A file is parsed in one task, rows leave it in
-portions. Writing streams the body, encoded in the tasks, through the session's file system.
+A schema comes from the first file's header; all files of one read share it. Binary files are read by the data source
+`ply`: rows of one width by ranges, many tasks to a file, rows with lists as one stream of bounded portions. Ascii files are split
+at lines, many tasks to a file. Files in stores that tasks can't open on their own are parsed whole, a task to a file, as are ascii
+files whose rows aren't lines. All tasks write their part of a file (see sink).
 """
 
 from __future__ import annotations
 
+import json
+import pickle
 import re
 import warnings
 from dataclasses import dataclass, field
@@ -16,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.joins import lookup
+from . import ranges, sink, texts
 
 # Scalar types of the format with their numpy codes, names of older files, and the names under
 # which elements and properties of meshes are found.
@@ -209,36 +216,288 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("content")).mapInArrow(run, shape)
 
 
-def read(spark: SparkSession, path: str, element: str | list[str] = "vertex") -> DataFrame:
-    """file, row (from 0) and the properties of an element (or the first of several names that there is)."""
-    files = spark.read.format("binaryFile").load(path)
-    head = files.select(F.substring("content", 1, 1 << 20).alias("head")).first()
-    if head is None:
-        raise PlyError(f"no file at {path!r}")
-    header = parse_header(bytes(head["head"]))
-    names = [element] if isinstance(element, str) else element
-    known = [e.name for e in header.elements]
-    wanted = next((n for n in names if n in known), names[0])
-    properties = header.element(wanted).properties
+def _head(content, name: str) -> Header:
+    """The header of a file that is open: no more of it is read than needed."""
+    size = 1 << 16
+    while True:
+        content.seek(0)
+        head = content.read(size)
+        if len(head) < size or re.search(rb"(?:^|[\r\n])end_header[ \t]*(?:\r\n|\n|\r)(?=.)", head, re.S):
+            try:
+                return parse_header(head)
+            except PlyError as e:
+                raise PlyError(f"{name}: {e}") from None
+        size *= 4
+
+
+def _shape(properties: list[Property]) -> T.StructType:
     shape = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
     for p in properties:
         shape.add(p.name, T.ArrayType(_SPARK[p.kind]) if p.count else _SPARK[p.kind])
+    return shape
+
+
+def _named(header: Header, names: list[str]) -> Element:
+    known = [e.name for e in header.elements]
+    return header.element(next((n for n in names if n in known), names[0]))
+
+
+def _own(header: Header, wanted: str, properties: list[tuple[str, bool]], name: str) -> Element:
+    own = header.element(wanted)
+    if [(p.name, bool(p.count)) for p in own.properties] != properties:
+        raise PlyError(f"{name}: its {wanted!r} has other properties than the first file's")
+    return own
+
+
+def _batch(name: str, row: int, columns: list, properties: list[Property], names: list[str]) -> pa.RecordBatch:
+    n = len(columns[0]) if columns else 0
+    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(row, row + n), pa.int64()), *(_arrow(c, p) for c, p in zip(columns, properties))], names=names)
+
+
+def _width(element: Element, order: str) -> np.dtype | None:
+    """The type of a row, if all rows have one width."""
+    return None if any(p.count for p in element.properties) else np.dtype([(p.name, order + p.kind) for p in element.properties])
+
+
+def _streamed(content, at: int, element: Element, order: str, wanted: bool):
+    """Portions of columns of an element with lists, from place `at` on; returns the place after it. Rows whose lists are
+    as long as those of the row before are taken together."""
+    buffer, done = b"", 0
+    content.seek(at)
+    while done < element.rows:
+        start = np.zeros(len(element.properties), np.int64)
+        more = content.read(1 << 22)
+        buffer, used = buffer + more, 0
+        columns: list[list] = [[] for _ in element.properties]
+        while done < element.rows:
+            kinds, x = [], used
+            for k, p in enumerate(element.properties):  # the shape of the next row
+                size = 1
+                if p.count:
+                    count = np.dtype(order + p.count)
+                    if x + count.itemsize > len(buffer):
+                        x = len(buffer) + 1
+                        break
+                    size = int(np.frombuffer(buffer, count, 1, x)[0])
+                    kinds.append((f"n{k}", count))
+                    start[k] = size
+                    x += count.itemsize
+                kinds.append((f"v{k}", np.dtype(order + p.kind), (size,)))
+                x += size * np.dtype(p.kind).itemsize
+            if x > len(buffer):
+                break
+            row = np.dtype(kinds)
+            table = np.frombuffer(buffer, row, min(element.rows - done, max(1, (len(buffer) - used) // row.itemsize)), used)
+            same = np.ones(len(table), bool)
+            for k, p in enumerate(element.properties):
+                if p.count:
+                    same &= table[f"n{k}"] == start[k]
+            n = len(table) if same.all() else int(np.argmin(same))
+            if wanted:
+                for k, p in enumerate(element.properties):
+                    v = table[f"v{k}"][:n].astype(p.kind)
+                    columns[k] += list(v) if p.count else v[:, 0].tolist()
+            done, used = done + n, used + n * row.itemsize
+        if not more and done < element.rows and not used:
+            raise PlyError("the file ends early")
+        at, buffer = at + used, buffer[used:]
+        if wanted and columns and len(columns[0]):
+            yield [c if p.count else np.array(c, p.kind) for c, p in zip(columns, element.properties)]
+    return at
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, k: int, of: int):
+        self.path, self.k, self.of = path, k, of
+
+
+class PlyReader(DataSourceReader):
+    """Rows of an element of binary files: the k-th of so many ranges of a file's rows in each partition."""
+
+    def __init__(self, files: list[tuple[str, int]], wanted: str, properties: list[tuple[str, bool]], names: list[str], step: int):
+        self.files, self.wanted, self.properties, self.names, self.step = files, wanted, properties, names, step
+
+    def partitions(self):
+        return [_Range(path, k, of) for path, size in self.files for of in [max(1, -(-size // self.step))] for k in range(of)]
+
+    def read(self, part: _Range):
+        with ranges.opened(part.path) as content:
+            header = _head(content, part.path)
+            own = _own(header, self.wanted, self.properties, part.path)
+            order, at, row = FORMATS[header.format], header.size, 0
+            if header.format == "ascii":
+                raise PlyError(f"{part.path}: this source reads binary files")
+            for e in header.elements:
+                kind = _width(e, order)
+                if kind is None and part.k:
+                    return  # where it ends is known to the first partition only
+                if kind is None:
+                    stream = _streamed(content, at, e, order, e is own)
+                    while True:
+                        try:
+                            columns = next(stream)
+                        except StopIteration as end:
+                            at = end.value
+                            break
+                        yield _batch(part.path, row, columns, e.properties, self.names)
+                        row += len(columns[0])
+                    if e is own:
+                        return
+                    continue
+                if e is own:
+                    a, z = (e.rows * k // part.of for k in (part.k, part.k + 1))
+                    if any(x.properties and _width(x, order) is None for x in header.elements[: header.elements.index(e)]):
+                        a, z = 0, e.rows  # behind lists
+                    for first in range(a, z, PORTION):
+                        n = min(PORTION, z - first)
+                        content.seek(at + first * kind.itemsize)
+                        body = content.read(n * kind.itemsize)
+                        if len(body) < n * kind.itemsize:
+                            raise PlyError(f"{part.path}: the file ends early")
+                        table = np.frombuffer(body, kind, n)
+                        yield _batch(part.path, first, [table[p.name].astype(p.kind) for p in e.properties], e.properties, self.names)
+                    return
+                at += kind.itemsize * e.rows
+
+
+class PlySource(DataSource):
+    """spark.read.format("ply").load(path) of binary files: file, row, and the properties of the element that the option
+    `element` names (several names, by commas: the first that there is). range_bytes: how much of a file a task reads, about."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ply"
+
+    def _files(self) -> list[tuple[str, int]]:
+        if "files" in self.options:
+            return [tuple(x) for x in json.loads(self.options["files"])]
+        from pyarrow import fs
+
+        path = self.options["path"]
+        own, where = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+        found = own.get_file_info(where)
+        scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+        inside = [found] if found.is_file else own.get_file_info(fs.FileSelector(where))
+        return sorted((scheme + f.path, f.size) for f in inside if f.is_file and not f.base_name.startswith(("_", ".")))
+
+    def _first(self) -> Element:
+        files = self._files()
+        if not files:
+            raise PlyError("no file")
+        with ranges.opened(files[0][0]) as content:
+            return _named(_head(content, files[0][0]), self.options.get("element", ",".join(VERTEX_NAMES)).split(","))
+
+    def schema(self) -> T.StructType:
+        return _shape(self._first().properties)
+
+    def reader(self, schema: T.StructType) -> PlyReader:
+        e = self._first()
+        return PlyReader(self._files(), e.name, [(p.name, bool(p.count)) for p in e.properties], schema.names, int(self.options.get("range_bytes", ranges.RANGE)))
+
+
+def _whole(spark: SparkSession, paths: list[str], wanted: str, properties: list[tuple[str, bool]], shape: T.StructType) -> DataFrame:
+    """Files that are one cell each."""
+    names = shape.names
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                content = content.as_py()
-                own = parse_header(content)
-                mine = own.element(wanted).properties
-                if [(p.name, bool(p.count)) for p in mine] != [(p.name, bool(p.count)) for p in properties]:
-                    raise PlyError(f"{name}: its {wanted!r} has other properties than the first file's")
-                row = 0
-                for columns in (_ascii if own.format == "ascii" else _binary)(content, own, wanted):
-                    n = len(columns[0]) if columns else 0
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(row, row + n), pa.int64()), *(_arrow(c, p) for c, p in zip(columns, mine))], names=shape.names)
-                    row += n
+                content, row = content.as_py(), 0
+                header = parse_header(content)
+                own = _own(header, wanted, properties, name)
+                for columns in (_ascii if header.format == "ascii" else _binary)(content, header, wanted):
+                    yield _batch(name, row, columns, own.properties, names)
+                    row += len(columns[0]) if columns else 0
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, shape)
+
+
+def _from_lines(spark: SparkSession, heads: dict[str, tuple[int, Header]], wanted: str, properties: list[tuple[str, bool]], shape: T.StructType) -> DataFrame:
+    """Ascii files, split at lines. heads: by file, its header's lines and the header."""
+    numbered = texts.lines(spark, list(heads), blank=False)
+    totals = {r["file"]: r["n"] for r in numbered.groupBy("file").agg((F.max("line_no") + 1).alias("n")).collect()}  # a row for each file
+    odd = [f for f, (n, h) in heads.items() if totals.get(f, 0) < n + sum(e.rows for e in h.elements)]  # rows of several lines
+    places, kinds = [], {}
+    for f, (n, h) in heads.items():
+        own = _own(h, wanted, properties, f)
+        for e in h.elements:
+            if e is own and f not in odd:
+                places.append((f, n, n + e.rows))
+            n += e.rows
+        kinds[f] = own.properties
+    names = shape.names
+
+    def run(batches):
+        for b in batches:
+            files = b.column(0).to_pylist()
+            cuts = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1]), len(files)] if files else [0]
+            for a, z in zip(cuts, cuts[1:]):
+                rows, mine = b.column(2).slice(a, z - a).cast(pa.binary()).to_pylist(), kinds[files[a]]
+                if not any(p.count for p in mine):
+                    table = np.array([r.split()[: len(mine)] for r in rows], dtype="S")
+                    columns = [_number(table[:, k], p.kind) for k, p in enumerate(mine)]
+                else:
+                    columns = [[] for _ in mine]
+                    for r in rows:
+                        words, at = r.split(), 0
+                        for k, p in enumerate(mine):
+                            size = int(words[at]) if p.count else 1
+                            at += bool(p.count)
+                            if at + size > len(words):
+                                raise PlyError(f"{files[a]}: a row ends early")
+                            columns[k].append(_number(np.array(words[at : at + size], dtype="S"), p.kind) if p.count else words[at])
+                            at += size
+                    columns = [c if p.count else _number(np.array(c, dtype="S"), p.kind) for c, p in zip(columns, mine)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *(_arrow(c, p) for c, p in zip(columns, mine))], names=names)
+
+    starts = spark.createDataFrame(places, "file string, first long, end long")
+    own = lookup(numbered, starts, ["file"]).filter("line_no >= first AND line_no < end")
+    out = own.select("file", (F.col("line_no") - F.col("first")).alias("row"), "line").mapInArrow(run, shape)
+    return out.unionByName(_whole(spark, odd, wanted, properties, shape)) if odd else out
+
+
+def _heads(spark: SparkSession, files: list[str]) -> list[tuple[str, int, Header]]:
+    """file, lines of its header that aren't blank, the header: read by tasks, a small row for each file."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for f in b.column(0).to_pylist():
+                with ranges.opened(f) as content:
+                    h = _head(content, f)
+                    content.seek(0)
+                    n = sum(bool(x.strip()) for x in re.split(rb"\r\n|\n|\r", content.read(h.size)))
+                    found.append(pickle.dumps((f, n, h)))
+            yield pa.RecordBatch.from_pydict({"head": pa.array(found, pa.binary())})
 
-    return files.select("path", "content").mapInArrow(run, shape)
+    held = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 1_000))
+    return [pickle.loads(r["head"]) for r in held.mapInArrow(run, "head binary").collect()]
+
+
+def read(spark: SparkSession, path: str, element: str | list[str] = "vertex", range_bytes: int = ranges.RANGE) -> DataFrame:
+    """file, row (from 0) and the properties of an element (or the first of several names that there is)."""
+    files = ranges.listed(spark, path)
+    if not files:
+        raise PlyError(f"no file at {path!r}")
+    names = [element] if isinstance(element, str) else element
+    if not ranges.reachable(files[0][0]):
+        head = spark.read.format("binaryFile").load(files[0][0]).select(F.substring("content", 1, 1 << 20).alias("head")).first()
+        wanted = _named(parse_header(bytes(head["head"])), names)
+        return _whole(spark, [f for f, _ in files], wanted.name, [(p.name, bool(p.count)) for p in wanted.properties], _shape(wanted.properties))
+    heads = {f: (n, h) for f, n, h in _heads(spark, [f for f, _ in files])}
+    wanted = _named(heads[files[0][0]][1], names)
+    properties, shape = [(p.name, bool(p.count)) for p in wanted.properties], _shape(wanted.properties)
+    for f, (_, h) in heads.items():
+        _own(h, wanted.name, properties, f)
+    binary = [(f, size) for f, size in files if heads[f][1].format != "ascii"]
+    ascii_ = {f: heads[f] for f, _ in files if heads[f][1].format == "ascii"}
+    out = []
+    if binary:
+        spark.dataSource.register(PlySource)
+        out.append(spark.read.format("ply").schema(shape).options(files=json.dumps(binary), element=wanted.name, range_bytes=str(range_bytes)).load())
+    if ascii_:
+        out.append(_from_lines(spark, ascii_, wanted.name, properties, shape))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
@@ -288,52 +547,41 @@ def _fitted(df: DataFrame, doubles: bool) -> list[Property]:
     return out
 
 
-def _body(df: DataFrame, properties: list[Property], form: str) -> DataFrame:
+def _encoder(properties: list[Property], form: str):
     order = FORMATS[form]
 
-    def run(batches):
-        for b in batches:
-            columns = [b.column(p.name).to_pylist() for p in properties]
-            if any(p.count and len(v) > 255 for p, c in zip(properties, columns) for v in c):
-                raise PlyError("a list of more than 255 values")
-            if not order:
-                text = lambda x, p: repr(float(np.dtype(p.kind).type(x))) if p.kind[0] == "f" else str(x)
-                lines = [" ".join(f"{len(v)} " + " ".join(text(x, p) for x in v) if p.count else text(v, p) for v, p in zip(row, properties)) for row in zip(*columns)]
-                body = "".join(x + "\n" for x in lines).encode("ascii")
-            elif not any(p.count for p in properties):
-                table = np.empty(b.num_rows, [(p.name, order + p.kind) for p in properties])
-                for p, c in zip(properties, columns):
-                    table[p.name] = c
-                body = table.tobytes()
-            else:
-                body = b"".join((bytes([len(v)]) if p.count else b"") + np.array(v, order + p.kind).tobytes() for row in zip(*columns) for v, p in zip(row, properties))
-            yield pa.RecordBatch.from_pydict({"body": pa.array([body], pa.binary())})
-
-    return df.mapInArrow(run, "body binary")
+    def encode(b) -> bytes:
+        columns = [b.column(p.name).to_pylist() for p in properties]
+        if any(p.count and len(v) > 255 for p, c in zip(properties, columns) for v in c):
+            raise PlyError("a list of more than 255 values")
+        if not order:
+            text = lambda x, p: repr(float(np.dtype(p.kind).type(x))) if p.kind[0] == "f" else str(x)
+            lines = [" ".join(f"{len(v)} " + " ".join(text(x, p) for x in v) if p.count else text(v, p) for v, p in zip(row, properties)) for row in zip(*columns)]
+            return "".join(x + "\n" for x in lines).encode("ascii")
+        if not any(p.count for p in properties):
+            table = np.empty(b.num_rows, [(p.name, order + p.kind) for p in properties])
+            for p, c in zip(properties, columns):
+                table[p.name] = c
+            return table.tobytes()
+        return b"".join((bytes([len(v)]) if p.count else b"") + np.array(v, order + p.kind).tobytes() for row in zip(*columns) for v, p in zip(row, properties))
+
+    return encode
 
 
 def write(elements: dict[str, DataFrame], path: str, form: str = "binary_big_endian", doubles: bool = False, comments: list[str] = (), order: dict[str, str] | None = None) -> None:
     """One PLY file of the elements' rows (sorted by their column in `order`, which isn't written). Doubles
-    are written as floats unless `doubles`. The driver passes a partition's encoded rows on at a time."""
+    are written as floats unless `doubles`. Tasks encode the rows and write them at their places in the file."""
     if form not in FORMATS:
         raise PlyError(f"unknown format {form!r}")
     order = order or {}
     spark = next(iter(elements.values())).sparkSession
-    lines, bodies = ["ply", f"format {form} 1.0", *(f"comment {c}" for c in comments)], []
+    lines, parts = ["ply", f"format {form} 1.0", *(f"comment {c}" for c in comments)], []
     for name, df in elements.items():
         key = order.get(name)
         rows = df.drop(key) if key else df
         properties = _fitted(rows, doubles)
-        lines.append(f"element {name} {df.count()}")
+        body = sink.bodies((df.orderBy(key) if key else df).select(*[F.col(f"`{p.name}`") for p in properties]), _encoder(properties, form))
+        lines.append(f"element {name} {sink.rows_of(body)}")
         lines += [f"property list uchar {_NAMES[p.kind]} {p.name}" if p.count else f"property {_NAMES[p.kind]} {p.name}" for p in properties]
-        bodies.append(_body((df.orderBy(key) if key else df).select(*[p.name for p in properties]), properties, form))
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(bytearray(("\n".join([*lines, "end_header"]) + "\n").encode("ascii")))
-        for body in bodies:
-            for row in body.toLocalIterator():
-                out.write(row["body"])
-    finally:
-        out.close()
+        parts.append(body)
+    sink.write_file(spark, path, ("\n".join([*lines, "end_header"]) + "\n").encode("ascii"), parts)

@@ -4,17 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rigid import NAMES
 from ..functions.text import model_name
+from ..operators.fills import last_known
+from ..operators.joins import lookup
+from ..operators.tables import stored
+from . import ranges, sink
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line; each file is one row of Spark's reader, so lines keep their numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+def lines(spark: SparkSession, path: str | list[str], blank: bool = True) -> DataFrame:
+    """file, line_no (from 0), line; blank: lines of blanks are counted too.
+
+    Files are read by byte ranges, many tasks to a long one. A task numbers the lines of each range it reads, and the ranges'
+    counts, a row each, are summed up to give where a range's numbers begin.
+    """
+    raw = spark.read.text(path).select(F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    if not blank:
+        raw = raw.filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+
+    def run(batches):
+        at, n = None, 0
+        for b in batches:
+            ends = np.array([b.num_rows]) if b.num_rows else np.empty(0, np.int64)
+            for k in (0, 1):
+                ends = np.union1d(ends, pc.run_end_encode(b.column(k)).run_ends.to_numpy())
+            number, first = np.empty(b.num_rows, np.int64), 0
+            for end in ends.tolist():
+                now = b.column(0)[first].as_py(), b.column(1)[first].as_py()
+                if now != at:
+                    at, n = now, 0
+                number[first:end] = np.arange(n, n + end - first)
+                first, n = end, n + end - first
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(number), b.column(2)], names=["file", "start", "own", "line"])
+
+    own = raw.mapInArrow(run, "file string, start long, own long, line string")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("file", "start").agg((F.max("own") + 1).alias("n"))
+    first = stored(counts.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    return lookup(own, first, ["file", "start"]).select("file", (F.col("first") + F.col("own")).alias("line_no"), "line")
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
@@ -28,19 +59,19 @@ def read_occlusion(spark: SparkSession, path: str) -> DataFrame:
     """scene_num, model, occlusion; the first line is a header."""
     w = F.split(F.trim("line"), r"\s+")
     rows = lines(spark, path).filter((F.col("line_no") > 0) & (F.trim("line") != ""))
-    return rows.select(w[0].alias("scene_num"), w[1].alias("model"), w[2].cast("double").alias("occlusion"))
+    return rows.select(w[0].alias("scene_num"), w[1].alias("model"), w[2].try_cast("double").alias("occlusion"))
 
 
 def parse_log(rows: DataFrame) -> DataFrame:
     """file, line_no, scene_num, model, trans, rot of each line with a distance; rows: file, line_no, line.
 
-    The model is the one that the last line before it names. Each log is one window.
+    The model is the one that the last line before it names; long logs are filled in spans of lines.
     """
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     token = F.element_at(F.split(F.trim("line"), r"\s+"), 5)
     named = F.when(F.col("line").contains("Transformations for"), model_name(F.substring_index(F.substring_index(token, "/", -1), "_", 1)))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("model", F.last(named, ignorenulls=True).over(w)).filter(F.col("line").contains("Distance"))
+    told = F.col("line").contains("Transformations for") | F.col("line").contains("Distance")
+    out = last_known(rows.filter(told), named, "file", "line_no", "model").filter(F.col("line").contains("Distance"))
     words = F.split(F.trim("line"), r"\s+")
     number = lambda k: F.regexp_replace(F.try_element_at(words, F.lit(k)), "[ ,]", "").try_cast("double")
     scene = F.regexp_extract(name, r"^..([^_]*)_", 1)
@@ -52,18 +83,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_floats(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """file, row, c0 ... of raw little-endian 32-bit floats, `width` to a row."""
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                table = np.frombuffer(content.as_py(), "<f4")
-                table = table[: len(table) // width * width].reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(table)), pa.array(range(len(table)), pa.int64()), *(pa.array(table[:, k]) for k in range(width))], names=names)
-
-    names = ["file", "row", *(f"c{k}" for k in range(width))]
-    shape = "file string, row long, " + ", ".join(f"c{k} float" for k in range(width))
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, shape)
+    """file, row, c0 ... of raw little-endian 32-bit floats, `width` to a row; what is left of a file is no row.
+    Long files are read by ranges of rows, many tasks to a file."""
+    return ranges.rows(spark, path, np.dtype([(f"c{k}", "<f4") for k in range(width)]))
 
 
 def write_bytes(spark: SparkSession, path: str, chunks) -> None:
@@ -78,15 +100,12 @@ def write_bytes(spark: SparkSession, path: str, chunks) -> None:
 
 
 def write_floats(df: DataFrame, columns: list[str], order: str, path: str) -> None:
-    """The columns of each row, in order, as raw little-endian 32-bit floats in one file."""
+    """The columns of each row, in order, as raw little-endian 32-bit floats in one file that all tasks write."""
 
-    def run(batches):
-        for b in batches:
-            table = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in columns], axis=1)
-            yield pa.RecordBatch.from_pydict({"body": pa.array([table.tobytes()], pa.binary())})
+    def encode(b):
+        return np.stack([b.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in columns], axis=1).tobytes()
 
-    body = df.orderBy(order).select(*columns).mapInArrow(run, "body binary")
-    write_bytes(df.sparkSession, path, (r["body"] for r in body.toLocalIterator()))
+    sink.write_file(df.sparkSession, path, b"", [sink.bodies(df.orderBy(order).select(*columns), encode)])
 
 
 def write_shift(shift: DataFrame, path: str) -> None:

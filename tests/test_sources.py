@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from quillstone import cli
 from quillstone.functions import hashing, rigid
 from quillstone.functions.rigid import NAMES
-from quillstone.operators import clouds, evaluation, meshes
+from quillstone.operators import clouds, evaluation, fills, meshes
 from quillstone.plans import catalogue, files, registration
-from quillstone.sources import ply, texts
+from quillstone.sources import ply, ranges, texts
 
 CUBE = """ply
 format ascii 1.0
@@ -78,6 +78,52 @@ def test_texts(spark, tmp_path):
     assert [tuple(r)[2:] for r in texts.read_floats(spark, str(tmp_path / "f.bin"), 3).collect()] == [(1, 2, 3), (4, 5, 6)]
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges and split lines give the same numbers as reading from the beginning."""
+    rows = [(k, k / 3.0, k % 7) for k in range(5000)]
+    df = spark.createDataFrame(rows, "n long, d double, i int").repartition(7)
+    for form in ply.FORMATS:
+        path = str(tmp_path / f"{form}.ply")
+        ply.write({"vertex": df}, path, form, doubles=True, order={"vertex": "n"})
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        try:
+            back = ply.read(spark, path, range_bytes=9000)
+            assert back.rdd.getNumPartitions() > 3
+            assert sorted((r["row"], r["d"], r["i"]) for r in back.collect()) == rows
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        again = spark.read.format("ply").option("range_bytes", "9000").load(path) if form != "ascii" else back
+        assert again.count() == 5000
+    assert texts.lines(spark, str(tmp_path / "ascii.ply")).filter("line_no = 0").first()["line"] == "ply"
+
+
+def test_lists_are_streamed(spark, tmp_path, monkeypatch):
+    """Lists of changing length, elements before and after them, and files that end early."""
+    faces = spark.createDataFrame([(k, list(range(k, k + (3 if k < 40 else 3 + k % 3))), k) for k in range(90)], "n long, vertex_indices array<int>, c int")
+    points = spark.createDataFrame([(k, k / 4.0) for k in range(50)], "n long, x double")
+    path = str(tmp_path / "m.ply")
+    for form in ("binary_little_endian", "binary_big_endian", "ascii"):
+        ply.write({"face": faces, "vertex": points}, path, form, order={"face": "n", "vertex": "n"})
+        assert [tuple(r) for r in ply.read(spark, path, "face", range_bytes=100).orderBy("row").select("row", "vertex_indices", "c").collect()] == [tuple(r) for r in faces.orderBy("n").collect()]
+        assert [(r["row"], r["x"]) for r in ply.read(spark, path, range_bytes=100).orderBy("row").collect()] == [(k, k / 4.0) for k in range(50)]
+    ply.write({"face": faces}, path, "binary_little_endian", order={"face": "n"})
+    whole = open(path, "rb").read()
+    (tmp_path / "short.ply").write_bytes(whole[:-3])
+    with pytest.raises(Exception, match="ends early"):
+        ply.read(spark, str(tmp_path / "short.ply"), "face").count()
+    (tmp_path / "wrapped.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nend_header\n1 2 3 4\n")
+    assert [(r["x"], r["y"]) for r in ply.read(spark, str(tmp_path / "wrapped.ply")).collect()] == [(1, 2), (3, 4)]
+    monkeypatch.setattr(ranges, "reachable", lambda path: False)  # a store that only Spark reads
+    assert ply.read(spark, str(tmp_path / "wrapped.ply")).count() == 2
+
+
+def test_values_are_carried_over_spans(spark):
+    rows = [("f", k, str(k) if k in (3, 4, 57) else None) for k in range(100)] + [("g", 5, None)]
+    df = spark.createDataFrame(rows, "file string, n long, v string")
+    got = {(r["file"], r["n"]): r["last"] for r in fills.last_known(df, F.col("v"), "file", "n", "last", span=10).collect()}
+    assert got == {(f, n): (None if f == "g" or n < 3 else "3" if n == 3 else "4" if n < 57 else "57") for f, n, _ in rows}
+
+
 def test_empty_and_single_points(spark):
     shape = "cloud_id int, pt_id long, " + ", ".join(f"{c} double" for c in clouds.FIELDS)
     none = spark.createDataFrame([], shape)
