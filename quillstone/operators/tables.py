@@ -30,6 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str) -> str:
+    """path, which is deleted with the tables."""
+    _stored.append((spark, path))
+    return path
+
+
 def clear() -> None:
     while _stored:
         spark, path = _stored.pop()

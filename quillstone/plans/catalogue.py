@@ -16,8 +16,8 @@ from ..functions import features, hashing, rigid
 from ..functions import vectors as V
 from ..functions.text import model_name
 from ..operators import clouds, evaluation, meshes, pairs, poses, synthesis, voting
-from ..operators.tables import shared_folder, stored
-from ..sources import ply, texts
+from ..operators.tables import kept, shared_folder, stored
+from ..sources import ply, sink, texts
 from . import files, registration
 
 TAU, THRESHOLD = 0.05, 0.4
@@ -651,14 +651,15 @@ def vertex_normals(spark, sf_dir):
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A path in the folder that executors share."""
-    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    """A path in the folder that executors share; it is deleted with the stored tables."""
+    head, dot, kind = name.partition(".")
+    return kept(spark, f"{shared_folder(spark)}/{head}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}{dot}{kind}")
 
 
 @query(f"WITH {CLOUD} SELECT row_number() OVER (ORDER BY pt_id) - 1 AS row, {', '.join(clouds.FIELDS)}, cloud_id AS label FROM cloud")
 def ply_roundtrip(spark, sf_dir):
     """The clouds, written to a file in the folder that executors share and read again."""
-    path = _place(spark, "clouds") + ".ply"
+    path = _place(spark, "clouds.ply")
     rows = cloud(spark, sf_dir).select("pt_id", *clouds.FIELDS, F.col("cloud_id").alias("label"))
     ply.write({"vertex": rows}, path, "binary_little_endian", doubles=True, order={"vertex": "pt_id"})
     return ply.read(spark, path).drop("file")
@@ -667,7 +668,7 @@ def ply_roundtrip(spark, sf_dir):
 @query(f"WITH {CLOUD}, g AS (SELECT CAST(floor(x / 0.2) AS BIGINT) AS c0, CAST(floor(y / 0.2) AS BIGINT) AS c1, CAST(floor(z / 0.2) AS BIGINT) AS c2, " + ", ".join(f"avg({c}) AS {c}" for c in clouds.FIELDS) + ", floor(avg(cloud_id)) AS label FROM cloud GROUP BY ALL) SELECT row_number() OVER (ORDER BY c2, c1, c0) - 1 AS row, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in clouds.FIELDS) + ", CAST(label AS BIGINT) AS label FROM g")
 def voxel_file(spark, sf_dir):
     """A file's points, thinned by a voxel grid into another file, and that one read."""
-    a, b = _place(spark, "points") + ".ply", _place(spark, "thinned") + ".ply"
+    a, b = _place(spark, "points.ply"), _place(spark, "thinned.ply")
     rows = cloud(spark, sf_dir).select("pt_id", *clouds.FIELDS, F.col("cloud_id").alias("label"))
     ply.write({"vertex": rows}, a, "binary_little_endian", doubles=True, order={"vertex": "pt_id"})
     files.thin_file(spark, a, b, 0.2)
@@ -678,7 +679,7 @@ def voxel_file(spark, sf_dir):
 @query(f"WITH {CLOUD} SELECT row_number() OVER (ORDER BY pt_id) - 1 AS row, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS c{k}" for k, c in enumerate(clouds.FIELDS)) + " FROM cloud")
 def raw_floats(spark, sf_dir):
     """Points and normals as raw 32-bit floats in a file, and read again."""
-    path = _place(spark, "floats") + ".bin"
+    path = _place(spark, "floats.bin")
     texts.write_floats(cloud(spark, sf_dir), list(clouds.FIELDS), "pt_id", path)
     out = texts.read_floats(spark, path, 6).drop("file")
     return out.withColumns({c: r6(F.col(c).cast("double")) for c in out.columns if c != "row"})
@@ -699,7 +700,7 @@ def matrix_files(spark, sf_dir):
 
 @query(f"WITH {CLOUD}, low AS (SELECT cloud_id, min(x) AS x, min(y) AS y, min(z) AS z FROM cloud GROUP BY ALL) SELECT " + ", ".join(f"{s6(f'greatest(0.0, max(abs({a}) + 1))')} AS t{a}" for a in "xyz") + " FROM low")
 def trans_adj_sidecar(spark, sf_dir):
-    path = _place(spark, "cloud") + ".ply.trans_adj"
+    path = _place(spark, "cloud.ply.trans_adj")
     texts.write_shift(clouds.shift_to_positive(cloud(spark, sf_dir)), path)
     v = F.split(F.trim("value"), " ")
     return rounded(spark.read.text(path).select(*[v[k].cast("double").alias(n) for k, n in enumerate(("tx", "ty", "tz"))]), "tx", "ty", "tz")
@@ -725,27 +726,52 @@ def pose_cell_truncated(spark, sf_dir):
     return poses.cells(apart_poses(spark, sf_dir).drop(*poses.CELL), F.col("d_dist"), truncate=True).select("vote_code", *poses.CELL)
 
 
-# The scenes of these texts are the events' numbers, their models the four of the evaluation.
+# A log for each of fifty scenes; their models are the four of the evaluation. A pair's first distance counts; every
+# fifth event has none.
 _MODEL = "CASE event_id % 4 WHEN 0 THEN 'chef' WHEN 1 THEN 'trex' WHEN 2 THEN 'para' ELSE 'chicken' END"
 _LOGGED = "CASE event_id % 4 WHEN 0 THEN 'cheff' WHEN 1 THEN 'T-rex' WHEN 2 THEN 'parasaurolophus' ELSE 'chicken' END"
-_DIAM = "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {d!r}" for k, d in enumerate((136.59418, 98.828925, 131.250275))) + " ELSE 86.28052 END"
-RUN = f"run AS (SELECT CAST(event_id AS VARCHAR) AS scene_num, {_MODEL} AS model, value AS occlusion, event_id % 97 + 0.5 AS trans, (event_id % 13) / 4.0 AS rot, {_DIAM} AS diam FROM events WHERE event_id % 5 <> 0), flags AS (SELECT *, trans / diam AS norm_dist, CASE WHEN rot <= pi() THEN rot ELSE 2 * pi() - rot END AS rot_folded, trans <= 0.3 * diam AND rot <= 0.209440 AS match FROM run)"
+_DIAM = "CASE model " + " ".join(f"WHEN '{m}' THEN {d!r}" for m, d in evaluation.MODEL_DIAMETERS.items()) + " END"
+RUN = f"""pair AS (SELECT CAST(user_id % 50 AS VARCHAR) AS scene_num, {_MODEL} AS model, * EXCLUDE (user_id) FROM events),
+first AS (SELECT scene_num, model, event_id % 97 + 0.5 AS trans, (event_id % 13) / 4.0 AS rot FROM pair WHERE event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY scene_num, model ORDER BY event_id) = 1),
+run AS (SELECT scene_num, model, value AS occlusion, trans, rot, {_DIAM} AS diam FROM pair JOIN first USING (scene_num, model)),
+flags AS (SELECT *, trans / diam AS norm_dist, CASE WHEN rot <= pi() THEN rot ELSE 2 * pi() - rot END AS rot_folded, trans <= 0.3 * diam AND rot <= 0.209440 AS match FROM run)"""
 
 
-def _evaluated(spark, sf_dir) -> DataFrame:
-    """An occlusion table and logs, written as texts and evaluated; every fifth pair has no distance in the logs."""
-    place = _place(spark, "run")
+def _run_files(spark, sf_dir) -> tuple[str, str]:
+    """An occlusion table of a line for each event, which all tasks write, and a folder of logs."""
     e = table(spark, sf_dir, "events")
-    rows = e.selectExpr(f"concat_ws(' ', event_id, {_MODEL}, value) AS value")
-    spark.range(1).selectExpr("'scene model occlusion' AS value").unionByName(rows).coalesce(1).write.text(f"{place}-occlusion")
-    told = e.filter("event_id % 5 <> 0").selectExpr(
-        "concat('rs', event_id, '_log') AS name",
-        f"concat('[d t]: Transformations for a/b/', {_LOGGED}, '_high.ply in s.ply:\n[d t]: Distance (trans, rot): ', event_id % 97, '.5, ', (event_id % 13) / 4.0, '\n') AS body",
+    occlusion, logs = _place(spark, "occlusion.txt"), _place(spark, "logs")
+    rows = e.selectExpr("event_id", f"concat_ws(' ', user_id % 50, {_MODEL}, value) AS line")
+    body = sink.bodies(rows.orderBy("event_id").select("line"), lambda b: "".join(x + "\n" for x in b.column(0).to_pylist()).encode())
+    sink.write_file(spark, occlusion, b"scene model occlusion\n", [body])
+    told = e.selectExpr(
+        "concat('rs', user_id % 50, '_log') AS name",
+        "event_id",
+        f"explode(array(named_struct('k', 0, 'line', concat('[d t]: Transformations for a/b/', {_LOGGED}, '_high.ply in s.ply:')), named_struct('k', 1, 'line', if(event_id % 5 = 0, 'no pose', concat('[d t]: Distance (trans, rot): ', event_id % 97, '.5, ', (event_id % 13) / 4.0))))) AS told",
     )
-    # logs are named files: they are rows here, as they would be when read
-    held = told.select(F.col("name").alias("file"), F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    joined = evaluation.joined(texts.read_occlusion(spark, f"{place}-occlusion"), texts.parse_log(held)).filter("trans IS NOT NULL")
-    return evaluation.running_rate(evaluation.flagged(joined, evaluation.diameters(spark)), ["occlusion", "scene_num", "model"])
+    sink.write_named_lines(told.selectExpr("name", "2 * event_id + told.k AS line_no", "told.line AS line"), logs)
+    return occlusion, logs
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, 'line ' || CAST(event_id AS VARCHAR) AS line FROM events")
+def split_lines(spark, sf_dir):
+    """A line for each event in one file that all tasks write, and its lines read by ranges, with their numbers."""
+    path = _place(spark, "lines.txt")
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "concat('line ', event_id) AS line").orderBy("event_id")
+    sink.write_file(spark, path, b"", [sink.bodies(rows.select("line"), lambda b: "".join(x + "\n" for x in b.column(0).to_pylist()).encode())])
+    return texts.lines(spark, path).drop("file")
+
+
+@query(f"WITH l AS (SELECT event_id AS line_no, event_id % 5 AS k, event_id % 4 AS m, event_type, event_id % 7 + 0.5 AS trans, event_id % 11 + 0.25 AS rot FROM events), n AS (SELECT *, last_value(CASE WHEN k = 0 THEN CASE m WHEN 0 THEN 'chef' WHEN 1 THEN 'trex' ELSE string_split(event_type, '_')[1] END END IGNORE NULLS) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS model FROM l) SELECT line_no, model, CAST(trans AS DOUBLE) AS trans, CAST(rot AS DOUBLE) AS rot FROM n WHERE k NOT IN (0, 3)")
+def log_of_all_events(spark, sf_dir):
+    """One log of all events: models are carried over its spans."""
+    line = F.expr(_LINE.replace("VARCHAR", "STRING"))
+    rows = table(spark, sf_dir, "events").select(F.lit("rs1_run.txt").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return texts.parse_log(rows).drop("file", "scene_num")
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    return files.evaluated(spark, *_run_files(spark, sf_dir))
 
 
 @query(f"WITH {RUN} SELECT scene_num, model, occlusion, trans, rot, {s6('norm_dist')} AS norm_dist, match, round(avg(CAST(match AS INT)) OVER (ORDER BY occlusion, scene_num, model ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS rate FROM flags")
