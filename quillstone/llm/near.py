@@ -275,6 +275,8 @@ def _compared_in_blocks(rows: DataFrame, texts: DataFrame, least: float) -> Data
                 if left:
                     held.append((node, cls, own[n], s))
                     continue
+                if not held:  # the hash left this block without a member
+                    continue
                 block = block or _Block(held)
                 found = block.linked(band, node, roots.get(cls, cls), other, own[n], s, least)
                 out += [(node, x) for x in found]
