@@ -2,7 +2,9 @@
 
 Patterns give the base spans. The tokens of a document that hold a digit or an @ then form a graph: tokens
 side by side share a chain edge, and tokens that repeat each other (by their letters and digits, or by
-the last digits of a number) share skip edges, laid from one occurrence to the next, however far apart.
+the last digits of a number) share skip edges, however far apart: each free mention with a mention of each kind that a base span holds,
+or, where there is none, with a node that stands for what the mentions have in common. So any mention is two edges
+from any other, and there are as many edges as mentions.
 Loopy belief propagation over kinds and "none", with the base spans' tokens held fixed, carries the kind of
 an entity to its other mentions; tokens whose kind it raises over one half become spans too. Unary weights
 (word shapes and neighbours) and the edges' weights are learned from the base spans of a bounded sample.
@@ -25,8 +27,13 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Documents, in expectation, that the field's weights are learned from.
 MAX_DOCS = 4_000
-#: Messages are passed on until none changes by more.
+#: Messages are passed on until an undamped step would change none by more.
 SETTLED = 1e-4
+#: What a label that can't be weighs: no number of messages outweighs it.
+NEVER = -1e9
+#: Messages that go round in cycles are damped twice as much after so many rounds each time; at the least step they are taken
+#: as they are.
+PATIENCE, LEAST_STEP = 200, 0.002
 
 _domain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,14 +139,24 @@ class Graph:
             self.label.append(held)
         n = len(self.at)
         self.chain = [k for k in range(n - 1) if self.at[k + 1][0] - self.at[k][1] <= 3 and text[self.at[k][1] : self.at[k + 1][0]].isspace()]
-        seen: dict[str, int] = {}
-        self.skip = []
+        forms: dict[str, list[int]] = {}
         for k, c in enumerate(self.core):
             d = _digits(c)
-            for form in {"=" + c.lower(), *(["#" + d[-7:]] if len(d) >= 7 and "@" not in c else [])}:
-                if form in seen:
-                    self.skip.append((seen[form], k))
-                seen[form] = k
+            form = "#" + d[-7:] if len(d) >= 7 and "@" not in c else "=" + c.lower()
+            forms.setdefault(form, []).append(k)
+        self.again, self.skip, self.nodes = [], [], n  # pairs of mentions, one after the other; edges; tokens and common nodes
+        for ks in forms.values():
+            self.again += zip(ks, ks[1:])
+            held: dict[int, int] = {}
+            for k in ks:
+                if self.label[k] >= 0:
+                    held.setdefault(self.label[k], k)
+            free = [k for k in ks if self.label[k] < 0]
+            if held:
+                self.skip += [(h, k) for k in free for h in held.values()]
+            elif len(free) > 1:
+                self.skip += [(self.nodes, k) for k in free]
+                self.nodes += 1
 
     def features(self, k: int, chain: set[int]) -> tuple[str, ...]:
         c = self.core[k]
@@ -153,6 +170,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _summed(x: np.ndarray, axis: int) -> np.ndarray:
+    """Logarithms of sums of exponentials."""
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+
+
 class Field:
     """The weights: of features by label, of a chain edge's labels, and of a skip edge's agreement."""
 
@@ -188,13 +211,14 @@ class Field:
         unary = np.array([self.weights[[self.index.get(f, -1) for f in g.features(k, chain)]].sum(axis=0) for k in range(len(g.at))])
         for k, held in enumerate(g.label):
             if held >= 0:
-                unary[k] = -30.0
+                unary[k] = NEVER
                 unary[k, held] = 0
             else:
-                unary[k, ~np.array(_allowed(g.core[k]))] = -30.0
+                unary[k, ~np.array(_allowed(g.core[k]))] = NEVER
         edges = [(k, k + 1, self.chain) for k in g.chain] + [(a, b, self.skip) for a, b in g.skip]
         if not edges:
             return _softmax(unary)
+        unary = np.concatenate([unary, np.zeros((g.nodes - len(unary), NONE + 1))])
         a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         psi = np.array([e[2] for e in edges])
         ahead, back = np.zeros((len(edges), NONE + 1)), np.zeros((len(edges), NONE + 1))
@@ -203,17 +227,17 @@ class Field:
             belief = unary.copy()
             np.add.at(belief, b, ahead)
             np.add.at(belief, a, back)
-            new = np.log(np.exp((belief[a] - back)[:, :, None] + psi - 40).sum(axis=1) + 1e-300)
-            old = np.log(np.exp((belief[b] - ahead)[:, None, :] + psi - 40).sum(axis=2) + 1e-300)
+            new, old = _summed((belief[a] - back)[:, :, None] + psi, 1), _summed((belief[b] - ahead)[:, None, :] + psi, 2)
             new, old = new - new.max(axis=1, keepdims=True) - ahead, old - old.max(axis=1, keepdims=True) - back
-            change = step * max(np.abs(new).max(), np.abs(old).max())
+            change = max(np.abs(new).max(), np.abs(old).max())
             ahead, back, rounds = ahead + step * new, back + step * old, rounds + 1
-            if rounds % 500 == 0:  # messages that go round in a cycle are damped until they settle
-                step /= 2
+            if rounds % PATIENCE == 0:
+                if (step := step / 2) < LEAST_STEP:
+                    break
         belief = unary
         np.add.at(belief, b, ahead)
         np.add.at(belief, a, back)
-        return _softmax(belief)
+        return _softmax(belief[: len(g.at)])
 
     def spans(self, text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Base spans and those that the field adds, by start, then kind."""
@@ -262,7 +286,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
                     rows["n", g.features(k, chain), lab[k]] += 1
                 for k in g.chain:
                     rows["c", (), lab[k] * 10 + lab[k + 1]] += 1
-                for a, b2 in g.skip:
+                for a, b2 in g.again:
                     rows["s", (), int(lab[a] == lab[b2])] += 1
         yield pa.RecordBatch.from_pydict({"what": pa.array([k[0] for k in rows], pa.string()), "features": pa.array([list(k[1]) for k in rows], pa.list_(pa.string())), "label": pa.array([k[2] for k in rows], pa.int32()), "n": pa.array(list(rows.values()), pa.int64())})
 
