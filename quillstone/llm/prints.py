@@ -4,8 +4,9 @@ A text's prefix arrays hold the polynomial hash of each of its beginnings, modul
 bases. Two lookups give the hash of any span, so equal spans are told in constant time, and the longest
 common extension of two places by binary search. The fingerprint is the SIZE smallest of the mixed hashes
 of all spans of one width; the likeness of two fingerprints estimates the Jaccard likeness of the texts'
-sets of spans, and is exact for short ones. It also holds those of each narrower width, as texts of different
-lengths are compared at the width of the shorter one.
+sets of spans, and is exact for short ones. It also holds those of the narrower width, as texts of different
+lengths are compared at the width of the shorter one. Spans of that width also reach over a text's ends, where marks
+stand for what isn't there: so the shortest texts have spans, too, and their order and length tell.
 
 A document's edited text needs the next document in the order of doc_id. Documents are dealt once, by
 ranges of doc_id with counted bounds, and sorted there; the first of a range also goes to the range before.
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from .shared import documents, spread
 
 #: Widths of spans, and the code points from which each is a text's own.
-WIDTHS = {24: 96, 6: 24, 1: 0}
+WIDTHS = {24: 96, 6: 0}
+NARROW = 6
+#: What stands before and behind a text: no code points.
+START, END = 0x110000, 0x110001
 #: Smallest hashes of a width that a fingerprint holds, and bits of each: texts of ten million code points
 #: have an equal hash by chance with probability 2e-6.
 SIZE, BITS = 64, 48
@@ -134,6 +138,25 @@ def mixed(p: Prefixes, a: int, b: int, width: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
 
+_first_powers = tuple([pow(base, k, PRIME) for k in range(NARROW)] for base in BASES)
+
+
+def edges(codes: np.ndarray) -> np.ndarray:
+    """Mixed hashes of the spans of NARROW that reach over a text's ends; of a text shorter than that, all that it has."""
+    k = NARROW - 1
+    if len(codes) < NARROW:
+        parts = [[START] * k + codes.tolist() + [END] * k]
+    else:
+        parts = [[START] * k + codes[:k].tolist(), codes[-k:].tolist() + [END] * k]
+    out = []
+    for x in parts:
+        x = [c + 1 for c in x]
+        for a in range(len(x) - k):
+            one, two = (sum(c * p for c, p in zip(x[a : a + NARROW], powers)) % PRIME for powers in _first_powers)
+            out.append(one << 31 | two)
+    return _mix(np.array(out, np.uint64))
+
+
 class Print:
     """A text's prefix arrays, mixed span hashes and fingerprint."""
 
@@ -142,14 +165,12 @@ class Print:
         self.n, self.width = len(codes), width_of(len(codes))
         self.prefixes = Prefixes(codes, head.prefixes if head else None, kept)
         self.hashes, self.least = {}, {}
-        for width in (w for w in WIDTHS if 1 < w <= self.width):
+        for width in (w for w in WIDTHS if w <= self.width):
             last = max(0, self.n - width + 1)
             same = min(last, max(0, kept - width + 1)) if head and width in head.hashes else 0
             own = mixed(self.prefixes, same, last, width)
             self.hashes[width] = np.concatenate([head.hashes[width][:same], own]) if same else own
-            self.least[width] = _least([self.hashes[width]], size)
-        x = np.array([ord(c) + 1 for c in set(text)], np.uint64)  # a code point's hash, for both bases
-        self.least[1] = _least([_mix((x << np.uint64(31)) | x)], size)
+            self.least[width] = _least([self.hashes[width], *([edges(codes)] if width == NARROW else [])], size)
 
     @property
     def text(self) -> str:
