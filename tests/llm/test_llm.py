@@ -1,8 +1,10 @@
 """Each corpus operator against a brute-force version, on odd rows and on the small tables."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -390,18 +392,47 @@ def test_prints(spark, sf_dir, docs, empty):
     assert prints.compare(docs).count() == docs.count() and prints.compare(empty).count() == 0
 
 
-@pytest.mark.parametrize("n, m, width", [(100, 75, 6), (97, 95, 6), (30, 23, 1), (127, 20, 1), (400, 90, 6)])
-def test_likeness_across_widths(n, m, width):
+def set_likeness(a, b):
+    """Jaccard's of the sets of spans, by plain sets of strings: of 24 code points, or of 6 over marked ends."""
+    width = 24 if min(len(a), len(b)) >= 96 else 6
+    sets = []
+    for t in (a, b):
+        t = t if width == 24 else "<" * 5 + t + ">" * 5
+        sets.append({t[k : k + width] for k in range(len(t) - width + 1)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]), len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("n, m", [(100, 75), (97, 95), (30, 23), (127, 20), (400, 90), (7, 5), (3, 2)])
+def test_likeness_across_widths(n, m):
     r = random.Random(n)
     a = "".join(r.choice("abcdefgh") for _ in range(n))
-    x, y = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (a, a[:m]))
-    want = len(x & y) / len(x | y)
+    want, union = set_likeness(a, a[:m])
     got = [prints.likeness(prints.Print(s).text, prints.Print(t).text) for s, t in ((a, a[:m]), (a[:m], a))]
-    assert got[0] == got[1] == pytest.approx(want, abs=0 if len(x | y) <= prints.SIZE else 0.2) and want > 0
+    assert got[0] == got[1] == pytest.approx(want, abs=0 if union <= prints.SIZE else 0.2) and want > 0
     edited = prints.Print(a[:m], prints.Print(a), m)
     assert edited.text == prints.Print(a[:m]).text
 
 
+def test_short_and_unrelated_texts_are_unlike():
+    of = lambda a, b: prints.likeness(prints.Print(a).text, prints.Print(b).text)
+    for a, b in (("listen to me", "silent to em"), ("ab", "ba"), ("", "a"), ("a", "aa"), ("abcde", "edcba")):
+        assert of(a, b) <= 0.4 and of(a, a) == 1
+    long = "It was a bright cold day in April, and the clocks were striking thirteen; he slipped quickly through the glass doors. " * 4
+    for short in ("eine kleine Nachtmusik", "the other side", "who goes there"):
+        assert of(short, long) < 0.05
+
+
+def test_near_columns_are_the_likeness_of_sets(spark, sf_dir):
+    rows = sorted(rows_of(small(spark, sf_dir)))
+    texts = [t or "" for _, t in rows]
+    gaps = []
+    for k, r in enumerate(sorted(queries.op8_fingerprints(spark, sf_dir).collect(), key=lambda r: r["doc_id"])):
+        t, after = texts[k], texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        gaps += [abs(r["near_edited"] - set_likeness(t, edited)[0]), abs(r["near_next"] - set_likeness(t, after)[0])]
+    assert max(gaps) < 0.3 and np.mean(gaps) < 0.04
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab", max_size=30), st.text("ab", max_size=30), st.integers(0, 29), st.integers(0, 29))
 def test_common_extension(a, b, i, j):
@@ -461,6 +492,50 @@ def test_personal_reaches_all_mentions():
     assert np.isfinite(field.marginals(personal.Graph(clash, personal.base_spans(clash)))).all()
 
 
+@pytest.mark.parametrize("block, shingles", [(1, 4_000_000), (256, 1), (2, 60), (256, 60)])
+def test_blocks_of_any_size(spark, monkeypatch, block, shingles):
+    """Blocks that the hash leaves empty, and blocks of one text."""
+    rows = windows_apart(20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, near.near_duplicates(docs).collect()))
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles)
+    assert sorted(map(tuple, near.near_duplicates(docs).collect())) == want
+
+
+def test_thousands_of_mentions():
+    field = personal.Field({}, {}, (1000, 0))
+    field.weights[:] = 0
+    text = "call +14145557134 now" + " or 14145557134 then" * 5000
+    began = time.time()
+    assert len(field.spans(text, personal.base_spans(text))) == 5001
+    assert time.time() - began < 5
+    field.weights[-1, personal.NONE] = 0.5  # each mention on its own looks like nothing: the one that a pattern holds tells
+    assert len(field.spans(text, personal.base_spans(text))) == 5001
+
+
+@pytest.mark.parametrize("text", ["+14145557134 or 14145557134 and 14145557134", "1.2.3.4 x 14145557134 x 14145557134 x 14145557134 x", "9 8 7 6"])
+def test_marginals_of_trees_are_exact(text):
+    """Beliefs against all labellings, weighed one by one."""
+    r = np.random.default_rng(3)
+    field = personal.Field({}, {(0, 1): 3, (4, 4): 9, (3, 4): 2}, (20, 1))
+    field.weights[-1] = r.normal(size=5) / 5
+    g = personal.Graph(text, personal.base_spans(text))
+    chain = set(g.chain)
+    unary = np.array([field.weights[[field.index.get(f, -1) for f in g.features(k, chain)]].sum(axis=0) for k in range(len(g.at))])
+    for k, held in enumerate(g.label):
+        if held >= 0:
+            unary[k] = personal.NEVER
+            unary[k, held] = 0
+        else:
+            unary[k, ~np.array(personal._allowed(g.core[k]))] = personal.NEVER
+    total = np.zeros((g.nodes, 5))
+    for labels in itertools.product(range(5), repeat=g.nodes):
+        x = sum(unary[k, c] for k, c in enumerate(labels[: len(unary)])) + sum(field.chain[labels[k], labels[k + 1]] for k in g.chain) + sum(field.skip[labels[a], labels[b]] for a, b in g.skip)
+        total[range(g.nodes), labels] += np.exp(x)
+    assert np.allclose(field.marginals(g), (total / total.sum(axis=1, keepdims=True))[: len(unary)], atol=1e-3)
+
+
 # ---- 10
 
 def brute_repeats(rows, length=100):
