@@ -4,36 +4,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.vectors import pack_vote, unpack_vote
 from .joins import SMALL_ROWS, lookup
 from .pairs import KEYS
+from .tables import stored
 
 PAIR = ["scene_id", "model_id"]
 #: Pairs of a bin that one task joins with as many of the other side, about.
 BIN_ROWS = 2_000
 
 
-def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None, exact: bool = False) -> DataFrame:
+def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None, exact: bool = False, more: tuple[list[str], list[str]] = ((), ()), condition: Column | None = None) -> DataFrame:
     """scene_id, model_id, s_r, m_r, alpha: an equi-join on bins (and on model_id, if scene holds it as its
     bins go by the model's distance step). scene: scene_id, r, KEYS, a; model: model_id, r, KEYS, a. exact: also
     turn, the angle that alpha is the bin of, and s_i, m_i, the pairs' other points (column i of either side).
+    condition: what must hold besides, of the columns `more` of the scene and of the model.
 
     Model pairs are broadcast after a count of SMALL_ROWS at most, so that scene pairs stay where they are made.
     More are joined by bin, and bins with many pairs are split on both sides (see _split()).
     """
     on = on or [*(["model_id"] if "model_id" in scene.columns else []), *KEYS]
     i = (lambda p: [F.col("i").alias(f"{p}_i")]) if exact else (lambda p: [])
-    s = scene.select("scene_id", *on, F.col("r").alias("s_r"), F.col("a").alias("s_a"), *i("s"))
-    m = model.select(*dict.fromkeys(["model_id", *on]), F.col("r").alias("m_r"), F.col("a").alias("m_a"), *i("m"))
+    s = scene.select("scene_id", *on, F.col("r").alias("s_r"), F.col("a").alias("s_a"), *more[0], *i("s"))
+    m = model.select(*dict.fromkeys(["model_id", *on]), F.col("r").alias("m_r"), F.col("a").alias("m_a"), *more[1], *i("m"))
     if m.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         met = s.join(F.broadcast(m), on)
     else:
         s, m, parts = _split(s, m, on)
         met = s.join(m, [*on, *parts])
+    return met_candidates(met if condition is None else met.filter(condition), exact)
+
+
+def met_candidates(met: DataFrame, exact: bool = False) -> DataFrame:
+    """As candidates() gives them; met: pairs of scene and model that have met, with s_r, s_a, m_r, m_a (exact: s_i, m_i)."""
     turn = features.wrap(F.col("s_a") - F.col("m_a"))
     more = [turn.alias("turn"), "s_i", "m_i"] if exact else []
     return met.select(*PAIR, "s_r", "m_r", features.alpha_bin(F.col("s_a"), F.col("m_a")).alias("alpha"), *more)
@@ -41,9 +48,10 @@ def candidates(scene: DataFrame, model: DataFrame, on: list[str] | None = None,
 
 def _split(s: DataFrame, m: DataFrame, on: list[str], most: int = BIN_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
     """s and m with columns that cut the rows of large bins into pieces of about `most`; each piece of the one
-    side meets each piece of the other, so that a hot bin spreads over many tasks."""
+    side meets each piece of the other, so that a hot bin spreads over many tasks. The large bins, few of them, are
+    stored: pairs are made once to count them, and once to meet."""
     pieces = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    heavy = pieces(s, "__s").join(pieces(m, "__m"), on).filter("__s > 1 OR __m > 1")
+    heavy = stored(pieces(s, "__s").join(pieces(m, "__m"), on).filter("__s > 1 OR __m > 1"))
     own = lambda ref, name: F.coalesce(F.pmod(F.xxhash64(ref), F.col(name)).cast("int"), F.lit(0))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1))
     s, m = lookup(s, heavy, on, "left"), lookup(m, heavy, on, "left")

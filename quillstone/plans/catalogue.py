@@ -18,7 +18,7 @@ from ..functions.text import model_name
 from ..operators import clouds, evaluation, meshes, pairs, poses, synthesis, voting
 from ..operators.tables import kept, shared_folder, stored
 from ..sources import ply, sink, texts
-from . import files, registration
+from . import files, model_index, registration
 
 TAU, THRESHOLD = 0.05, 0.4
 D = features.D_ANGLE
@@ -352,6 +352,20 @@ def candidate_join(spark, sf_dir):
     return all_candidates(spark, sf_dir).groupBy(*voting.PAIR, "s_r", "m_r", "alpha").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {CLOUD}, {MODELS}, {STEP}, {ppf_sql('mppf', 'model')}, j AS (SELECT p.*, s.d_dist, s.model_id FROM mppf p JOIN step s ON p.cloud_id = s.model_id), {bins_sql('b', 'j')} SELECT model_id, {s6('any_value(s.d_dist)')} AS d_dist, count(*) AS pairs, count(DISTINCT (k1, k2, k3, k4)) AS bins, any_value(p.n) AS points FROM b JOIN step s USING (model_id) JOIN (SELECT cloud_id AS model_id, count(*) AS n FROM cloud GROUP BY ALL) p USING (model_id) GROUP BY model_id")
+def build_index(spark, sf_dir):
+    """All clouds' pairs, stored by bin; what the header says of each."""
+    index = model_index.build(cloud(spark, sf_dir), _place(spark, "index"), TAU)
+    return rounded(index.header.select("model_id", "d_dist", "pairs", "bins", "points"), "d_dist")
+
+
+@query(VOTES + "SELECT scene_id, model_id, s_r, m_r, alpha, count(*) AS n FROM cand GROUP BY ALL")
+def probe_index(spark, sf_dir):
+    """The rows of candidate_join, by a stored index."""
+    index = model_index.build(model(spark, sf_dir), _place(spark, "index"), TAU)
+    return model_index.probe(index, scene_all(spark, sf_dir)).groupBy(*voting.PAIR, "s_r", "m_r", "alpha").agg(F.count("*").alias("n"))
+
+
 @query(VOTES + "SELECT alpha, count(*) AS n FROM cand GROUP BY ALL")
 def alpha_bin(spark, sf_dir):
     return all_votes(spark, sf_dir).groupBy("alpha").agg(F.sum("cnt").alias("n"))

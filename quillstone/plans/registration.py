@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import features
 from ..operators import clouds, pairs, poses, voting
-from ..operators.joins import SMALL_ROWS, lookup
+from ..operators.joins import lookup
 from ..operators.tables import stored
 
 
@@ -59,14 +60,52 @@ def binned_models(models: DataFrame, steps: DataFrame) -> DataFrame:
     return pairs.distance_bin(out, F.col("d_dist")).withColumnRenamed("cloud_id", "model_id")
 
 
+#: What a pair of a scene and one of a model meet by: a class of distance steps, a cell of distances, the angles' bins.
+MEET = ["octave", "c1", "k2", "k3", "k4"]
+
+
+def _octave() -> Column:
+    return F.floor(F.log2("d_dist"))
+
+
+def step_classes(steps: DataFrame) -> list[tuple[int, float]]:
+    """(octave, the least step in it) of the models' distance steps: as many as there are octaves, 2,100 at most."""
+    rows = steps.filter("d_dist > 0").groupBy(_octave().alias("octave")).agg(F.min("d_dist").alias("w")).collect()
+    return sorted((r["octave"], r["w"]) for r in rows)
+
+
+def scene_cells(scenes: DataFrame, classes: list[tuple[int, float]], ref_factor: int = 1) -> DataFrame:
+    """scene_id, r, i, a, f1, MEET of all scene pairs: a row for each class of steps, not for each model. Cells of a class
+    are as wide as its least step."""
+    ppf = pairs.angle_bins(pairs.point_pair_features(scenes, ref_factor)).withColumnRenamed("cloud_id", "scene_id")
+    if not classes:
+        return ppf.limit(0).withColumns({"octave": F.lit(0).cast("long"), "c1": F.lit(0).cast("long")})
+    every = F.array(*[F.struct(F.lit(o).cast("long").alias("octave"), F.lit(w).alias("w")) for o, w in classes])
+    out = ppf.select("*", F.explode(every).alias("__class")).withColumns({"octave": F.col("__class.octave"), "__w": F.col("__class.w")})
+    return out.withColumn("c1", features.bin_of(F.col("f1"), F.col("__w"))).dropna(subset=["c1"]).drop("__class", "__w")
+
+
+def model_cells(models: DataFrame, steps: DataFrame, classes: list[tuple[int, float]]) -> DataFrame:
+    """model_id, r, i, a, KEYS, d_dist, octave, c1 of all model pairs, a row for each cell (three at most, one if all
+    steps of the class are equal) that its bin of distances touches."""
+    widths = F.create_map(*[x for o, w in classes for x in (F.lit(o).cast("long"), F.lit(w))]) if classes else F.create_map(F.lit(0).cast("long"), F.lit(1.0))
+    out = binned_models(models, steps.filter("d_dist > 0")).withColumn("octave", _octave())
+    w, edge = F.try_element_at(widths, F.col("octave")), lambda k, slack: F.floor(k * F.col("d_dist") * slack / w)
+    cells = F.when(F.col("d_dist") == w, F.array("k1")).otherwise(F.sequence(edge(F.col("k1"), 1 - 1e-9), edge(F.col("k1") + 1, 1 + 1e-9)))
+    return out.withColumn("c1", F.explode(cells))
+
+
+def same_bin() -> Column:
+    """Whether the distance of a scene pair lies in the model pair's own bin."""
+    return features.bin_of(F.col("f1"), F.col("d_dist")) == F.col("k1")
+
+
 def found_candidates(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1, exact: bool = False) -> DataFrame:
-    """Candidates of all scenes for all models. A scene's angles are binned once, its distances by each model's step."""
-    scene_ppf = pairs.angle_bins(pairs.point_pair_features(scenes, ref_factor)).withColumnRenamed("cloud_id", "scene_id")
-    few = steps.select("model_id", "d_dist")
-    if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        few = F.broadcast(few)
-    scene_bins = pairs.distance_bin(scene_ppf.crossJoin(few), F.col("d_dist"))  # by definition a row for each model
-    return voting.candidates(scene_bins, binned_models(models, steps), exact=exact)
+    """Candidates of all scenes for all models. A scene pair isn't repeated for each model: it meets model pairs by
+    cells of distances that models of about one step share, and its bin is tested by the model's own step when they meet."""
+    classes = step_classes(steps)
+    s, m = scene_cells(scenes, classes, ref_factor), model_cells(models, steps, classes)
+    return voting.candidates(s, m, MEET, exact, (["f1"], ["d_dist", "k1"]), same_bin())
 
 
 def found_votes(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1) -> DataFrame:
@@ -93,8 +132,12 @@ def register(scenes: DataFrame, models: DataFrame, options: Options = Options(),
     if options.thin_models:
         at = lookup(models, steps.select(F.col("model_id").alias("cloud_id"), "d_dist"), ["cloud_id"])
         models = _thinned(at, F.col("d_dist"))
-    votes = voting.pruned(stored(found_votes(scenes, models, steps, options.ref_factor)), options.vote_threshold)
-    made = vote_poses(votes, scenes, models, steps, weights)
+    return answers(found_votes(scenes, models, steps, options.ref_factor), scenes, models, steps, options, weights)
+
+
+def answers(votes: DataFrame, scenes: DataFrame, models: DataFrame, steps: DataFrame, options: Options = Options(), weights: DataFrame | None = None) -> DataFrame:
+    """scene_id, model_id, score, t11 ... t34: the best pose by all votes of each scene and model."""
+    made = vote_poses(voting.pruned(stored(votes), options.vote_threshold), scenes, models, steps, weights)
     if options.greedy:
         best = poses.cluster_poses(poses.greedy_clusters(made).filter("rank = 1"))
     else:
