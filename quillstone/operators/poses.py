@@ -5,14 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features, rigid
 from ..functions import vectors as V
 from .clouds import FIELDS, NORMAL, POINT
 from .joins import lookup
+from .tables import stored
 from .voting import PAIR
 
 QUATERNION, MOVE, CELL = ["qw", "qx", "qy", "qz"], ["tx", "ty", "tz"], ["cx", "cy", "cz"]
@@ -71,13 +71,29 @@ def cells(poses: DataFrame, d_dist, truncate: bool = False) -> DataFrame:
     return poses.withColumns({c: f(F.col(t)) for c, t in zip(CELL, MOVE)})
 
 
-def neighbour_scores(poses: DataFrame, d_dist, own_cell: bool = False, any_distance: bool = False, own_weight: bool = False) -> DataFrame:
+#: Poses of a cell that one task joins with as many that look into it, about.
+CELL_ROWS = 5_000
+
+
+def _cut(left: DataFrame, right: DataFrame, keys: list[str], ref: tuple[str, str], most: int) -> tuple[DataFrame, DataFrame]:
+    """left and right with __a, __b: cells with many poses are cut into pieces on both sides, and each piece of the one meets
+    each of the other. right's poses are counted by cell; those that look into a cell come from the 27 around it."""
+    sizes = right.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("__n")).filter("__n > 1")
+    heavy = stored(sizes)  # few
+    own = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("__n")).cast("int"), F.lit(0))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
+    a, b = lookup(left, heavy, keys, "left"), lookup(right, heavy, keys, "left")
+    return a.withColumn("__a", own(ref[0])).withColumn("__b", every).drop("__n"), b.withColumn("__b", own(ref[1])).withColumn("__a", every).drop("__n")
+
+
+def neighbour_scores(poses: DataFrame, d_dist, own_cell: bool = False, any_distance: bool = False, own_weight: bool = False, most: int = CELL_ROWS) -> DataFrame:
     """poses with score and the mean translation ax, ay, az.
 
     A pose's score is 1 (own_weight: its own weight) and the weights w_cnt of the poses in the 26 cells
     around its own (own_cell: in 27) whose rotation is near and, unless any_distance, whose translation lies
     within d_dist. Each pose is dealt to its neighbours' cells, and cells meet by an equi-join whose
-    conditions are tested in the join, before rows are made.
+    conditions are tested in the join, before rows are made. Cells of more than `most` poses are cut into pieces; sums are
+    partial in the tasks that join them.
     """
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=3) if own_cell or any(o)]
     around = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{k}") for k, x in enumerate(o)]) for o in offsets]))
@@ -85,7 +101,8 @@ def neighbour_scores(poses: DataFrame, d_dist, own_cell: bool = False, any_dista
     left = poses.select(*id_cols, *QUATERNION, *MOVE, "d_dist", *CELL, around.alias("o")) if "d_dist" in poses.columns else poses.withColumn("d_dist", F.lit(d_dist)).select(*id_cols, *QUATERNION, *MOVE, "d_dist", *CELL, around.alias("o"))
     left = left.select(*id_cols, *QUATERNION, *MOVE, "d_dist", *[(F.col(c) + F.col(f"o.o{k}")).alias(c) for k, c in enumerate(CELL)])
     right = poses.select(*PAIR, F.col("vote_code").alias("n_code"), *[F.col(c).alias("n_" + c) for c in (*QUATERNION, *MOVE)], "w_cnt", *CELL)
-    same = [left[c] == right[c] for c in (*PAIR, *CELL)]
+    left, right = _cut(left, right, [*PAIR, *CELL], ("vote_code", "n_code"), most)
+    same = [left[c] == right[c] for c in (*PAIR, *CELL, "__a", "__b")]
     gap = F.abs(8 * (1 - V.dot(tuple(left[c] for c in QUATERNION), tuple(right["n_" + c] for c in QUATERNION))))
     near = gap < ROTATION_STEP**2
     if not any_distance:
@@ -113,46 +130,68 @@ def best(scored: DataFrame, averaged: bool = False) -> DataFrame:
     return out.withColumns({"t14": F.col("ax"), "t24": F.col("ay"), "t34": F.col("az")}) if averaged else out
 
 
+def _near(a: DataFrame, b: DataFrame, rotation: float) -> Column:
+    """Whether two poses of a scene and model belong together: b's columns begin with n_, and it lies in a's cell."""
+    move = V.distance(tuple(a[c] for c in MOVE), tuple(b["n_" + c] for c in MOVE)) < a["d_dist"]
+    turn = 2 * F.acos(F.least(F.lit(1.0), F.abs(V.dot(tuple(a[c] for c in QUATERNION), tuple(b["n_" + c] for c in QUATERNION))))) < rotation
+    out = (move & turn) | (a["vote_code"] == b["n_code"])
+    for c in (*PAIR, *_BOX):
+        out = out & (a[c] == b[c])
+    return out
+
+
+_BOX = ["b0", "b1", "b2"]
+
+
+def _around(poses: DataFrame) -> DataFrame:
+    """poses, with n_ before their names, in their own box and the 26 around it."""
+    offsets = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{k}") for k, x in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=3)])
+    out = poses.select(*PAIR, F.col("vote_code").alias("n_code"), *[F.col(c).alias("n_" + c) for c in ("cnt", *MOVE, *QUATERNION)], *_BOX, F.explode(offsets).alias("o"))
+    return out.withColumns({c: F.col(c) + F.col(f"o.o{k}") for k, c in enumerate(_BOX)}).drop("o")
+
+
+def greedy_seeds(poses: DataFrame, rotation: float) -> DataFrame:
+    """The poses that, taken by falling count, are near no seed before them; poses: with d_dist and boxes of that size.
+
+    A round finds all poses that no stronger undecided one is near: they are seeds, whatever the rest will be. What is near them is
+    decided with them. Rounds go on with the rest until there is none: the seeds are those of the order one by one.
+    """
+    left, found = poses, None
+    while True:
+        rival = _around(left)
+        stronger = (rival["n_cnt"] > left["cnt"]) | ((rival["n_cnt"] == left["cnt"]) & (rival["n_code"] < left["vote_code"]))
+        new = stored(left.join(rival, _near(left, rival, rotation) & stronger, "left_anti"))
+        found = new if found is None else found.unionByName(new)
+        own = _around(new)
+        left = stored(left.join(own, _near(left, own, rotation), "left_anti"))
+        if left.isEmpty():
+            return found
+
+
 def greedy_clusters(poses: DataFrame, d_dist: float | None = None, rotation: float = features.D_ANGLE, keep: int = 3) -> DataFrame:
     """PAIR, rank, votes, n_poses, tx ... qz: poses taken by falling count join the first cluster whose seed
     is near, or make a new one; the `keep` clusters of most votes, with mean translation and rotation. d_dist:
     how far translations of a cluster may lie from its seed's; None: poses' column d_dist, the model's step.
 
-    The assignment depends on the order, so each scene and model is one group; give it pruned votes. A
-    cluster's quaternions are turned to its seed's side before they are averaged.
+    Seeds are found in rounds (greedy_seeds()); each pose then joins the strongest seed near it, as a weaker one would have
+    come later. Poses meet by boxes, so no scene and model is one group. A cluster's quaternions are turned to its
+    seed's side before they are averaged. Poses that aren't finite are near none.
     """
-    import numpy as np
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cnt", "vote_code"], ascending=[False, True])
-        t, q, cnt = pdf[MOVE].to_numpy(), pdf[QUATERNION].to_numpy(), pdf["cnt"].to_numpy()
-        reach = pdf["d_dist"].iloc[0]
-        seeds: list[int] = []
-        own = np.empty(len(pdf), int)
-        for k in range(len(pdf)):
-            if seeds:
-                s = np.array(seeds)
-                turn = 2 * np.arccos(np.clip(np.abs(q[s] @ q[k]), 0, 1))
-                near = (np.linalg.norm(t[s] - t[k], axis=1) < reach) & (turn < rotation)
-                if near.any():
-                    own[k] = int(near.argmax())
-                    continue
-            own[k] = len(seeds)
-            seeds.append(k)
-        total = np.bincount(own, cnt)
-        out = []
-        for rank, c in enumerate(sorted(range(len(seeds)), key=lambda c: (-total[c], c))[:keep], 1):
-            m = own == c
-            side = np.where(q[m] @ q[seeds[c]] < 0, -1.0, 1.0)[:, None]
-            mean = (q[m] * side).mean(axis=0)
-            out.append([*pdf[PAIR].iloc[0], rank, int(total[c]), int(m.sum()), *t[m].mean(axis=0), *(mean / np.linalg.norm(mean))])
-        return pd.DataFrame(out, columns=names)
-
-    names = [*PAIR, "rank", "votes", "n_poses", *MOVE, *QUATERNION]
-    kinds = {c: poses.schema[c].dataType.simpleString() for c in PAIR}
-    shape = ", ".join([*(f"{c} {kinds[c]}" for c in PAIR), "rank long", "votes long", "n_poses long", *(f"{c} double" for c in (*MOVE, *QUATERNION))])
     reach = F.col("d_dist") if d_dist is None else F.lit(float(d_dist))
-    return poses.select(*PAIR, "cnt", "vote_code", *MOVE, *QUATERNION, reach.alias("d_dist")).groupBy(*PAIR).applyInPandas(cluster, shape)
+    rows = poses.select(*PAIR, "cnt", "vote_code", *MOVE, *QUATERNION, reach.alias("d_dist"))
+    rows = stored(rows.withColumns({c: F.coalesce(F.floor(F.col(t) / F.col("d_dist")).cast("long"), F.lit(0)) for c, t in zip(_BOX, MOVE)}))
+    seeds = _around(greedy_seeds(rows, rotation))
+    best = F.max_by(F.struct(F.col("n_code").alias("seed"), F.col("n_cnt").alias("top"), *[F.col("n_" + c) for c in QUATERNION]), F.struct("n_cnt", -F.col("n_code")))
+    own = [*PAIR, "vote_code"]
+    to = rows.join(seeds, _near(rows, seeds, rotation)).select(*[rows[c] for c in own], *[seeds["n_" + c] for c in ("code", "cnt", *QUATERNION)]).groupBy(*own).agg(best.alias("s"))
+    joined = rows.join(to, own).select(*PAIR, "cnt", *MOVE, *QUATERNION, "s.*")
+    side = F.when(V.dot(tuple(F.col(c) for c in QUATERNION), tuple(F.col("n_" + c) for c in QUATERNION)) < 0, -1.0).otherwise(1.0)
+    sums = [F.avg(c).alias(c) for c in MOVE] + [F.avg(side * F.col(c)).alias(c) for c in QUATERNION]
+    out = joined.groupBy(*PAIR, "seed", "top").agg(F.sum("cnt").alias("votes"), F.count("*").alias("n_poses"), *sums)
+    w = Window.partitionBy(*PAIR).orderBy(F.col("votes").desc(), F.col("top").desc(), F.col("seed"))
+    out = out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= keep)
+    size = F.sqrt(sum((F.col(c) * F.col(c) for c in QUATERNION), F.lit(0.0)))
+    return out.select(*PAIR, "rank", "votes", "n_poses", *MOVE, *[(F.col(c) / size).alias(c) for c in QUATERNION])
 
 
 def cluster_poses(clusters: DataFrame) -> DataFrame:

@@ -522,7 +522,27 @@ def votes_by_own_step(spark, sf_dir):
     return registration.found_votes(scene, models, registration.model_steps(models, _TAUS)).select("model_id", "s_r", "m_r", "alpha", "cnt")
 
 
-@query()
+def greedy_sql(quats: str, rotation: float = D) -> str:
+    """Of the view quat, one seed after another: the strongest pose that is left, and what is near it goes with it."""
+    mine, seeds = ("p.", "s.")
+    gap = " + ".join(f"({mine}{c} - {seeds}{c}) * ({mine}{c} - {seeds}{c})" for c in poses.MOVE)
+    turn = " + ".join(f"{mine}{c} * {seeds}{c}" for c in poses.QUATERNION)
+    q = ", ".join(f"avg(CASE WHEN {' + '.join(f'a.{x} * s.{x}' for x in poses.QUATERNION)} < 0 THEN -a.{c} ELSE a.{c} END) AS {c}" for c in poses.QUATERNION)
+    size = "sqrt(" + " + ".join(f"{c} * {c}" for c in poses.QUATERNION) + ")"
+    return f"""{quats.replace('WITH ', 'WITH RECURSIVE ', 1)},
+o AS MATERIALIZED (SELECT scene_id, model_id, cnt, tx, ty, tz, qw, qx, qy, qz, d_dist, row_number() OVER (PARTITION BY scene_id, model_id ORDER BY cnt DESC, vote_code) AS k FROM quat),
+g AS (
+  SELECT 0 AS turn, * FROM o UNION ALL
+  SELECT p.turn + 1, p.* EXCLUDE (turn, first) FROM (SELECT *, min(k) OVER (PARTITION BY scene_id, model_id) AS first FROM g) p JOIN o s ON s.scene_id = p.scene_id AND s.model_id = p.model_id AND s.k = p.first
+  WHERE p.k <> p.first AND NOT (sqrt({gap}) < p.d_dist AND 2 * acos(least(1.0, abs({turn}))) < {rotation!r})),
+a AS (SELECT scene_id, model_id, k, max(turn) AS c FROM g GROUP BY ALL),
+m AS (SELECT o.*, c, min(k) OVER (PARTITION BY scene_id, model_id, c) AS first FROM a JOIN o USING (scene_id, model_id, k)),
+t AS (SELECT a.scene_id, a.model_id, a.first, CAST(sum(a.cnt) AS BIGINT) AS votes, count(*) AS n_poses, avg(a.tx) AS tx, avg(a.ty) AS ty, avg(a.tz) AS tz, {q} FROM m a JOIN o s ON s.scene_id = a.scene_id AND s.model_id = a.model_id AND s.k = a.first GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, model_id ORDER BY votes DESC, first) AS rank FROM t)
+SELECT scene_id, model_id, rank, votes, n_poses, {", ".join(f"{s6(c)} AS {c}" for c in poses.MOVE)}, {", ".join(f"{s6(f'{c} / {size}')} AS {c}" for c in poses.QUATERNION)} FROM r WHERE rank <= 3"""
+
+
+@query(greedy_sql(QUATS))
 def greedy_cluster(spark, sf_dir):
     m = model(spark, sf_dir)
     d_dist = registration.model_steps(m, TAU).first()["d_dist"]
@@ -530,6 +550,20 @@ def greedy_cluster(spark, sf_dir):
     return rounded(out, *poses.MOVE, *poses.QUATERNION)
 
 
+#: Just over the step of the angles: poses that differ by one step only would be near or not by rounding.
+_TURN = 0.21
+
+
+@query(greedy_sql(f"WITH {MANY}, {poses_sql()}, {quaternion_sql()}", _TURN))
+def greedy_clusters_of_all(spark, sf_dir):
+    """Every cloud as a model in every cloud as a scene, moved as those of best_pose are."""
+    c = cloud(spark, sf_dir)
+    scenes, steps = clouds.transformed(c, rigid.literal(_T)), registration.model_steps(c, TAU)
+    votes = voting.pruned(stored(registration.found_votes(scenes, c, steps)), THRESHOLD)
+    out = poses.greedy_clusters(registration.vote_poses(votes, scenes, c, steps), rotation=_TURN)
+    return rounded(out, *poses.MOVE, *poses.QUATERNION)
+
+
 TRUTH = "truth AS (SELECT scene_id, model_id, cos(a) AS g11, -sin(a) AS g12, 0.0 AS g13, 0.1 AS g14, sin(a) AS g21, cos(a) AS g22, 0.0 AS g23, 0.2 AS g24, 0.0 AS g31, 0.0 AS g32, 1.0 AS g33, 0.3 AS g34 FROM (SELECT s.cloud_id AS scene_id, m.cloud_id AS model_id, (s.cloud_id + m.cloud_id) / 10.0 AS a FROM (SELECT DISTINCT cloud_id FROM cloud) s, (SELECT DISTINCT cloud_id FROM cloud) m))"
 ERRORS = BEST + f", {TRUTH}, err AS (SELECT t.scene_id, t.model_id, sqrt((t14 - g14) * (t14 - g14) + (t24 - g24) * (t24 - g24) + (t34 - g34) * (t34 - g34)) AS trans_err, (t11 * g11 + t12 * g12 + t13 * g13 + t21 * g21 + t22 * g22 + t23 * g23 + t31 * g31 + t32 * g32 + t33 * g33 - 1) / 2 AS c FROM truth t LEFT JOIN best USING (scene_id, model_id)) "
 
