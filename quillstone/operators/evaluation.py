@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rigid import fold_angle
 from .joins import lookup
+from .medians import medians
+from .tables import stored
 
 # Diameters of the models of the evaluation.
 MODEL_DIAMETERS = {"chef": 136.59418, "trex": 98.828925, "para": 131.250275, "chicken": 86.28052}
@@ -51,9 +53,13 @@ def running_rate(rows: DataFrame, order: list[str], match: str = "match") -> Dat
 
 
 def error_summary(rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """mean_ and median_ of each column."""
-    aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("median", F.median))]
-    return rows.groupBy(*(keys or [])).agg(*aggs)
+    """mean_ and median_ of each column; medians are found by passes over the rows (see medians())."""
+    rows = stored(rows.select(*(keys or []), *columns))
+    means = rows.groupBy(*(keys or [])).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
+    names = [f"{n}_{c}" for c in columns for n in ("mean", "median")]
+    middle = medians(rows, columns, keys)
+    out = lookup(means, middle, keys) if keys else means.crossJoin(middle)  # a row each
+    return out.select(*(keys or []), *names)
 
 
 def near_enough(rows: DataFrame, occlusion: float = 80.0, distance: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ Floating results are rounded to six decimals on both sides.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from ..functions import features, hashing, rigid
 from ..functions import vectors as V
 from ..functions.text import model_name
 from ..operators import clouds, evaluation, meshes, pairs, poses, synthesis, voting
+from ..operators.joins import lookup
 from ..operators.tables import kept, shared_folder, stored
 from ..sources import ply, sink, texts
 from . import files, model_index, registration
@@ -238,12 +240,9 @@ def ref_point_sample(spark, sf_dir):
     return clouds.reference_points(cloud(spark, sf_dir), 5).select("cloud_id", "pt_id")
 
 
-@query(f"WITH {CLOUD} SELECT cloud_id, CAST(floor(0.25 * count(*)) AS BIGINT) AS n, CAST(floor(0.25 * count(*)) AS BIGINT) AS n_points FROM cloud GROUP BY ALL")
+@query()
 def random_downsample(spark, sf_dir):
-    """How many rows are drawn of each cloud, and how many different points of that cloud they are."""
-    c = cloud(spark, sf_dir)
-    drawn = clouds.random_sample(c, 0.25, 7).join(c.select("cloud_id", "pt_id"), ["cloud_id", "pt_id"])
-    return drawn.groupBy("cloud_id").agg(F.count("*").alias("n"), F.count_distinct("pt_id").alias("n_points"))
+    return clouds.random_sample(cloud(spark, sf_dir), 0.25, 7).select("cloud_id", "pt_id")
 
 
 @query(f"WITH {CLOUD} SELECT cloud_id, count(*) AS n FROM cloud GROUP BY ALL")
@@ -310,6 +309,40 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", d(t).alias("md5"), d(t, "SHA-1").alias("sha1"), d(t, "SHA-256").alias("sha256"), d(t, "SHA-1", "HEX").alias("sha1_upper"), d(t, "MD5", "base64").alias("md5_base64"), hashing.key_of(t).alias("key"))
 
 
+def _ends(*values: int) -> str:
+    """Two numbers as little-endian doubles, in hexadecimal."""
+    return struct.pack("<2d", *values).hex()
+
+
+def _le(e: str, size: int) -> str:
+    """A whole number as little-endian bytes, in hexadecimal."""
+    h = f"lpad(to_hex({e}::{'BIGINT' if size == 8 else 'INTEGER'}), {2 * size}, '0')"
+    return " || ".join(f"substr({h}, {2 * k - 1}, 2)" for k in range(size, 0, -1))
+
+
+_hex = lambda s: s.encode().hex()
+_char = lambda s: _hex("char") + _ends(1, len(s)) + s.encode("utf-16-le").hex()
+_NESTED = " || ".join([
+    f"'{_hex('struct') + _ends(1, 1) + _hex('cell') + _ends(3, 1) + _char('i') + _char('k') + _char('l')}'",
+    f"'{_hex('int64') + _ends(1, 1)}'", _le("vec_id", 8),
+    f"'{_hex('int64') + _ends(1, 3)}'", *[_le(f"vec_id * {k} + {k}", 8) for k in (1, 2, 3)],
+    f"'{_hex('int32') + _ends(1, 1)}'", _le("label", 4),
+])
+
+
+@query(f"SELECT vec_id, md5(unhex({_NESTED})) AS digest FROM embeddings")
+def typed_content(spark, sf_dir):
+    """A digest by type and size of a nested column: a struct of a long, an array of longs and an integer."""
+    k = F.array(*[F.col("vec_id") * k + k for k in (1, 2, 3)])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("label").cast("int").alias("l"), F.col("vec_id").cast("long").alias("i"), k.alias("k")).alias("value"))
+    return hashing.typed_digest(rows, "value").select("vec_id", "digest")
+
+
+@query()
+def md2_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", hashing.digest(F.col("text"), "MD2").alias("md2"))
+
+
 @query(MBINS + "SELECT cloud_id, k1, k2, k3, k4, count(*) AS cnt FROM b GROUP BY ALL")
 def ppf_index_histogram(spark, sf_dir):
     return pairs.bin_counts(_bins(spark, sf_dir), CKEYS)
@@ -320,9 +353,13 @@ def ppf_exclusive_scan(spark, sf_dir):
     return pairs.bin_offsets(pairs.bin_counts(_bins(spark, sf_dir), CKEYS), CKEYS)
 
 
-@query(MBINS + "SELECT cloud_id, k1, k2, k3, k4, list_aggregate(list_sort(list(r * 100000 + i)), 'string_agg', ',') AS pairs FROM b GROUP BY ALL")
+#: Pairs of a bin in one row of the index: few, so that bins of these tables have several rows.
+_POSTINGS = 16
+
+
+@query(MBINS + f"SELECT cloud_id, k1, k2, k3, k4, (place - 1) // {_POSTINGS} AS block, list_aggregate(list_sort(list(r * 100000 + i)), 'string_agg', ',') AS pairs FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, k1, k2, k3, k4 ORDER BY r, i) AS place FROM b) GROUP BY ALL")
 def inverted_index(spark, sf_dir):
-    out = pairs.inverted_index(_bins(spark, sf_dir), CKEYS)
+    out = pairs.inverted_index(_bins(spark, sf_dir), CKEYS, _POSTINGS)
     return out.withColumn("pairs", F.array_join(F.transform("pairs", lambda p: (p["r"] * 100000 + p["i"]).cast("string")), ","))
 
 
@@ -698,6 +735,44 @@ def vertex_normals(spark, sf_dir):
     return rounded(meshes.vertex_normals(triangles, vertices).drop("cloud_id"), "nx", "ny", "nz")
 
 
+MESHES = f"""{CLOUD}, v AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY pt_id) - 1 AS p, count(*) OVER (PARTITION BY cloud_id) AS s FROM cloud),
+tri AS (SELECT cloud_id, p % s AS v1, (p + k * k * 7 + k) % s AS v2, (p + (k + 1) * (k + 1) * 7 + k + 1) % s AS v3 FROM v, (SELECT unnest(range(1, 4)) AS k) WHERE k <= 1 + p % 3),
+t AS (SELECT cloud_id, v1, v2, v3, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM tri JOIN v a USING (cloud_id) JOIN v b USING (cloud_id) JOIN v c USING (cloud_id) WHERE v1 = a.p AND v2 = b.p AND v3 = c.p),
+n AS (SELECT cloud_id, v1, v2, v3, uy * vz - uz * vy AS p, uz * vx - ux * vz AS q, ux * vy - uy * vx AS r FROM t),
+w AS (SELECT cloud_id, unnest([v1, v2, v3]) AS pt_id, p / sqrt(p * p + q * q + r * r) AS p, q / sqrt(p * p + q * q + r * r) AS q, r / sqrt(p * p + q * q + r * r) AS r FROM n WHERE p <> 0 OR q <> 0 OR r <> 0),
+normal AS (SELECT cloud_id, pt_id, p / sqrt(p * p + q * q + r * r) AS nx, q / sqrt(p * p + q * q + r * r) AS ny, r / sqrt(p * p + q * q + r * r) AS nz FROM (SELECT cloud_id, pt_id, sum(p) AS p, sum(q) AS q, sum(r) AS r FROM w GROUP BY ALL))"""
+
+
+def _meshes(spark, sf_dir) -> str:
+    """A folder of a mesh file for each cloud, of polygons of three to five corners."""
+    folder = _place(spark, "meshes")
+    v = clouds.numbered(cloud(spark, sf_dir), span=clouds.SPAN).withColumn("pt_id", F.col("position"))
+    v = lookup(v, clouds.sizes(v), ["cloud_id"])
+    p, corners = F.col("pt_id"), (F.col("pt_id") % 3).cast("int") + 2
+    f = v.select("cloud_id", p.alias("face_id"), F.transform(F.sequence(F.lit(0), corners), lambda k: F.pmod(p + k * k * 7 + k, F.col("n"))).alias("vertex_indices"))
+    ply.write_meshes(v.select("cloud_id", "pt_id", *clouds.POINT), f, folder)
+    return folder
+
+
+@query(f"WITH {MESHES} SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, pt_id, {s6('nx')} AS nx, {s6('ny')} AS ny, {s6('nz')} AS nz FROM normal")
+def mesh_normals(spark, sf_dir):
+    """Normals of the vertices of many mesh files, read in one pass."""
+    out = files.mesh_cloud(spark, _meshes(spark, sf_dir)).dropna(subset=["nx"])
+    return rounded(out.select("cloud_id", "pt_id", *clouds.NORMAL), *clouds.NORMAL)
+
+
+@query(f"WITH {MESHES} SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, p AS pt_id, {s6('x - avg(x) OVER own + 1')} AS x, {s6('y - avg(y) OVER own')} AS y, {s6('z - avg(z) OVER own + 2')} AS z, {s6('coalesce(normal.nx, 0)')} AS nx FROM v LEFT JOIN normal ON v.cloud_id = normal.cloud_id AND p = normal.pt_id WINDOW own AS (PARTITION BY v.cloud_id) QUALIFY p % 5 = 0".replace("SELECT CAST(cloud_id", "SELECT CAST(v.cloud_id"))
+def mesh_clouds(spark, sf_dir):
+    """Every fifth vertex of many mesh files, centred and moved, with normals: written as mesh files again, and read."""
+    rows = clouds.centered(files.mesh_cloud(spark, _meshes(spark, sf_dir)))
+    rows = clouds.every_nth(rows, 5).fillna(0.0, list(clouds.NORMAL)).withColumns({"x": F.col("x") + 1, "z": F.col("z") + 2})
+    folder = _place(spark, "thinned")
+    rows = stored(rows)
+    ply.write_meshes(rows.select("cloud_id", "pt_id", *clouds.FIELDS), rows.select("cloud_id", F.lit(0).cast("long").alias("face_id"), F.array(F.lit(0)).alias("vertex_indices")).limit(0), folder)
+    back = ply.read_cloud(spark, folder).withColumn("pt_id", 5 * F.col("pt_id"))
+    return rounded(back.select("cloud_id", "pt_id", "x", "y", "z", "nx"), "x", "y", "z", "nx")
+
+
 def _place(spark: SparkSession, name: str) -> str:
     """A path in the folder that executors share; it is deleted with the stored tables."""
     head, dot, kind = name.partition(".")
@@ -833,17 +908,31 @@ def evaluation_report(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c != "n"])
 
 
-@query("SELECT 100 AS scene_id, 0 AS model_id, TRUE AS trans_match, TRUE AS rot_match, TRUE AS match")
+_KNOWN, _KNOWN_AT = synthesis.random_quaternion(11), (0.3, 0.2, 0.1)
+
+
+def _turn_of(w: float, x: float, y: float, z: float) -> list[list[float]]:
+    return [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+
+
+_R = _turn_of(*_KNOWN)
+_TRUE = [f"{s6(f'CAST({_R[r][k]!r} AS DOUBLE)')} AS t{r + 1}{k + 1}" for r in range(3) for k in range(3)] + [s6(f"s{a} + {_KNOWN_AT[r]} - ({' + '.join(f'{_R[r][k]!r} * m{b}' for k, b in enumerate('xyz'))})") + f" AS t{r + 1}4" for r, a in enumerate("xyz")]
+
+
+@query(f"WITH {CLOUD}, m AS (SELECT " + ", ".join(f"avg({a}) AS m{a}" for a in "xyz") + ", " + EXTENT + " AS diam FROM cloud WHERE cloud_id = 0), s AS (SELECT " + ", ".join(f"avg({a}) AS s{a}" for a in "xyz") + f" FROM cloud WHERE cloud_id <> 0) SELECT 100 AS scene_id, 0 AS model_id, TRUE AS match, {s6('0.1 * diam')} AS allowed, {', '.join(_TRUE)} FROM m, s")
 def known_pose(spark, sf_dir):
-    """A model put into a scene at a known pose, and whether the pose that is found is that one."""
+    """A model put into a scene at a known pose: that pose, how far from it an answer may be, and whether the pose
+    that is found is near enough."""
     m = model(spark, sf_dir)
     rest = cloud(spark, sf_dir).filter("cloud_id <> 0")
-    scene, t = synthesis.scene_with_model(rest, m, (0.3, 0.2, 0.1), synthesis.random_quaternion(11))
+    scene, t = synthesis.scene_with_model(rest, m, _KNOWN_AT, _KNOWN)
     scene = scene.withColumn("cloud_id", F.lit(100))
     found = registration.register(scene, m)
     truth = spark.range(1).select(F.lit(100).alias("scene_id"), F.lit(0).alias("model_id"), *[c.alias(n) for n, c in rigid.to_columns(t).items()])
-    errors = poses.compared(found, truth)
-    return poses.validated(errors, registration.model_steps(m, TAU)).drop("trans_err", "rot_err")
+    steps = registration.model_steps(m, TAU)
+    checked = poses.validated(poses.compared(found, truth), steps).select("scene_id", "model_id", "match")
+    out = truth.join(checked, voting.PAIR).join(steps.select("model_id", (0.1 * F.col("diam")).alias("allowed")), "model_id")  # a row each
+    return rounded(out, "allowed", *rigid.NAMES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -585,3 +585,17 @@ def write(elements: dict[str, DataFrame], path: str, form: str = "binary_big_end
         lines += [f"property list uchar {_NAMES[p.kind]} {p.name}" if p.count else f"property {_NAMES[p.kind]} {p.name}" for p in properties]
         parts.append(body)
     sink.write_file(spark, path, ("\n".join([*lines, "end_header"]) + "\n").encode("ascii"), parts)
+
+
+def write_meshes(vertices: DataFrame, faces: DataFrame, folder: str) -> None:
+    """An ascii file `cloud_id`.ply for each mesh, all in one pass. vertices: cloud_id, pt_id and what else is to be written, as
+    doubles; faces: cloud_id, face_id, vertex_indices (places of the vertices in the order of pt_id, from 0)."""
+    fields = [c for c in vertices.columns if c not in ("cloud_id", "pt_id")]
+    sizes = vertices.groupBy("cloud_id").agg(F.count("*").alias("n")).join(faces.groupBy("cloud_id").agg(F.count("*").alias("m")), "cloud_id", "left")
+    head = [F.lit("ply"), F.lit("format ascii 1.0"), F.format_string("element vertex %d", "n"), *[F.lit(f"property double {c}") for c in fields], F.format_string("element face %d", F.coalesce("m", F.lit(0))), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
+    at = lambda part, place: F.struct(F.lit(part).alias("part"), F.col(place).cast("long").alias("place")).alias("line_no")
+    name = F.concat(F.col("cloud_id").cast("string"), F.lit(".ply")).alias("name")
+    first = sizes.select(name, F.posexplode(F.array(*head)).alias("place", "line")).select("name", at(0, "place"), "line")
+    points = vertices.select(name, at(1, "pt_id"), F.concat_ws(" ", *[F.col(f"`{c}`").cast("double").cast("string") for c in fields]).alias("line"))
+    corners = faces.select(name, at(2, "face_id"), F.concat_ws(" ", F.size("vertex_indices").cast("string"), F.transform("vertex_indices", lambda x: x.cast("string"))).alias("line"))
+    sink.write_named_lines(first.unionByName(points).unionByName(corners), folder)

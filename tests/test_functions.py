@@ -74,3 +74,23 @@ def test_alpha_bins_stay_in_range(spark):
 
 def test_split_list():
     assert split_list(r'a,"b,c",,d\,e') == ["a", "b,c", "d,e"]
+
+
+def test_md2_of_known_texts(spark):
+    # The digests that the description of MD2 gives for these texts.
+    known = {"": "8350e5a3e24c153df2275c9f80692773", "a": "32ec01ec4a6dac72c0ab96fb34c0b5d1", "abc": "da853b0d3f88d99b30283a69e6ded6bb", "message digest": "ab4f496bfb2a530b219ff33031fe06b0", "1234567890" * 8: "d5976f79d83d3a0dc9806c3c66f3efd8"}
+    df = spark.createDataFrame([(k,) for k in [*known, None]], "t string")
+    got = {r["t"]: r["h"] for r in df.select("t", hashing.digest(F.col("t"), "MD2").alias("h")).collect()}
+    assert got == {**known, None: None}
+
+
+def test_typed_columns_are_their_values_bytes(spark):
+    """Buffers of whole columns against values one by one: nulls, empty and nested arrays, strings."""
+    rows = [(1, [1.5, -2.0], [[1, 2], [], [3]], "né", (True, [1, None]), b"xy"), (None, [], None, "", (None, None), b""), (-7, None, [[], None, [9]], None, None, None), (3, [0.0], [], "z" * 9, (False, []), b"\0")]
+    df = spark.createDataFrame(rows, "a bigint, b array<double>, c array<array<int>>, d string, e struct<q: boolean, p: array<int>>, f binary").coalesce(1)
+    for part in (df, df.filter("a IS NULL OR a < 3")):
+        for c in "abcdef":
+            kind = df.schema[c].dataType
+            values = part.toArrow().column(c).combine_chunks()
+            assert hashing.typed_column(values, kind) == [hashing.typed_bytes(r[c], kind) for r in part.collect()]
+            assert hashing.typed_column(values[1:], kind) == [hashing.typed_bytes(r[c], kind) for r in part.collect()][1:]
