@@ -133,7 +133,8 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     if right.limit(limit + 1).count() <= limit:
         return left.join(F.broadcast(right), on, how)
     salt = "__salt"
-    a = left.withColumn(salt, (F.rand(17) * salts).cast("int"))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])  # of the row: a task that runs again deals rows alike
+    a = left.withColumn(salt, F.pmod(own, F.lit(salts)).cast("int"))
     b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, salt], how).drop(salt)
 
