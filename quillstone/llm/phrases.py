@@ -24,7 +24,7 @@ from .shared import Sieve, documents, portions, small_join, spread, written
 #: in percent of its occurrences that lie in one longer phrase which makes a phrase a part of that.
 LEAST, LONGEST, MOST, SHARE = 100, 5, 2_000, 100
 #: Words of a shard, about: what a task holds. Bytes of a text that are cut into words at once.
-SHARD, SLICE = 1_000_000, 2_000_000
+SHARD, SLICE = 3_000_000, 2_000_000
 
 _UPPER, _BREAKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\v\f\r"
 _AS_ONE = bytes.maketrans(_UPPER + _BREAKS + b"\t", _UPPER.lower() + b"." * len(_BREAKS) + b" ")
