@@ -18,7 +18,7 @@ from .functions.text import split_list
 from .operators import poses
 from .operators.tables import stored
 from .plans.registration import Options, model_steps, register
-from .sources import ply, texts
+from .sources import ply, sink, texts
 
 # Levels of the log, and Spark's names for them.
 LEVELS = {"trace": "TRACE", "debug": "DEBUG", "info": "INFO", "warning": "WARN", "error": "ERROR", "fatal": "FATAL"}
@@ -86,10 +86,8 @@ def main(args: list[str] | None = None) -> None:
         found = stored(found)
     _print(found)
     if a.validation_files:
-        pairs, truth = [(s, m) for s in a.scene_files for m in a.model_files], None
-        for (s, m), path in zip(pairs, a.validation_files):
-            row = texts.read_matrices(spark, path).drop("file").withColumns({"scene_id": F.lit(_name(s)), "model_id": F.lit(_name(m))})
-            truth = row if truth is None else truth.unionByName(row)
+        pairs = [(s, m) for s in a.scene_files for m in a.model_files]
+        truth = _truth(spark, pairs, a.validation_files)
         steps = model_steps(models, taus)
         rows = poses.validated(poses.compared(found, truth), steps, a.validation_translation_threshold, a.validation_rotation_threshold)
         _print(rows)
@@ -123,12 +121,17 @@ def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(".ply")
 
 
-def _clouds(spark: SparkSession, files: list[str]):
-    out = None
-    for f in files:
-        c = ply.read_cloud(spark, f)
-        out = c if out is None else out.unionByName(c)
-    return out
+def _clouds(spark: SparkSession, files: list[str]) -> DataFrame:
+    return ply.read_cloud(spark, files)
+
+
+def _truth(spark: SparkSession, pairs: list[tuple[str, str]], files: list[str]) -> DataFrame:
+    """scene_id, model_id, t11 ... of the validation files, all read at once; a file may stand for several pairs."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    whole = [fs.makeQualified(where).toString() for fs, where in (sink.hadoop(spark, f) for f in files)]
+    names = spark.createDataFrame([(f, _name(s), _name(m)) for f, (s, m) in zip(whole, pairs)], "file string, scene_id string, model_id string")
+    rows = texts.read_matrices(spark, sorted(set(files))).withColumn("file", plain("file"))
+    return rows.join(names.withColumn("file", plain("file")), "file").drop("file")
 
 
 if __name__ == "__main__":

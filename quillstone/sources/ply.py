@@ -474,7 +474,7 @@ def _heads(spark: SparkSession, files: list[str]) -> list[tuple[str, int, Header
     return [pickle.loads(r["head"]) for r in held.mapInArrow(run, "head binary").collect()]
 
 
-def read(spark: SparkSession, path: str, element: str | list[str] = "vertex", range_bytes: int = ranges.RANGE) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], element: str | list[str] = "vertex", range_bytes: int = ranges.RANGE) -> DataFrame:
     """file, row (from 0) and the properties of an element (or the first of several names that there is)."""
     files = ranges.listed(spark, path)
     if not files:
@@ -500,7 +500,7 @@ def read(spark: SparkSession, path: str, element: str | list[str] = "vertex", ra
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def read_cloud(spark: SparkSession, path: str) -> DataFrame:
+def read_cloud(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """cloud_id (the file's name), pt_id, x, y, z, nx, ny, nz as doubles; what a file doesn't have is 0."""
     v = read(spark, path, VERTEX_NAMES)
     has = lambda *names: next((F.col(n).cast("double") for n in names if n in v.columns), F.lit(0.0))
@@ -508,7 +508,7 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     return v.select(name.alias("cloud_id"), F.col("row").alias("pt_id"), has("x").alias("x"), has("y").alias("y"), has("z").alias("z"), has("nx", "normal_x").alias("nx"), has("ny", "normal_y").alias("ny"), has("nz", "normal_z").alias("nz"))
 
 
-def read_faces(spark: SparkSession, path: str) -> DataFrame:
+def read_faces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """cloud_id, face_id, vertex_indices (from 0, as on disk)."""
     f = read(spark, path, FACE_NAMES)
     index = next((n for n in INDEX_NAMES if n in f.columns), None)

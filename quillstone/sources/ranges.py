@@ -20,14 +20,15 @@ RANGE, PORTION = 64 << 20, 50_000
 _SPARK = {"i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType()}
 
 
-def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the files that a path, a folder or a pattern names."""
-    fs, where = hadoop(spark, path)
-    out = []
-    for s in fs.globStatus(where) or []:
-        for f in fs.listStatus(s.getPath()) if s.isDirectory() else [s]:
-            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
-                out.append((str(f.getPath()), f.getLen()))
+def listed(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that a path, a folder, a pattern or several of them name."""
+    out = set()
+    for one in [path] if isinstance(path, str) else path:
+        fs, where = hadoop(spark, one)
+        for s in fs.globStatus(where) or []:
+            for f in fs.listStatus(s.getPath()) if s.isDirectory() else [s]:
+                if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                    out.add((f.getPath().toString(), f.getLen()))
     return sorted(out)
 
 

@@ -48,7 +48,7 @@ def lines(spark: SparkSession, path: str | list[str], blank: bool = True) -> Dat
     return lookup(own, first, ["file", "start"]).select("file", (F.col("first") + F.col("own")).alias("line_no"), "line")
 
 
-def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+def read_matrices(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file and t11 ... t34 of files of sixteen numbers, row by row."""
     v = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), v.alias("v"))
