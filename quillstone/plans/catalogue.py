@@ -481,6 +481,31 @@ def turn_histogram(spark, sf_dir):
     return voting.turn_histogram(all_candidates(spark, sf_dir, True))
 
 
+_RADIUS_STEP = "box AS (SELECT cloud_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz FROM model GROUP BY ALL), step AS (SELECT cloud_id AS model_id, 0.1 * max(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))) AS d_dist FROM model JOIN box USING (cloud_id) GROUP BY ALL)"
+
+
+def point_votes_sql() -> str:
+    """Votes of every fifth scene point by steps of a tenth of the radius; of each point's strongest cell, if it has over 0.9 of
+    the largest count, the transform by the exact angle of the cell's last candidate."""
+    out = votes_sql(APART).replace(STEP, _RADIUS_STEP).replace(ppf_sql("sppf", "scene"), ppf_sql("sppf", "scene", "a.pt_id % 5 = 0"))
+    out = out.replace("cand_1 AS (SELECT s.cloud_id AS scene_id,", "cand_1 AS (SELECT s.i AS s_i, m.i AS m_i, s.cloud_id AS scene_id,").replace("cand_2 AS (SELECT scene_id,", "cand_2 AS (SELECT s_i, m_i, scene_id,").replace("cand AS (SELECT scene_id,", "cand AS (SELECT s_i, m_i, u, scene_id,")
+    out = out[: out.index("pruned AS")]
+    best = "turns AS (SELECT scene_id, model_id, s_r, m_r, alpha, arg_max(u - 3.141592653589793, s_i * 100000000 + m_i) AS turn FROM cand GROUP BY ALL)" + BEST_POINT
+    strong = ", pruned AS (SELECT * EXCLUDE (share) FROM (SELECT *, cnt / max(cnt) OVER (PARTITION BY scene_id, model_id) AS share FROM best) JOIN turns USING (scene_id, model_id, s_r, m_r, alpha) WHERE share > 0.9)"
+    return f"WITH {out}{best}{strong}, " + poses_sql().replace(f"p.alpha * {D!r} - 3.141592653589793 AS g", "p.turn AS g")
+
+
+@query(point_votes_sql() + f" SELECT s_r, m_r, alpha, cnt, {MATRIX6} FROM pose")
+def point_votes(spark, sf_dir):
+    """Voting by scene points as one call, and the model's transforms that its strong cells give."""
+    m = model(spark, sf_dir)
+    _, steps = registration.describe_model(m)
+    out = registration.vote_by_points(scene_apart(spark, sf_dir), m, steps)
+    t = rigid.compose(rigid.invert(rigid.from_columns("s_")), rigid.compose(rigid.from_columns("a_"), rigid.from_columns("m_")))
+    cells = lookup(out.transforms, out.best.select("s_r", "m_r", "alpha", "cnt"), ["s_r", "m_r", "alpha"])
+    return rounded(cells.select("s_r", "m_r", "alpha", "cnt", *[c.alias(n) for n, c in rigid.to_columns(t).items()]), *rigid.NAMES)
+
+
 # ---- poses
 
 @query(POSES + f"SELECT vote_code, cnt, {MATRIX6} FROM pose")
