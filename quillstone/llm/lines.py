@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread, unused, written
+from .shared import Sieve, documents, spread, unused, written
 
 #: Largest index, in bytes, that is broadcast to the executors.
 INDEX_BYTES = 128_000_000
@@ -205,7 +205,22 @@ def _drop(docs: DataFrame, least_chars: int, least_docs: int, finish, schema, co
     shards = -(-n // SHARD_KEYS)
     own, mark = unused(docs, "own"), unused(docs, "gone")
     gone = _probed(docs, index(found, shards), shards, least_chars).groupBy("own").agg(F.collect_set(F.struct("h1", "h2")).alias(mark)).withColumnRenamed("own", own)
-    src = src.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).join(gone, own, "left").select(*[F.col(f"`{c}`") for c in columns], mark)
+    gone = written(gone)
+    at = unused(docs, "hash")
+    sieve = spark.sparkContext.broadcast(Sieve.of(gone.select(F.xxhash64(own).alias("h")), gone.count()))
+    src = src.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(at, F.xxhash64(own))
+
+    def only(marked: bool):
+        """Documents that may lose a line, or those that surely don't: these aren't shuffled."""
+
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(sieve.value.has(b.column(at).to_numpy(zero_copy_only=False).view(np.uint64)) == marked))
+
+        return src.mapInArrow(run, src.schema)
+
+    as_read = only(False).withColumn(mark, F.lit(None).cast(gone.schema[mark].dataType))
+    src = only(True).join(gone, own, "left").unionByName(as_read).select(*[F.col(f"`{c}`") for c in columns], mark)
 
     def run_marked(batches):
         for b in batches:
