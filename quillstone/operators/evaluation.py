@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rigid import fold_angle
 from .joins import lookup
 from .medians import medians
+from .runs import running_sums
 from .tables import stored
 
 # Diameters of the models of the evaluation.
@@ -35,21 +36,9 @@ def flagged(rows: DataFrame, sizes: DataFrame, factor: float = 0.3, rotation: fl
 
 
 def running_rate(rows: DataFrame, order: list[str], match: str = "match") -> DataFrame:
-    """rows with rate, the share of matches among all rows up to each one in the given order (no ties).
-
-    The first column's rounded-down values are summed on their own; only their totals are summed up in one
-    place, so that the rows aren't sorted in one task.
-    """
-    part = F.floor(order[0]).alias("__part")
-    hit = F.col(match).cast("long")
-    totals = rows.groupBy(part).agg(F.count("*").alias("__n"), F.sum(hit).alias("__m"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__n", "__m")])
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("__part", part)
-    out = out.withColumns({"__k": F.count("*").over(own), "__h": F.sum(hit).over(own)}).join(starts, "__part")
-    rate = (F.col("__m") + F.col("__h")) / (F.col("__n") + F.col("__k"))
-    return out.withColumn("rate", rate).select(*rows.columns, "rate")
+    """rows with rate, the share of matches among all rows up to each one in the given order (no ties)."""
+    out = running_sums(rows, order, {"__rows": F.lit(1).cast("long"), "__hits": F.col(match).cast("long")})
+    return out.withColumn("rate", F.col("__hits") / F.col("__rows")).select(*rows.columns, "rate")
 
 
 def error_summary(rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:

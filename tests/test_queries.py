@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import features, rigid
-from quillstone.operators import clouds, medians, pairs, poses, voting
+from quillstone.operators import clouds, medians, pairs, poses, runs, voting
 from quillstone.plans import catalogue, model_index, registration
 from quillstone.plans.catalogue import ORACLES, QUERIES
 
@@ -174,6 +174,16 @@ def test_medians(spark):
     assert medians.medians(df.limit(0), ["x"]).first()["median_x"] is None
 
 
+def test_running_sums_of_a_frequent_value(spark):
+    rows = [(1, k, k % 3) for k in range(500)] + [(k, 0, 1) for k in range(2, 50)]
+    df = spark.createDataFrame(rows, "a long, b long, v long").repartition(5)
+    got = [tuple(r) for r in runs.running_sums(df, ["a", "b"], {"s": F.col("v"), "n": F.lit(1)}).orderBy("a", "b").collect()]
+    sums = np.cumsum([r[2] for r in rows]).tolist()
+    assert got == [(*r, s, k + 1) for k, (r, s) in enumerate(zip(rows, sums))]
+    before = [r["s"] for r in runs.running_sums(df, ["a", "b"], {"s": F.col("v")}, before=True).orderBy("a", "b").collect()]
+    assert before == [0, *sums[:-1]]
+
+
 def test_point_votes(spark, sf_dir):
     c = catalogue.cloud(spark, sf_dir)
     m, scene = c.filter("cloud_id = 0"), clouds.transformed(c.filter("cloud_id = 0"), rigid.literal(catalogue._T)).withColumn("cloud_id", F.lit(100))
