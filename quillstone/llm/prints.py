@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, spread
+from .shared import documents, portions, spread
 
 #: Widths of spans, and the code points from which each is a text's own.
 WIDTHS = {24: 96, 6: 0}
@@ -37,6 +37,8 @@ BASES = (918_273_647, 1_537_228_673)
 _PORTION = 1 << 20
 #: Bytes of text that a task compares, about.
 RANGE_BYTES = 64_000_000
+#: Rows that are Python's strings at a time.
+PORTION_ROWS = 500
 #: A null doc_id comes before all others.
 NO_ID = -(1 << 63)
 
@@ -270,7 +272,7 @@ def compare(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         group, held, own = None, None, None  # the row that waits for its next one
-        for b in batches:
+        for b in portions(batches, PORTION_ROWS):
             out = []
             for r, extra, i, text in zip(*(b.column(c).to_pylist() for c in ("r", "extra", "doc_id", "text"))):
                 if r != group:
