@@ -408,7 +408,7 @@ def build_index(spark, sf_dir):
 def probe_index(spark, sf_dir):
     """The rows of candidate_join, by a stored index."""
     index = model_index.build(model(spark, sf_dir), _place(spark, "index"), TAU)
-    return model_index.probe(index, scene_all(spark, sf_dir)).groupBy(*voting.PAIR, "s_r", "m_r", "alpha").agg(F.count("*").alias("n"))
+    return model_index.votes(index, scene_all(spark, sf_dir)).select(*voting.PAIR, "s_r", "m_r", "alpha", F.col("cnt").alias("n"))
 
 
 @query(VOTES + "SELECT alpha, count(*) AS n FROM cand GROUP BY ALL")

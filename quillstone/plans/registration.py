@@ -53,6 +53,12 @@ def _thinned(points: DataFrame, leaf) -> DataFrame:
     return _numbered_by_place(clouds.finite(points).groupBy("cloud_id", *cell).agg(*means).drop("c0", "c1", "c2"))
 
 
+def stored_bins(models: DataFrame, steps: DataFrame) -> DataFrame:
+    """binned_models() with d_dist, made in the tasks: votes made there of such pairs compare angles of one library."""
+    steps = steps.select(F.col("model_id").alias("cloud_id"), "d_dist")
+    return lookup(blocks.binned(lookup(models, steps, ["cloud_id"])), steps, ["cloud_id"]).withColumnRenamed("cloud_id", "model_id")
+
+
 def binned_models(models: DataFrame, steps: DataFrame) -> DataFrame:
     """model_id, r, i, a, KEYS of all models; their points take the step along, not their pairs."""
     points = lookup(models, steps.select(F.col("model_id").alias("cloud_id"), "d_dist"), ["cloud_id"])
@@ -74,10 +80,10 @@ def step_classes(steps: DataFrame) -> list[tuple[int, float]]:
     return sorted((r["octave"], r["w"]) for r in rows)
 
 
-def scene_cells(scenes: DataFrame, classes: list[tuple[int, float]], ref_factor: int = 1) -> DataFrame:
+def scene_cells(scenes: DataFrame, classes: list[tuple[int, float]], ref_factor: int = 1, made=pairs.point_pair_features) -> DataFrame:
     """scene_id, r, i, a, f1, MEET of all scene pairs: a row for each class of steps, not for each model. Cells of a class
-    are as wide as its least step."""
-    ppf = pairs.angle_bins(pairs.point_pair_features(scenes, ref_factor)).withColumnRenamed("cloud_id", "scene_id")
+    are as wide as its least step. made: what makes the pairs' features."""
+    ppf = pairs.angle_bins(made(scenes, ref_factor)).withColumnRenamed("cloud_id", "scene_id")
     if not classes:
         return ppf.limit(0).withColumns({"octave": F.lit(0).cast("long"), "c1": F.lit(0).cast("long")})
     every = F.array(*[F.struct(F.lit(o).cast("long").alias("octave"), F.lit(w).alias("w")) for o, w in classes])
@@ -85,11 +91,11 @@ def scene_cells(scenes: DataFrame, classes: list[tuple[int, float]], ref_factor:
     return out.withColumn("c1", features.bin_of(F.col("f1"), F.col("__w"))).dropna(subset=["c1"]).drop("__class", "__w")
 
 
-def model_cells(models: DataFrame, steps: DataFrame, classes: list[tuple[int, float]]) -> DataFrame:
+def model_cells(models: DataFrame, steps: DataFrame, classes: list[tuple[int, float]], made=binned_models) -> DataFrame:
     """model_id, r, i, a, KEYS, d_dist, octave, c1 of all model pairs, a row for each cell (three at most, one if all
     steps of the class are equal) that its bin of distances touches."""
     widths = F.create_map(*[x for o, w in classes for x in (F.lit(o).cast("long"), F.lit(w))]) if classes else F.create_map(F.lit(0).cast("long"), F.lit(1.0))
-    out = binned_models(models, steps.filter("d_dist > 0")).withColumn("octave", _octave())
+    out = made(models, steps.filter("d_dist > 0")).withColumn("octave", _octave())
     w, edge = F.try_element_at(widths, F.col("octave")), lambda k, slack: F.floor(k * F.col("d_dist") * slack / w)
     cells = F.when(F.col("d_dist") == w, F.array("k1")).otherwise(F.sequence(edge(F.col("k1"), 1 - 1e-9), edge(F.col("k1") + 1, 1 + 1e-9)))
     return out.withColumn("c1", F.explode(cells))
