@@ -938,7 +938,7 @@ def evaluated_run(spark, sf_dir):
 
 @query(f"WITH {RUN} SELECT count(*) AS n, {s6('avg(CAST(match AS INT))')} AS match_rate, " + ", ".join(f"{s6(f'{f}({c})')} AS {n}_{c}" for c in ("norm_dist", "rot_folded") for n, f in (("mean", "avg"), ("median", "median"))) + " FROM flags")
 def evaluation_report(spark, sf_dir):
-    out = files.report(_evaluated(spark, sf_dir))
+    out = files.report(files.flagged(spark, *_run_files(spark, sf_dir)))
     return rounded(out, *[c for c in out.columns if c != "n"])
 
 

@@ -74,16 +74,22 @@ def thin_file(spark: SparkSession, source: str, to: str, leaf: float = 0.01) ->
     return points.count(), thinned.count()
 
 
-def evaluated(spark: SparkSession, occlusion: str, logs: str) -> DataFrame:
-    """scene_num, model, occlusion, trans, rot, norm_dist, rot_folded, match, rate: the pairs of an occlusion
-    table that the logs have a distance for, with the rate of matches up to each, by rising occlusion."""
+def flagged(spark: SparkSession, occlusion: str, logs: str) -> DataFrame:
+    """scene_num, model, occlusion, trans, rot, norm_dist, rot_folded, match: the pairs of an occlusion table that the logs have a
+    distance for."""
     rows = evaluation.joined(texts.read_occlusion(spark, occlusion), texts.read_logs(spark, logs)).filter("trans IS NOT NULL AND rot IS NOT NULL")
-    flagged = evaluation.flagged(rows, evaluation.diameters(spark))
-    return evaluation.running_rate(flagged, ["occlusion", "scene_num", "model"])
+    return evaluation.flagged(rows, evaluation.diameters(spark))
+
+
+def evaluated(spark: SparkSession, occlusion: str, logs: str) -> DataFrame:
+    """flagged() with rate, the rate of matches up to each pair, by rising occlusion."""
+    return evaluation.running_rate(flagged(spark, occlusion, logs), ["occlusion", "scene_num", "model"])
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """One row: n, match_rate, and mean_ and median_ of norm_dist and rot_folded; rows: as evaluated() gives them."""
+    """One row: n, match_rate, and mean_ and median_ of norm_dist and rot_folded; rows: as flagged() gives them (of the rate, which
+    needs a sort of all, nothing is reported)."""
+    rows = stored(rows.select("match", "norm_dist", "rot_folded"))  # files are read once, not for each figure
     sums = rows.agg(F.count("*").alias("n"), F.avg(F.col("match").cast("int")).alias("match_rate"))
     return sums.crossJoin(evaluation.error_summary(rows, ["norm_dist", "rot_folded"]))  # one row each
 
@@ -119,7 +125,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.what == "cloud":
         write_cloud(spark, a.source, a.step, a.to, a.centered)
     else:
-        rows = report(evaluated(spark, a.occlusion, a.logs))
+        rows = report(flagged(spark, a.occlusion, a.logs))
         print(*rows.columns, sep="\t")
         for r in rows.collect():  # one row
             print(*r, sep="\t")

@@ -175,6 +175,18 @@ def test_command_line_to_evaluation(spark, tmp_path, sf_dir, capsys):
     assert r["n"] == 2 and r["match_rate"] == 1 and r["mean_norm_dist"] < 0.01
 
 
+def test_report_without_a_running_rate(spark, sf_dir, monkeypatch):
+    """A report sorts no rows: it has no rate up to each."""
+
+    def sorted_(*_):
+        raise AssertionError("a running rate")
+
+    want = files.report(catalogue._evaluated(spark, sf_dir)).collect()
+    monkeypatch.setattr(evaluation, "running_rate", sorted_)
+    got = catalogue.QUERIES["evaluation_report"](spark, sf_dir).first()
+    assert [round(x, 6) for x in want[0]] == list(got) and got["n"] > 0
+
+
 def test_files_of_meshes(spark, tmp_path, capsys):
     source, to = tmp_path / "cube.ply", tmp_path / "out.ply"
     source.write_text(CUBE)
