@@ -94,10 +94,11 @@ def pruned(found: DataFrame, threshold: float) -> DataFrame:
     return lookup(found, strongest(found), PAIR).filter(F.col("cnt") > threshold * F.col("top")).drop("top")
 
 
-def kept_counts(found: DataFrame, threshold: float) -> DataFrame:
-    """PAIR, n_votes, n_kept."""
+def kept_counts(found: DataFrame, threshold: float, n: str | None = None) -> DataFrame:
+    """PAIR, n_votes, n_kept. n: column of how many votes a row stands for."""
     rows = lookup(found, strongest(found), PAIR)
-    return rows.groupBy(*PAIR).agg(F.count("*").alias("n_votes"), F.count_if(F.col("cnt") > threshold * F.col("top")).alias("n_kept"))
+    kept, n = F.col("cnt") > threshold * F.col("top"), F.lit(1).cast("long") if n is None else F.col(n)
+    return rows.groupBy(*PAIR).agg(F.sum(n).alias("n_votes"), F.sum(F.when(kept, n).otherwise(0)).alias("n_kept"))
 
 
 def ranked(found: DataFrame, most: int) -> DataFrame:

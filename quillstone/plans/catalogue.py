@@ -199,9 +199,13 @@ SCORES = QUATS + f", {CELLS}, {scores_sql()} "
 MATRIX6 = ", ".join(f"{s6(n)} AS {n}" for n in rigid.NAMES)
 
 
-def all_votes(spark, sf_dir, exact: bool = False, threshold: float = 0.0) -> DataFrame:
+def all_votes(spark, sf_dir, exact: bool = False, threshold: float = 0.0, give: tuple | None = None) -> DataFrame:
     m = model(spark, sf_dir)
-    return registration.found_votes(scene_all(spark, sf_dir), m, registration.model_steps(m, TAU), exact=exact, threshold=threshold)
+    return registration.found_votes(scene_all(spark, sf_dir), m, registration.model_steps(m, TAU), exact=exact, threshold=threshold, give=give)
+
+
+def given_votes(spark, sf_dir, name: str) -> DataFrame:
+    return all_votes(spark, sf_dir, give=blocks.VOTES_GIVEN[name])
 
 
 def pruned_apart(spark, sf_dir) -> DataFrame:
@@ -413,7 +417,7 @@ def probe_index(spark, sf_dir):
 
 @query(VOTES + "SELECT alpha, count(*) AS n FROM cand GROUP BY ALL")
 def alpha_bin(spark, sf_dir):
-    return all_votes(spark, sf_dir).groupBy("alpha").agg(F.sum("cnt").alias("n"))
+    return given_votes(spark, sf_dir, "alphas").groupBy("alpha").agg(F.sum("cnt").alias("n")).filter("n > 0")
 
 
 @query(VOTES + "SELECT vote_code, cnt FROM votes")
@@ -439,17 +443,18 @@ def vote_prune(spark, sf_dir):
 
 @query(VOTES + "SELECT scene_id, model_id, count(*) AS n_votes, count(*) FILTER (WHERE cnt > 0.4 * top) AS n_kept FROM (SELECT *, max(cnt) OVER (PARTITION BY scene_id, model_id) AS top FROM votes) GROUP BY ALL")
 def vote_kept_counts(spark, sf_dir):
-    return voting.kept_counts(stored(all_votes(spark, sf_dir)), THRESHOLD)
+    sizes = given_votes(spark, sf_dir, "sizes").groupBy(*voting.PAIR, "cnt").agg(F.sum("n").alias("n"))
+    return voting.kept_counts(stored(sizes), THRESHOLD, "n")
 
 
 @query(VOTES + "SELECT scene_id, model_id, vote_code, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, model_id ORDER BY cnt DESC, vote_code) AS rank FROM votes) WHERE rank <= 100")
 def vote_rank(spark, sf_dir):
-    return voting.ranked(all_votes(spark, sf_dir), 100).select(*voting.PAIR, "vote_code", "cnt", "rank")
+    return voting.ranked(all_votes(spark, sf_dir, give=blocks.strongest(100)), 100).select(*voting.PAIR, "vote_code", "cnt", "rank")
 
 
 @query(VOTES + "SELECT scene_id, model_id, rank, cnt FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, model_id ORDER BY cnt DESC, vote_code) AS rank FROM votes) WHERE rank IN (2, 6, 11, 51)")
 def vote_rank_points(spark, sf_dir):
-    return poses.at_ranks(all_votes(spark, sf_dir))
+    return poses.at_ranks(all_votes(spark, sf_dir, give=blocks.strongest(51)))
 
 
 @query(VOTES + "SELECT vote_code, weight, round(weight * cnt, 6) + 0.0 AS w_cnt FROM (SELECT *, CASE WHEN m_r % 3 = 0 THEN 0.5 + (m_r % 7) / 10.0 ELSE 1.0 END AS weight FROM votes)")
@@ -460,7 +465,7 @@ def weighted_votes(spark, sf_dir):
 
 @query(VOTES + "SELECT scene_id, model_id, alpha, CAST(sum(cnt) AS BIGINT) AS n FROM votes GROUP BY ALL")
 def alpha_histogram(spark, sf_dir):
-    return voting.alpha_histogram(all_votes(spark, sf_dir))
+    return voting.alpha_histogram(given_votes(spark, sf_dir, "alphas")).filter("n > 0")
 
 
 BEST_POINT = ", best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY scene_id, model_id, s_r ORDER BY cnt DESC, alpha, m_r) = 1) "
@@ -468,12 +473,12 @@ BEST_POINT = ", best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITIO
 
 @query(VOTES + BEST_POINT + "SELECT scene_id, model_id, s_r, m_r, alpha, cnt FROM best")
 def matlab_accumulator_max(spark, sf_dir):
-    return voting.best_by_scene_point(all_votes(spark, sf_dir))
+    return voting.best_by_scene_point(given_votes(spark, sf_dir, "best"))
 
 
 @query(VOTES + BEST_POINT + "SELECT scene_id, model_id, s_r, m_r, alpha, cnt, round(share, 6) + 0.0 AS share FROM (SELECT *, cnt / max(cnt) OVER (PARTITION BY scene_id, model_id) AS share FROM best) WHERE share > 0.9")
 def matlab_vote_threshold(spark, sf_dir):
-    return rounded(voting.strong_scene_points(stored(voting.best_by_scene_point(all_votes(spark, sf_dir)))), "share")
+    return rounded(voting.strong_scene_points(stored(voting.best_by_scene_point(given_votes(spark, sf_dir, "best")))), "share")
 
 
 TURNS = VOTES.replace("cand_1 AS (SELECT s.cloud_id AS scene_id,", "cand_1 AS (SELECT s.i AS s_i, m.i AS m_i, s.cloud_id AS scene_id,").replace("cand_2 AS (SELECT scene_id,", "cand_2 AS (SELECT s_i, m_i, scene_id,").replace("cand AS (SELECT scene_id,", "cand AS (SELECT s_i, m_i, u, scene_id,")

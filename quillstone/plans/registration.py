@@ -114,10 +114,12 @@ def found_candidates(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref
     return voting.candidates(s, m, MEET, exact, (["f1"], ["d_dist", "k1"]), same_bin())
 
 
-def found_votes(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1, exact: bool = False, threshold: float = 0.0) -> DataFrame:
+def found_votes(scenes: DataFrame, models: DataFrame, steps: DataFrame, ref_factor: int = 1, exact: bool = False, threshold: float = 0.0, give: tuple | None = None) -> DataFrame:
     """Votes of all scenes for all models, counted in the tasks that make the pairs: candidates are never rows. exact: with turn, as
-    voting.last_turns() gives it. threshold: for voting.pruned(), votes that it drops for certain may be left out."""
-    out = blocks.votes(scenes, models, steps, ref_factor, exact, threshold)
+    voting.last_turns() gives it. threshold: for voting.pruned(), votes that it drops for certain may be left out. give: see blocks.votes()."""
+    out = blocks.votes(scenes, models, steps, ref_factor, exact, threshold, give=give)
+    if "s_r" not in out.columns:
+        return out
     return out.withColumn("vote_code", voting.pack_vote(F.col("s_r"), F.col("m_r"), F.col("alpha")))
 
 
@@ -177,8 +179,8 @@ def describe_model(model: DataFrame, factor: float = 0.1) -> tuple[DataFrame, Da
 def vote_by_points(scene: DataFrame, model: DataFrame, steps: DataFrame, skip: int = 5, share: float = 0.9) -> PointVotes:
     """Votes of every skip-th scene point; those whose strongest cell reaches `share` of the largest count give
     the model's frame, the scene's frame and the turn of the cell's last candidate, unquantised."""
-    found = found_votes(clouds.finite(scene), model, steps, skip, exact=True)
-    best = stored(voting.best_by_scene_point(found, "turn"))
+    best = found_votes(clouds.finite(scene), model, steps, skip, exact=True, give=blocks.VOTES_GIVEN["best"])
+    best = stored(voting.best_by_scene_point(best, "turn"))
     kept = voting.strong_scene_points(best, share).select(*voting.PAIR, "s_r", "m_r", "alpha", "turn")
     best = best.drop("turn")
-    return PointVotes(found.drop("vote_code", "turn"), best, voting.strongest(best), poses.three_transforms(kept, scene, model))
+    return PointVotes(found_votes(clouds.finite(scene), model, steps, skip).drop("vote_code"), best, voting.strongest(best), poses.three_transforms(kept, scene, model))
