@@ -2,7 +2,7 @@
 
 A folder holds the header (a row for each model: its step, extent and counts), the models' points, the bins with many
 pairs, and the pairs as a table that is bucketed and sorted by what pairs meet by. A probe for candidates shuffles scene pairs
-alone; votes shuffle scene points and the index's pairs, packed.
+alone; votes shuffle scene points and the index's pairs, packed where they are read.
 """
 
 from __future__ import annotations
@@ -48,8 +48,9 @@ def build(models: DataFrame, path: str, tau: float | dict = 0.05, buckets: int |
     rows = rows.select("model_id", "r", "i", "a", "d_dist", "k1", *BUCKETED)
     dealt = rows.repartition(buckets, *BUCKETED)  # a bucket is one file
     dealt.write.bucketBy(buckets, *BUCKETED).sortBy(*BUCKETED).format("parquet").option("path", f"{path}/pairs").saveAsTable(_name(path))
-    made = spark.table(_name(path)).select("model_id", "r", "i", "k1", "k2", "k3", "k4").distinct()  # without the cells
-    bins = made.groupBy("model_id", "k1", "k2", "k3", "k4").agg(F.count("*").alias("n")).groupBy("model_id").agg(F.sum("n").alias("pairs"), F.count("*").alias("bins"))
+    stepped = lookup(points, steps.filter("d_dist > 0").select(F.col("model_id").alias("cloud_id"), "d_dist"), ["cloud_id"])
+    counts = blocks.bin_counts(stepped)  # pairs are made again, as a count of the table's would have to shuffle them
+    bins = counts.groupBy(F.col("cloud_id").alias("model_id")).agg(F.sum("cnt").alias("pairs"), F.count("*").alias("bins"))
     sizes = points.groupBy(F.col("cloud_id").alias("model_id")).agg(F.count("*").alias("points"))
     header = lookup(lookup(steps, sizes, ["model_id"], "left"), bins, ["model_id"], "left")
     header.fillna(0, ["pairs", "bins"]).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/header")
